@@ -49,17 +49,21 @@ def plain(df: DataFrame, *drop: str) -> DataFrame:
     return df.select(*columns)
 
 
-def rounded(df: DataFrame, names: Sequence[str], digits: int = 9) -> DataFrame:
+def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Round sums of fractions, whose last digits depend on the order of addition."""
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
 
 
-def sql_columns(columns: Sequence[str], round_: Sequence[str] = (), text: Sequence[str] = (), digits: int = 9) -> str:
+def to_digits(names: Sequence[str], digits: int) -> dict[str, int]:
+    return dict.fromkeys(names, digits)
+
+
+def sql_columns(columns: Sequence[str], digits: dict[str, int] | None = None, text: Sequence[str] = ()) -> str:
     """Select list with the same rounding and text casts as `rounded` and `plain`."""
     parts = []
     for c in columns:
-        if c in round_:
-            parts.append(f"round({c}, {digits}) AS {c}")
+        if digits and c in digits:
+            parts.append(f"round({c}, {digits[c]}) AS {c}")
         elif c in text:
             parts.append(f"CAST({c} AS VARCHAR) AS {c}")
         else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.catalog.layers import DAILY_CTES
-from ledgerlens.catalog.registry import plain, register, rounded, sql_columns
+from ledgerlens.catalog.registry import plain, register, rounded
 from ledgerlens.catalog.views import eth
 from ledgerlens.operators import daily, dashboard, risk, wallets
 
@@ -32,7 +32,7 @@ register(
 )
 register(
     "dash_suspicious",
-    lambda v: rounded(dashboard.dash_suspicious(v.scores), ["avg_fraud_score"]),
+    lambda v: rounded(dashboard.dash_suspicious(v.scores), {"avg_fraud_score": 9}),
     """
     SELECT count(*) AS suspicious_count, round(avg(fraud_score), 9) AS avg_fraud_score
     FROM scores WHERE is_suspicious""",
@@ -93,7 +93,7 @@ register(
 )
 register(
     "metric_with_change",
-    lambda v: rounded(dashboard.metric_with_change(daily.agg_daily_metrics(v.fact)), ["change_percentage"]),
+    lambda v: rounded(dashboard.metric_with_change(daily.agg_daily_metrics(v.fact)), {"change_percentage": 9}),
     """
     SELECT metric_date, metric_name, current_value, previous_value,
       round((current_value - previous_value) / nullif(previous_value, 0) * 100, 9) AS change_percentage
@@ -168,7 +168,7 @@ register(
 )
 register(
     "daily_new_suspicious",
-    lambda v: rounded(risk.daily_new_suspicious(v.scores, days=DAYS, as_of=v.now), ["avg_fraud_score"]),
+    lambda v: rounded(risk.daily_new_suspicious(v.scores, days=DAYS, as_of=v.now), {"avg_fraud_score": 9}),
     f"""
     SELECT updated_at::DATE AS date, count(*) AS new_suspicious_count, round(avg(fraud_score), 9) AS avg_fraud_score
     FROM scores, moment WHERE is_suspicious AND updated_at::DATE >= as_of::DATE - {DAYS} GROUP BY 1""",
@@ -183,7 +183,7 @@ register(
 )
 register(
     "suspicious_volume_tiers",
-    lambda v: rounded(risk.suspicious_volume_tiers(v.scores), ["avg_fraud_score"]),
+    lambda v: rounded(risk.suspicious_volume_tiers(v.scores), {"avg_fraud_score": 9}),
     f"""
     SELECT CASE WHEN total_value < 1000 THEN 'small (<1K)' WHEN total_value < 10000 THEN 'medium (1K-10K)'
         WHEN total_value < 100000 THEN 'large (10K-100K)' ELSE 'whale (>100K)' END AS volume_tier,
@@ -206,7 +206,7 @@ register(
 )
 register(
     "model_version_stats",
-    lambda v: rounded(risk.model_version_stats(v.scores), ["avg_score"]),
+    lambda v: rounded(risk.model_version_stats(v.scores), {"avg_score": 9}),
     """
     SELECT model_version, count(*) AS predictions_count, round(avg(fraud_score), 9) AS avg_score,
       count(*) FILTER (WHERE is_suspicious) AS suspicious_count, min(prediction_timestamp) AS first_prediction,
@@ -220,7 +220,7 @@ register(
 )
 register(
     "risk_category_summary",
-    lambda v: rounded(risk.risk_category_summary(v.scores), ["avg_fraud_score"]),
+    lambda v: rounded(risk.risk_category_summary(v.scores), {"avg_fraud_score": 9}),
     """
     SELECT risk_category, count(*) AS wallet_count, round(avg(fraud_score), 9) AS avg_fraud_score,
       min(fraud_score) AS min_fraud_score, max(fraud_score) AS max_fraud_score FROM scores GROUP BY risk_category""",

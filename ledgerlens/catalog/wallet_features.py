@@ -6,7 +6,7 @@ from ledgerlens.catalog.registry import plain, register, rounded, sql_columns
 from ledgerlens.catalog.views import eth
 from ledgerlens.operators import features, staging
 
-INEXACT = ("std_value", "avg_gas_used")
+INEXACT = {"std_value": 6, "avg_gas_used": 6}
 BASIC = ("wallet_address", *features._BASIC_ORDER)
 
 register(
@@ -18,8 +18,8 @@ register(
 )
 register(
     "basic_features",
-    lambda v: rounded(plain(features.basic_features(v.staged)), INEXACT, 6),
-    f"SELECT {sql_columns(BASIC, round_=INEXACT, digits=6)} FROM basic",
+    lambda v: rounded(plain(features.basic_features(v.staged)), INEXACT),
+    f"SELECT {sql_columns(BASIC, digits=INEXACT)} FROM basic",
 )
 BEHAVIORAL = ("wallet_address", *features.BEHAVIORAL_FEATURES, "self_tx_total")
 register(
@@ -49,14 +49,14 @@ register(
 ALL = ("wallet_address", "first_tx_time", "last_tx_time", *features.FEATURE_COLUMNS)
 register(
     "all_features",
-    lambda v: rounded(plain(v.features, "feature_timestamp", "feature_version"), INEXACT, 6),
-    f"SELECT {sql_columns(ALL, round_=INEXACT, digits=6)} FROM wallet_features",
+    lambda v: rounded(plain(v.features, "feature_timestamp", "feature_version"), INEXACT),
+    f"SELECT {sql_columns(ALL, digits=INEXACT)} FROM wallet_features",
 )
 NOTEBOOK = ["avg_gas_price_gwei" if c == "avg_gas_price" else c for c in features.BASIC_FEATURES]
 register(
     "feature_variant_notebook",
-    lambda v: rounded(plain(features.feature_variant_notebook(v.staged)), INEXACT, 6),
+    lambda v: rounded(plain(features.feature_variant_notebook(v.staged)), INEXACT),
     f"""
-    SELECT {sql_columns(('wallet_address', *NOTEBOOK), round_=INEXACT, digits=6)}
+    SELECT {sql_columns(('wallet_address', *NOTEBOOK), digits=INEXACT)}
     FROM (SELECT *, avg_gas_price / 1e9 AS avg_gas_price_gwei FROM basic)""",
 )
