@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from ledgerlens.catalog import ingest, layers, profiles, serving, wallet_features  # noqa: F401
+from ledgerlens.catalog import ingest, layers, models, profiles, serving, streams, wallet_features  # noqa: F401
 from ledgerlens.catalog.registry import REGISTRY
 from ledgerlens.catalog.views import Views
 

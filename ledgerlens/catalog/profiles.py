@@ -49,9 +49,9 @@ register(
 )
 register(
     "value_percentiles",
-    lambda v: profiling.value_percentiles(v.raw_transactions),
+    lambda v: rounded(profiling.value_percentiles(v.raw_transactions), {"value_eth": 9}),
     " UNION ALL ".join(
-        f"SELECT {p}::DOUBLE AS probability, quantile_cont(value_eth, {p}) AS value_eth FROM raw_transactions"
+        f"SELECT {p}::DOUBLE AS probability, round(quantile_cont(value_eth, {p}), 9) AS value_eth FROM raw_transactions"
         for p in profiling.VALUE_PERCENTILES
     ),
 )

@@ -113,7 +113,7 @@ def merge_into_partitions(
     touched = source.select(partition).distinct()
     merged = materialize(rule(target.join(touched, partition, "left_semi"), source, keys, **options))
     (
-        merged.repartition(partition, F.pmod(F.xxhash64(*keys), F.lit(16)))
+        merged.hint("rebalance", F.col(partition))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)

@@ -26,15 +26,12 @@ ROWS_PER_FILE = 20_000_000
 def write_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") -> None:
     """Write with the table's declared layout.
 
-    Rows are shuffled by partition value plus a salt derived from the sort columns, so a day holding a large share of
-    the rows is written by many tasks and every file still covers a narrow key range.
+    Rows are rebalanced by partition value: adaptive execution joins small days into one task and splits a day that
+    holds a large share of the rows. Sorting inside a task lets readers skip row groups by address.
     """
     partition_by, sort_by = LAYOUT.get(table, ((), ()))
-    laid_out = df
-    if partition_by:
-        salt = F.pmod(F.xxhash64(*(sort_by or df.columns[:1])), F.lit(32))
-        laid_out = laid_out.repartition(*partition_by, salt)
-    elif sort_by:
+    laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    if sort_by and not partition_by:
         laid_out = laid_out.repartitionByRange(*sort_by)
     if sort_by:
         laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by)
