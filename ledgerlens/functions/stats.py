@@ -104,8 +104,17 @@ def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: dict[str,
 
 
 def as_struct(one_row: DataFrame) -> Column:
-    """A one-row frame as a scalar struct expression, evaluated once however many fields are read."""
-    return one_row.select(F.struct(*one_row.columns).alias("row")).scalar()
+    """A one-row frame as a scalar struct expression."""
+    return one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("row")).scalar()
+
+
+def attach(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Add a one-row frame as a struct column.
+
+    Reading many fields of the column keeps one subquery in the plan, where many `as_struct` expressions would each be
+    planned anew.
+    """
+    return df.withColumn(name, as_struct(one_row))
 
 
 def sample_skewness(c: Column) -> Column:

@@ -31,16 +31,17 @@ def score_distribution(scores: DataFrame, column: str = "fraud_score") -> DataFr
     score = F.col(column)
     quantiles = S.exact_quantiles(scores, [column], [p / 100 for p in PERCENTILES])
     points = quantiles.agg(*[S.pick(quantiles, column, p / 100).alias(f"p{p}") for p in PERCENTILES])
-    at = S.as_struct(points)
     basics = scores.agg(
         F.count("*").alias("count"),
         F.avg(score).alias("mean"),
         F.stddev_samp(score).alias("std"),
         F.min(score).alias("min"),
         F.max(score).alias("max"),
-    ).select("*", at["p50"].alias("median"))
+    ).select("*", S.as_struct(points)["p50"].alias("median"))
     above = scores.agg(*[F.count_if(score > t).alias(f"above_{t}") for t in THRESHOLDS])
-    ranked = scores.select(score.alias("score"), *[at[f"p{p}"].alias(name) for p, name in RATE_PERCENTILES])
+    ranked = S.attach(scores.select(score.alias("score")), points, "_at").select(
+        "score", *[F.col(f"_at.p{p}").alias(name) for p, name in RATE_PERCENTILES]
+    )
     rates = ranked.agg(
         *[(F.count_if(F.col("score") > F.col(name)) / F.count("score")).alias(name) for _, name in RATE_PERCENTILES]
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.ledger import all_of
 from ledgerlens.functions.stats import (
-    as_struct,
+    attach,
     exact_quantiles,
     quantile_row,
     sample_kurtosis,
@@ -49,8 +49,10 @@ def impute(df: DataFrame, columns: Sequence[str] | None = None, *, strategy: str
             stats = df.agg(*[F.avg(usable(F.col(c))).alias(f"{c}_fill") for c in gaps])
         else:
             stats = quantile_row(df, gaps, {"fill": 0.5})
-        fill = as_struct(stats)
-        filled = {c: F.coalesce(usable(F.col(c)), fill[f"{c}_fill"]) for c in gaps}
+        filled = {c: F.coalesce(usable(F.col(c)), F.col(f"_fill.{c}_fill")) for c in gaps}
+        return attach(df, stats, "_fill").select(
+            *[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
+        )
     return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
@@ -86,9 +88,8 @@ def scale_parameters(df: DataFrame, columns: Sequence[str], method: str = "stand
 
 
 def apply_scaling(df: DataFrame, columns: Sequence[str], parameters: DataFrame) -> DataFrame:
-    p = as_struct(parameters)
-    scaled = {c: (F.col(c) - p[f"{c}_center"]) / p[f"{c}_spread"] for c in columns}
-    return df.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
+    scaled = {c: (F.col(c) - F.col(f"_scale.{c}_center")) / F.col(f"_scale.{c}_spread") for c in columns}
+    return attach(df, parameters, "_scale").select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
 def scale(df: DataFrame, columns: Sequence[str], *, method: str = "standard") -> tuple[DataFrame, DataFrame]:
@@ -119,21 +120,22 @@ def remove_outliers(
 ) -> DataFrame:
     """Rows inside the limits of every column; limits come from the full input."""
     if method == "iqr":
-        limits = as_struct(quantile_row(df, columns, {"q25": 0.25, "q75": 0.75}))
+        limits = quantile_row(df, columns, {"q25": 0.25, "q75": 0.75})
         kept = []
         for c in columns:
-            low, high = limits[f"{c}_q25"], limits[f"{c}_q75"]
+            low, high = F.col(f"_limits.{c}_q25"), F.col(f"_limits.{c}_q75")
             reach = (high - low) * threshold
             kept.append((F.col(c) >= low - reach) & (F.col(c) <= high + reach))
     elif method == "zscore":
-        stats = df.agg(
+        limits = df.agg(
             *[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.stddev_samp(c).alias(f"{c}_std") for c in columns]
         )
-        limits = as_struct(stats)
-        kept = [F.abs(F.col(c) - limits[f"{c}_mean"]) <= limits[f"{c}_std"] * threshold for c in columns]
+        kept = [
+            F.abs(F.col(c) - F.col(f"_limits.{c}_mean")) <= F.col(f"_limits.{c}_std") * threshold for c in columns
+        ]
     else:
         raise ValueError(f"unknown outlier method: {method}")
-    return df.filter(all_of(kept))
+    return attach(df, limits, "_limits").filter(all_of(kept)).drop("_limits")
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

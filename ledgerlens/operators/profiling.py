@@ -151,7 +151,7 @@ def eda_summary(raw: DataFrame, scores: DataFrame) -> DataFrame:
     median = S.as_struct(S.quantile_row(valued, ["value_eth"], {"median": 0.5}))
     leader = S.as_struct(top_wallets(raw, limit=1).select("wallet", "total_tx"))
     risky = F.count_if(F.col("risk_category").isin(*HIGH_RISK))
-    risk = S.as_struct(
+    risk = (
         scores.agg(
             F.count("*").alias("wallets_scored"),
             risky.alias("high_risk_wallets"),
@@ -159,10 +159,10 @@ def eda_summary(raw: DataFrame, scores: DataFrame) -> DataFrame:
             F.avg("fraud_score").alias("avg_fraud_score"),
         )
     )
-    return totals.select(
-        "*",
+    return S.attach(totals, risk, "_risk").select(
+        *totals.columns,
         median["value_eth_median"].alias("median_value_eth"),
         leader["wallet"].alias("most_active_wallet"),
         leader["total_tx"].alias("most_active_tx"),
-        *[risk[c].alias(c) for c in ("wallets_scored", "high_risk_wallets", "high_risk_pct", "avg_fraud_score")],
+        *[F.col(f"_risk.{c}").alias(c) for c in ("wallets_scored", "high_risk_wallets", "high_risk_pct", "avg_fraud_score")],
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.stats import as_struct
+from ledgerlens.functions.stats import as_struct, attach, quantile_row
 from ledgerlens.functions.tiers import risk_category as risk_of
 from ledgerlens.operators import forest as IF
 from ledgerlens.operators import neighbors as N
@@ -25,11 +25,12 @@ MODEL_VERSION = "1.0.0"
 
 def min_max(df: DataFrame, column: str, output: str, *, invert: bool = False) -> DataFrame:
     """Rescale to 0-1 (1 for the smallest value when inverted); a constant column becomes 0."""
-    limits = as_struct(df.agg(F.min(column).alias("low"), F.max(column).alias("high")))
-    low, high = limits["low"], limits["high"]
+    limits = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    low, high = F.col("_limits.low"), F.col("_limits.high")
     distance = high - F.col(column) if invert else F.col(column) - low
     share = F.coalesce(F.try_divide(distance, high - low), F.lit(0.0))
-    return df.withColumn(output, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    return attach(df, limits, "_limits").withColumn(output, clipped).drop("_limits")
 
 
 def ensemble_score(df: DataFrame, weights: Mapping[str, float] = ENSEMBLE_WEIGHTS) -> DataFrame:
@@ -164,8 +165,6 @@ def model_eval_if(test: DataFrame, forest: IF.Forest, *, key: str = "wallet_addr
 
 def flag_top_share(df: DataFrame, column: str, output: str, share: float = IF.CONTAMINATION) -> DataFrame:
     """1 for rows above the (1 - share) quantile of a score."""
-    from ledgerlens.functions.stats import quantile_row
-
     cut = as_struct(quantile_row(df, [column], {"cut": 1.0 - share}))[f"{column}_cut"]
     return df.withColumn(output, (F.col(column) > cut).cast("int"))
 
@@ -209,5 +208,4 @@ def training_metadata(
     )
     if metrics is None:
         return row
-    m = as_struct(metrics)
-    return row.select("*", *[m[c].alias(c) for c in metrics.columns])
+    return attach(row, metrics, "_m").select(*row.columns, *[F.col(f"_m.{c}") for c in metrics.columns])

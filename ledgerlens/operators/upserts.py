@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import ledger as L
@@ -102,16 +102,30 @@ def incremental_lookback(
 
 
 def merge_into_partitions(
-    path: str, source: DataFrame, keys: Sequence[str], partition: str, rule=upsert_replace, **options
+    path: str,
+    source: DataFrame,
+    keys: Sequence[str],
+    partition: str,
+    rule=upsert_replace,
+    *,
+    keys_move: bool = True,
+    **options,
 ) -> None:
-    """Upsert into a date-partitioned table, rewriting only the partitions the source touches.
+    """Upsert into a partitioned table, rewriting only the partitions that change.
 
-    The merged rows are materialized before the write, so the partitions being read are never the ones being written.
+    A new version of a row may belong to another partition than the stored one; finding those reads the key columns of
+    the table. `keys_move=False` skips that for keys that never change partition. The merged rows are materialized
+    before the write, so no partition is read while it is written.
     """
     spark = source.sparkSession
     target = spark.read.parquet(path).select(*source.columns)
-    touched = source.select(partition).distinct()
-    merged = materialize(rule(target.join(touched, partition, "left_semi"), source, keys, **options))
+    touched = source.select(partition)
+    if keys_move:
+        stored = target.select(*keys, partition).join(source.select(*keys), list(keys), "left_semi")
+        touched = touched.unionByName(stored.select(partition))
+    # at most one value per partition; as literals they prune the file listing
+    values = [row[0] for row in touched.distinct().collect()]
+    merged = materialize(rule(target.filter(F.col(partition).isin(values)), source, keys, **options))
     (
         merged.hint("rebalance", F.col(partition))
         .write.mode("overwrite")
@@ -119,3 +133,13 @@ def merge_into_partitions(
         .partitionBy(partition)
         .parquet(path)
     )
+    if keys_move:
+        left = {row[0] for row in merged.select(partition).distinct().collect()}
+        for value in set(values) - left:
+            _drop_partition(spark, f"{path}/{partition}={value}")
+
+
+def _drop_partition(spark: SparkSession, folder: str) -> None:
+    """Remove a partition whose rows all moved elsewhere."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import daily, marts, quality, staging, upserts
-from ledgerlens.sources.tables import write_table
+from ledgerlens.session import materialize
+from ledgerlens.sources.tables import save_table, write_table
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ def run_daily(spark: SparkSession, raw_transactions: DataFrame, paths: Paths, *,
     fact = spark.read.parquet(paths.table("fact_transactions"))
 
     metrics = daily.agg_daily_metrics(fact, new_wallets=daily.new_wallets_daily(fact), loaded_at=moment)
-    metrics.write.mode("overwrite").parquet(paths.table("agg_daily_metrics"))
+    save_table(metrics, paths.table("agg_daily_metrics"))
     return quality.quality_report(quality.staging_checks(staged, moment))
 
 
@@ -48,13 +49,22 @@ def run_wallets(spark: SparkSession, raw_wallets: DataFrame, paths: Paths, *, no
 
 
 def run_incremental(
-    spark: SparkSession, new_raw: DataFrame, paths: Paths, *, now: Column | None = None
+    spark: SparkSession,
+    new_raw: DataFrame,
+    paths: Paths,
+    *,
+    now: Column | None = None,
+    stable_dates: bool = False,
 ) -> None:
-    """Bring new raw rows into an existing warehouse, rewriting only the days they touch."""
+    """Bring new raw rows into an existing warehouse, rewriting only the days they touch, then refresh the metrics.
+
+    `stable_dates` promises that a transaction never changes its date, which saves reading all stored keys.
+    """
+    moving = {"keys_move": not stable_dates}
     moment = F.current_timestamp() if now is None else now
     staged = staging.stage_transactions(new_raw, staged_at=moment)
     upserts.merge_into_partitions(
-        paths.table("stg_transactions"), staged, ["transaction_id"], "transaction_date", upserts.upsert_if_newer
+        paths.table("stg_transactions"), staged, ["transaction_id"], "transaction_date", upserts.upsert_if_newer, **moving
     )
     everything = spark.read.parquet(paths.table("stg_transactions"))
     fact_path = paths.table("fact_transactions")
@@ -62,5 +72,8 @@ def run_incremental(
     fresh = upserts.incremental_since_watermark(everything, stored)
     facts = marts.fact_transactions(fresh, loaded_at=moment).select(*stored.columns)
     upserts.merge_into_partitions(
-        fact_path, facts, ["transaction_key"], "transaction_date", upserts.upsert_if_newer, version="loaded_at"
+        fact_path, facts, ["transaction_key"], "transaction_date", upserts.upsert_if_newer, version="loaded_at", **moving
     )
+    fact = spark.read.parquet(fact_path)
+    metrics = daily.agg_daily_metrics(fact, new_wallets=daily.new_wallets_daily(fact), loaded_at=moment)
+    save_table(materialize(metrics), paths.table("agg_daily_metrics"))

@@ -35,7 +35,12 @@ def write_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") -
         laid_out = laid_out.repartitionByRange(*sort_by)
     if sort_by:
         laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by)
-    writer = laid_out.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer = (
+        laid_out.write.mode(mode)
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        # a full load leaves no old partitions behind
+        .option("partitionOverwriteMode", "static")
+    )
     writer.partitionBy(*partition_by).parquet(path)
 
 
