@@ -21,7 +21,7 @@ USED_SQL = ", ".join(USED)
 
 def _base(v: Views) -> DataFrame:
     """A few features; wallets that never received have no ratio."""
-    basic = features.basic_features(v.staged)
+    basic = features.basic_features(v.stored_staged)
     ratio = F.when(F.col("tx_count_in") > 0, F.col("in_out_ratio"))
     return materialize(basic.withColumn("in_out_ratio", ratio).select("wallet_address", *USED))
 
@@ -454,6 +454,6 @@ register("permutation_importance", _importance)
 register(
     "scoring_run",
     lambda v: run_scoring(
-        v.spark, v.staged, Paths(new_path(v.spark, "scoring")), mode="full", now=v.now, eps=WALLET_EPS
+        v.spark, v.stored_staged, Paths(new_path(v.spark, "scoring")), mode="full", now=v.now, eps=WALLET_EPS
     ),
 )

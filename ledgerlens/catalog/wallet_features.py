@@ -18,13 +18,13 @@ register(
 )
 register(
     "basic_features",
-    lambda v: rounded(plain(features.basic_features(v.staged)), INEXACT),
+    lambda v: rounded(plain(features.basic_features(v.stored_staged)), INEXACT),
     f"SELECT {sql_columns(BASIC, digits=INEXACT)} FROM basic",
 )
 BEHAVIORAL = ("wallet_address", *features.BEHAVIORAL_FEATURES, "self_tx_total")
 register(
     "behavioral_features",
-    lambda v: plain(features.behavioral_features(v.staged)),
+    lambda v: plain(features.behavioral_features(v.stored_staged)),
     f"SELECT {', '.join(BEHAVIORAL)} FROM behavioral",
 )
 TEMPORAL = ("wallet_address", *features.TEMPORAL_FEATURES)
@@ -55,7 +55,7 @@ register(
 NOTEBOOK = ["avg_gas_price_gwei" if c == "avg_gas_price" else c for c in features.BASIC_FEATURES]
 register(
     "feature_variant_notebook",
-    lambda v: rounded(plain(features.feature_variant_notebook(v.staged)), INEXACT),
+    lambda v: rounded(plain(features.feature_variant_notebook(v.stored_staged)), INEXACT),
     f"""
     SELECT {sql_columns(('wallet_address', *NOTEBOOK), digits=INEXACT)}
     FROM (SELECT *, avg_gas_price / 1e9 AS avg_gas_price_gwei FROM basic)""",

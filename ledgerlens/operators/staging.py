@@ -30,10 +30,12 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     """One row per key, first in `order`.
 
     Spark keeps only the best row per key in every map task before shuffling (rank limit), so a key with a large share
-    of all rows does not become one large sort.
+    of all rows does not become one large sort. The leading numeric hash makes the sort compare numbers: text keys with
+    a common prefix, such as hashes and addresses, would be compared character by character.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter("_rank = 1").drop("_rank")
+    hashed = df.withColumn("_key", F.xxhash64(*keys))
+    ranked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", *keys).orderBy(*order)))
+    return ranked.filter("_rank = 1").drop("_rank", "_key")
 
 
 def newest_first(df: DataFrame, time_column: str = "ingested_at", ties: Sequence[str] = ("record_hash",)) -> list[Column]:
@@ -81,13 +83,23 @@ def stage_transactions(
     lookback_days: int | None = None,
     as_of: Column | DataFrame | str | None = None,
 ) -> DataFrame:
-    """Newest copy of each transaction, cleaned, dated, priced and classified."""
+    """Newest copy of each transaction, cleaned, dated, priced and classified.
+
+    Rows are cleaned before the newest copy is picked, so the shuffle carries the short derived columns, and only those
+    a later step reads: a query that needs no input data never moves it.
+    """
     source = raw if lookback_days is None else ingested_within(raw, lookback_days, as_of)
     keyed = source.withColumn("transaction_hash", L.clean_text(F.col("transaction_hash"))).filter(
         "transaction_hash IS NOT NULL"
     )
-    latest = dedup_latest(keyed, ["transaction_hash"], newest_first(keyed)).filter("block_number IS NOT NULL")
+    ties = [F.col(t).alias(f"_{t}") for t in ("record_hash",) if t in keyed.columns]
+    cleaned = _clean_transactions(keyed, ties, F.current_timestamp() if staged_at is None else staged_at)
+    order = newest_first(cleaned, ties=("_record_hash",))
+    latest = dedup_latest(cleaned, ["transaction_hash"], order)
+    return latest.filter("block_number IS NOT NULL").drop("_record_hash")
+
 
+def _clean_transactions(keyed: DataFrame, extra: Sequence[Column], staged_at: Column) -> DataFrame:
     c = F.col
     no_receiver = L.is_blank(c("to_address"))
     has_input = c("input_data").isNotNull() & (c("input_data") != "0x")
@@ -95,7 +107,7 @@ def stage_transactions(
     call = F.coalesce(has_input & (F.length("input_data") > 10), F.lit(False))
     failed = F.coalesce(c("is_error"), F.lit(False))
     day = F.to_date("transaction_timestamp")
-    return latest.select(
+    return keyed.select(
         F.concat_ws("-", c("transaction_hash"), c("block_number").cast("string")).alias("transaction_id"),
         "transaction_hash",
         c("block_number").cast("bigint").alias("block_number"),
@@ -135,10 +147,11 @@ def stage_transactions(
         quality_score_tx(c("transaction_hash"), c("from_address"), c("transaction_timestamp")).alias(
             "data_quality_score"
         ),
-        quality_issues_tx(latest).alias("data_quality_issues"),
+        quality_issues_tx(keyed).alias("data_quality_issues"),
         "source",
         "ingested_at",
-        (F.current_timestamp() if staged_at is None else staged_at).alias("staged_at"),
+        staged_at.alias("staged_at"),
+        *extra,
     )
 
 
