@@ -93,10 +93,10 @@ register(
 )
 register(
     "metric_with_change",
-    lambda v: rounded(dashboard.metric_with_change(daily.agg_daily_metrics(v.stored_fact)), {"change_percentage": 9}),
+    lambda v: rounded(dashboard.metric_with_change(daily.agg_daily_metrics(v.stored_fact)), {"change_percentage": 3}),
     """
     SELECT metric_date, metric_name, current_value, previous_value,
-      round((current_value - previous_value) / nullif(previous_value, 0) * 100, 9) AS change_percentage
+      round((current_value - previous_value) / nullif(previous_value, 0) * 100, 3) AS change_percentage
     FROM (SELECT *, lag(current_value) OVER (PARTITION BY metric_name ORDER BY metric_date) AS previous_value FROM (
       SELECT metric_date, 'total_transactions' AS metric_name, CAST(total_transactions AS DOUBLE) AS current_value
       FROM daily UNION ALL SELECT metric_date, 'total_value_eth', total_value_eth FROM daily

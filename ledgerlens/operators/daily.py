@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import ledger as L
-from ledgerlens.operators.upserts import incremental_lookback
 
 CONTEXT_ROWS = 30
 
@@ -186,9 +185,15 @@ def agg_daily_metrics(
 
 
 def incremental_daily_metrics(fact: DataFrame, existing: DataFrame, *, days: int = 7, **options) -> DataFrame:
-    """Recompute only the last days of the table, reading 30 days of context for averages and changes."""
-    context = incremental_lookback(fact, existing, days + CONTEXT_ROWS)
+    """Recompute only the last days of the table.
+
+    Averages and changes look back over rows, and days without transfers have none, so the facts are read from the 30th
+    stored day before the slice.
+    """
     first = F.date_sub(existing.agg(F.max("metric_date")).scalar(), days)
+    earlier = existing.filter(F.col("metric_date") < first).select("metric_date").distinct()
+    start = earlier.orderBy(F.col("metric_date").desc()).limit(CONTEXT_ROWS).agg(F.min("metric_date")).scalar()
+    context = fact.filter(first.isNull() | (F.col("transaction_date") >= F.coalesce(start, first)))
     fresh = agg_daily_metrics(context, **options)
     return fresh.filter(first.isNull() | (F.col("metric_date") >= first))
 
