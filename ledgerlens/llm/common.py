@@ -60,17 +60,24 @@ def joined(column: str) -> Column:
 
 
 def map_runs(
-    df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], pa.RecordBatch | None], schema: str, order: tuple[str, ...] = ()
+    df: DataFrame,
+    keys: list[str],
+    fn: Callable[[tuple, pa.Table], pa.RecordBatch | None],
+    schema: str,
+    order: tuple[str, ...] = (),
+    at_least: int = 1,
 ) -> DataFrame:
     """Call `fn(key values, rows)` once for each combination of the integer columns `keys`, in one sorted pass.
 
     Like a grouped map, but groups of two or three rows cost microseconds. Keys must not be null, and the caller bounds
-    the rows of a group; a task holds one group and one batch.
+    the rows of a group; a task holds one group and one batch. With `at_least`, whole groups are gathered until they
+    have that many rows, and the key given is the last one's.
     """
     at = [df.columns.index(k) for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        count = 0
         last: tuple | None = None
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -89,10 +96,12 @@ def map_runs(
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:]):
                 key = tuple(c[a].item() for c in columns)
-                if key != last:
+                if key != last and count >= at_least:
                     yield from close()
-                    held, last = [], key
+                    held, count = [], 0
+                last = key
                 held.append(batch.slice(a, b - a))
+                count += b - a
         yield from close()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

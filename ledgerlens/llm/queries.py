@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chunk_dedup, embedding_dedup, jaccard_join, mixing, packing, secret_scan, toxicity, warc
+from ledgerlens.llm import chunk_dedup, embedding_dedup, jaccard_join, mixing, packing, secret_scan, substring_dedup, suffix_dedup, toxicity, warc
 from ledgerlens.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_groups(table(spark, sf_dir, "documents"))
 
@@ -57,8 +61,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op4_packing, op5_embedding_dedup, op6_mixing, op8_jaccard_join, op9_warc)
+    f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op4_packing, op5_embedding_dedup, op6_mixing, op7_suffix_dedup, op8_jaccard_join, op9_warc, op10_substring_dedup)
 }
 
 ORACLES: dict[str, str] = {}
