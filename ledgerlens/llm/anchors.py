@@ -23,11 +23,20 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def powers(n: int) -> np.ndarray:
-    """FACTOR to the powers 0..n-1 modulo 2^64."""
-    out = np.full(n, FACTOR, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+class Powers:
+    """FACTOR and its inverse modulo 2^64 to the powers 0..n-1, kept for the largest n seen."""
+
+    up = np.ones(1, np.uint64)
+    down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            for name, base in (("up", FACTOR), ("down", np.uint64(pow(int(FACTOR), -1, 1 << 64)))):
+                out = np.full(n, base, np.uint64)
+                out[0] = 1
+                setattr(cls, name, np.multiply.accumulate(out))
+        return cls.up[:n], cls.down[:n]
 
 
 class PrefixHash:
@@ -36,16 +45,37 @@ class PrefixHash:
 
     def __init__(self, values: np.ndarray):
         n = len(values)
+        up, self.back = Powers.to(n + 1)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(n), out=self.total[1:], dtype=np.uint64)
-        inverse = np.full(n + 1, pow(int(FACTOR), -1, 1 << 64), np.uint64)
-        inverse[:1] = 1
-        self.back = np.multiply.accumulate(inverse)
+        np.cumsum(values * up[:n], out=self.total[1:])
 
     def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return scramble((self.total[end] - self.total[begin]) * self.back[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+BYTE_HASH = scramble(np.arange(1, 257, dtype=np.uint64) * FACTOR)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def byte_values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte of all texts, and where each text begins."""
+    starts = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+    return BYTE_HASH[np.frombuffer(b"".join(texts), np.uint8)], starts
+
+
+def word_values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word of all texts, and the number of the first word of each text."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    word = ~SPACE[data]
+    edge = np.flatnonzero(np.diff(np.r_[False, word, False].astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    starts = np.searchsorted(begin, np.r_[0, np.cumsum([len(t) + 1 for t in texts])])
+    if not len(begin):
+        return np.zeros(0, np.uint64), starts
+    return PrefixHash(BYTE_HASH[data]).spans(begin, end), starts
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of x[i : i + width] for each full window, by running minima from both ends of blocks of `width`."""
     n = len(x) - width + 1

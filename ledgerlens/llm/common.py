@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ledgerlens.session import write_and_read
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = "\t\n\v\f\r"
-TO_SPACE = str.maketrans(SPACES, " " * len(SPACES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +39,21 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def words(text: str) -> list[str]:
-    """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return."""
-    return [w for w in text.translate(TO_SPACE).split(" ") if w]
+def words(text: str) -> list[bytes]:
+    """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, in UTF-8."""
+    return text.encode().split()
+
+
+def portions(texts: list[str], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of texts of about `size` characters, so that arrays made from them stay small."""
+    begin, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield begin, i + 1
+            begin, total = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

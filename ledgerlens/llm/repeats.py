@@ -18,19 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.anchors import PrefixHash, anchors
-from ledgerlens.llm.common import join_checked, map_runs, stored
+from ledgerlens.llm.common import join_checked, map_runs, portions, stored
 
 ROWS = "gram long, context long, doc long, mark int, first int, last int, lead int"
-CONTEXTS = "gram long, context long, lowest long, count long, owned int, lead int, units binary"
+CONTEXTS = "gram long, context long, lowest long, owned int, lead int, units binary, at int, window long"
 
 
 @dataclass(frozen=True)
 class Units:
-    """How texts become units: `split(texts)` gives 64-bit unit hashes laid one after another, and where texts begin;
-    `cut(text, spans)` gives the bytes that stand for unit ranges of a text."""
+    """How UTF-8 texts become units: `split(texts)` gives 64-bit unit hashes laid one after another, and where texts begin;
+    `cut(text, spans)` gives the bytes that stand for unit ranges of a text, `hashes` turns these into unit hashes."""
 
-    split: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
-    cut: Callable[[str, list[tuple[int, int]]], list[bytes]]
+    split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]]
     hashes: Callable[[bytes], np.ndarray]
     width: int
     gram: int
@@ -48,52 +48,56 @@ def anchor_rows(texts: DataFrame, units: Units, narrow: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, mark = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for a in anchors(*units.split(batch.column(2).to_pylist()), units.width, units.gram):
-                columns = [a.gram.view(np.int64), doc[a.row].astype(np.int64)]
-                if not narrow:
-                    small = [x.astype(np.int32) for x in (mark[a.row], a.first, a.last, a.lead)]
-                    columns = [columns[0], a.context.view(np.int64), columns[1], *small]
-                yield pa.record_batch([pa.array(c) for c in columns], names)
+            texts = batch.column(2).to_pylist()
+            for begin, end in portions(texts):
+                values, starts = units.split([t.encode() for t in texts[begin:end]])
+                for a in anchors(values, starts, units.width, units.gram):
+                    row = a.row + begin
+                    columns = [a.gram.view(np.int64), doc[row].astype(np.int64)]
+                    if not narrow:
+                        small = [x.astype(np.int32) for x in (mark[row], a.first, a.last, a.lead)]
+                        columns = [columns[0], a.context.view(np.int64), columns[1], *small]
+                    yield pa.record_batch([pa.array(c) for c in columns], names)
 
     schema = "gram long, doc long" if narrow else ROWS
     names = [f.split()[0] for f in schema.split(", ")]
     return texts.where("doc IS NOT NULL").mapInArrow(run, schema)
 
 
-def contexts_of(texts: DataFrame, wanted: DataFrame, units: Units, most: int) -> tuple[DataFrame, DataFrame]:
-    """Contexts named in `wanted` (doc, mark, gram, context, first, last, lead, lowest, count, classes) cut from the
-    texts: those of small groups whole, and the windows of the others one by one (gram, context, at, window)."""
-    spans = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "context", "lowest", "count", "first", "last", "lead", "classes")).alias("spans"))
+def contexts_of(texts: DataFrame, wanted: DataFrame, units: Units, most: int) -> DataFrame:
+    """Contexts named in `wanted` (doc, mark, gram, context, first, last, lead, lowest, classes) cut from the texts: those
+    of groups up to `most` whole (at is null), the windows of the others one by one (at and window)."""
+    spans = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "context", "lowest", "first", "last", "lead", "classes")).alias("spans"))
     ids = stored(wanted.select("doc", "mark").distinct(), "context-ids")
-    found = join_checked(texts, ids, ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"]).join(spans, ["doc", "mark"]).select("text", "spans")
+    found = join_checked(texts, ids, ["doc", "mark"], "left_semi").join(spans, ["doc", "mark"]).select("text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    def cut(batches: Iterator[pa.RecordBatch], large: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans = [s for s in spans if (s["classes"] > most) == large]
-                if not spans:
-                    continue
-                parts = units.cut(text, [(s["first"], s["last"] + units.width) for s in spans])
+            out, size = [], 0
+            for text, spans in zip(batch.column(0), batch.column(1)):
+                spans = spans.as_py()
+                parts = units.cut(text.as_py().encode(), [(s["first"], s["last"] + units.width) for s in spans])
                 for s, part in zip(spans, parts):
-                    if large:
-                        n = s["last"] - s["first"] + 1
-                        at = np.arange(n)
-                        hashes = PrefixHash(units.hashes(part)).spans(at, at + units.width).view(np.int64)
-                        out += [(s["gram"], s["context"], s["lowest"], s["count"], k, h) for k, h in enumerate(hashes.tolist())]
-                    else:
-                        out.append((s["gram"], s["context"], s["lowest"], s["count"], s["last"] - s["first"] + 1, s["lead"], part))
-            schema = WINDOWS if large else CONTEXTS
-            names = [f.split()[0] for f in schema.split(", ")]
-            kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in schema.split(", ")]
-            for begin in range(0, len(out), 20_000):
-                columns = list(zip(*out[begin : begin + 20_000]))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    return found.mapInArrow(lambda b: cut(b, False), CONTEXTS), found.mapInArrow(lambda b: cut(b, True), WINDOWS)
-
-
-WINDOWS = "gram long, context long, lowest long, count long, at int, window long"
+                    n = s["last"] - s["first"] + 1
+                    if s["classes"] <= most:
+                        out.append((s["gram"], s["context"], s["lowest"], n, s["lead"], part, None, None))
+                        size += len(part)
+                        continue
+                    at = np.arange(n)
+                    hashes = PrefixHash(units.hashes(part)).spans(at, at + units.width).view(np.int64)
+                    out += [(s["gram"], s["context"], s["lowest"], n, s["lead"], None, k, h) for k, h in enumerate(hashes.tolist())]
+                if len(out) > 20_000 or size > 1 << 23:
+                    yield batch_of(out)
+                    out, size = [], 0
+            if out:
+                yield batch_of(out)
+
+    names = [f.split()[0] for f in CONTEXTS.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in CONTEXTS.split(", ")]
+    return found.mapInArrow(cut, CONTEXTS)
 
 
 def recurring_spans(
@@ -116,21 +120,26 @@ def recurring_spans(
     else:
         counted = anchor_rows(texts, units, True).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     grams = stored(counted.select("gram"), "grams")
-    rows = stored(join_checked(anchor_rows(texts, units, False), grams, ["gram"], "inner", 4_000_000), "anchors")
+    rows = stored(join_checked(anchor_rows(texts, units, False), grams, ["gram"], "inner"), "anchors")
     classes = stored(rows.groupBy("gram", "context").agg(F.count("*").alias("count"), F.min("doc").alias("lowest")), "classes")
-    several = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.min("lowest").alias("best")).where("classes > 1")
+    several = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
     open_classes = classes.join(several, "gram")
     one_each = rows.join(open_classes, ["gram", "context"]).where("doc = lowest").groupBy("gram", "context").agg(
-        F.min(F.struct("doc", "mark", "first", "last", "lead", "lowest", "count", "classes")).alias("r")
+        F.min(F.struct("doc", "mark", "first", "last", "lead", "lowest", "classes")).alias("r")
     )
-    contexts, windows = contexts_of(texts, stored(one_each.select("gram", "context", "r.*"), "wanted"), units, most)
+    found = stored(contexts_of(texts, stored(one_each.select("gram", "context", "r.*"), "wanted"), units, most), "contexts")
+    contexts = found.where("at IS NULL").drop("at", "window")
+    windows = found.where("at IS NOT NULL").select("gram", "context", "lowest", "at", "window").distinct()
 
     def resolve(_: tuple, table: pa.Table) -> pa.RecordBatch | None:
+        gram, context = (table.column(c).to_numpy() for c in ("gram", "context"))
+        # a row that is stored twice has its contexts twice
+        table = table.filter(pa.array(np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]))
         row, begin, end = resolver(table)
         gram, context = (table.column(c).to_numpy()[row] for c in ("gram", "context"))
         return pa.record_batch([pa.array(gram), pa.array(context), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["gram", "context", "begin", "end"])
 
-    hits = map_runs(contexts, ["gram"], resolve, "gram long, context long, begin int, end int", at_least=2000)
+    hits = map_runs(contexts, ["gram"], resolve, "gram long, context long, begin int, end int", ("context",), at_least=2000)
     best = windows.groupBy("gram", "window").agg(F.min("lowest").alias("low"), F.count("*").alias("n"))
     again = windows.join(best, ["gram", "window"]).where("low < lowest" if smaller_only else "n > 1")
     hits = hits.unionByName(again.select("gram", "context", F.col("at").alias("begin"), F.col("at").alias("end")))

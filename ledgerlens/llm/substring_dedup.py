@@ -13,40 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
+from ledgerlens.llm.anchors import word_values
 from ledgerlens.llm.common import words
 from ledgerlens.llm.repeats import Units, merged, recurring_spans, with_spans
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<begin: long, end: long>>"
 
 
-class WordNumbers(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return h
-
-
-NUMBERS = WordNumbers()
-
-
-def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    lists = [words(t) for t in texts]
-    starts = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
-    number = NUMBERS
-    return np.array([number[w] for x in lists for w in x], np.uint64), starts
-
-
-def cut_words(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
-    values, _ = split_words([text])
+def cut_words(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    values, _ = word_values([text])
     return [values[a:b].tobytes() for a, b in spans]
 
 
 def word_units(width: int, gram: int) -> Units:
-    return Units(split_words, cut_words, lambda b: np.frombuffer(b, np.uint64), width, gram)
+    return Units(word_values, cut_words, lambda b: np.frombuffer(b, np.uint64), width, gram)
 
 
 def deep_nodes(group: np.ndarray, suffixes: np.ndarray, width: int) -> np.ndarray:
@@ -104,7 +86,7 @@ def without_repeats(
                     kept += found[at:a]
                     at = b
                 kept += found[at:]
-                digest = hashlib.sha256(" ".join(kept).encode()).hexdigest()
+                digest = hashlib.sha256(b" ".join(kept)).hexdigest()
                 out.append((len(found), len(found) - len(kept), digest, [{"begin": a, "end": b} for a, b in gone]))
             n, removed, digest, gone = zip(*out) if out else ((), (), (), ())
             ranges = pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))

@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerlens.llm.anchors import FACTOR, PrefixHash, scramble
+from ledgerlens.llm.anchors import BYTE_HASH, PrefixHash, byte_values
 from ledgerlens.llm.repeats import Units, merged, recurring_spans, with_spans
 
-BYTE_HASH = scramble(np.arange(1, 257, dtype=np.uint64) * FACTOR)
 BLOCK = 32
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<begin: long, end: long>>"
 
@@ -126,19 +125,12 @@ def longest_matches(s: list[int], array: list[int]) -> list[int]:
     return best
 
 
-def split_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    encoded = [t.encode() for t in texts]
-    starts = np.r_[0, np.cumsum([len(e) for e in encoded])].astype(np.int64)
-    return BYTE_HASH[np.frombuffer(b"".join(encoded), np.uint8)], starts
-
-
-def cut_bytes(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
-    data = text.encode()
-    return [data[a:b] for a, b in spans]
+def cut_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    return [text[a:b] for a, b in spans]
 
 
 def byte_units(width: int, gram: int) -> Units:
-    return Units(split_bytes, cut_bytes, lambda b: BYTE_HASH[np.frombuffer(b, np.uint8)], width, gram)
+    return Units(byte_values, cut_bytes, lambda b: BYTE_HASH[np.frombuffer(b, np.uint8)], width, gram)
 
 
 def may_recur(contexts: list[bytes], leads: list[int], owned: list[int], width: int, block: int) -> list[np.ndarray]:

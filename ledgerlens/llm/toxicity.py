@@ -62,7 +62,7 @@ class Scorer:
         found, m = words(text.lower()), self.model
         if not found:
             return [NEUTRAL] * (3 + len(STEPS))
-        windows = [" ".join(found[i : i + m.window]).encode() for i in range(0, max(len(found) - m.window + m.stride, 1), m.stride)]
+        windows = [b" ".join(found[i : i + m.window]) for i in range(0, max(len(found) - m.window + m.stride, 1), m.stride)]
         gains = sorted((len(self.ordinary(w)) - len(self.toxic(w)) for w in windows), reverse=True)
         best = gains[:3]
         counts = [math.log1p(sum(g >= s for g in gains)) for s in STEPS]
@@ -82,7 +82,7 @@ def contrast(toxic: list[str], ordinary: list[str], least: int = 4) -> tuple[dic
     for group in (toxic, ordinary):
         count: Counter[str] = Counter()
         for t in group:
-            own = set(words(t.lower()))
+            own = {w.decode() for w in words(t.lower())}
             whole.update(own)
             count.update(own.union(w[:n] for w in own for n in range(least, len(w))))
         frequencies.append(count)
