@@ -19,40 +19,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SPACES, in_blocks, join_checked, map_runs, stored
+from ledgerlens.llm.anchors import word_values
+from ledgerlens.llm.common import in_blocks, join_checked, map_runs, portions, stored
 from ledgerlens.operators.neighbors import connected_components
 
 SKETCH_BITS = 1024
 LEAF = 48
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + SPACES, "abcdefghijklmnopqrstuvwxyz" + " " * len(SPACES))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SIGNATURES = "doc_id long, n int, set_key binary, prefix array<long>, sketch binary"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return h
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(text: str, size: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct 64-bit hashes of all word shingles, ascending; fewer words than `size` are one shingle."""
-    found = [hashes[w] for w in text.translate(LOWER).split(" ") if w]
-    if not found:
-        return np.zeros(0, np.uint64)
-    word = np.array(found, np.uint64)
-    span = min(size, len(word))
-    h = np.full(len(word) - span + 1, span, np.uint64)
+def chained(words: np.ndarray, span: int) -> np.ndarray:
+    """Hash of each run of `span` words."""
+    h = np.full(len(words) - span + 1, span, np.uint64)
     for i in range(span):
-        h = mixed(h * MULTIPLIER + word[i : len(word) - span + 1 + i])
-    return np.unique(h)
+        h = mixed(h * MULTIPLIER + words[i : len(words) - span + 1 + i])
+    return h
+
+
+def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
+    """For each text the distinct 64-bit hashes of its word shingles, ascending; fewer words than `size` are one shingle."""
+    for begin, end in portions(texts):
+        words, starts = word_values([t.encode().lower() for t in texts[begin:end]])
+        runs = chained(words, size) if len(words) >= size else words[:0]
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if b - a >= size:
+                yield np.unique(runs[a : b - size + 1])
+            else:
+                yield chained(words[a:b], b - a) if b > a else words[:0]
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
@@ -154,11 +153,9 @@ def signatures(docs: DataFrame, size: int, similar: tuple[int, int], id_column:
     up, down = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             rows = []
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t or "", size, hashes)
+            for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], size):
                 first = len(s) - -(-len(s) * up // down) + 1 if len(s) else 0
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:first].view(np.int64), sketch_of(s)))
             n, key, prefix, sketch = zip(*rows) if rows else ((), (), (), ())
@@ -173,13 +170,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, id_column: str, text: st
     """(doc, shingles) of the documents in `ids` (column doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t or "", size, hashes).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [s.tobytes() for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
     wanted = join_checked(docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text")), ids, ["doc"], "left_semi")
-    return wanted.mapInArrow(run, "doc long, shingles binary").dropDuplicates(["doc", "shingles"])
+    return wanted.mapInArrow(run, "doc long, shingles binary")
 
 
 def similarity_groups(
