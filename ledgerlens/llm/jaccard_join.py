@@ -231,8 +231,22 @@ def similarity_groups(
             yield pa.record_batch([b.column("region"), b.column("doc"), pa.array(linked), pa.array(away)], ["region", "doc", "linked", "away"])
 
     pivot_sets = sets.select(F.col("doc").alias("region"), F.col("shingles").alias("pivot_shingles"))
-    checked = near.join(sets, "doc").join(pivot_sets, "region").mapInArrow(verified, "region long, doc long, linked boolean, away double")
-    checked = stored(checked.groupBy("region", "doc").agg(F.max("linked").alias("linked"), F.max("away").alias("away")), "checked")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(sets, "doc").join(pivot_sets, "region").mapInArrow(verified, "region long, doc long, linked boolean, away double")
+        return stored(found.groupBy("region", "doc").agg(F.max("linked").alias("linked"), F.max("away").alias("away")), "checked")
+
+    # a set is first held against its smallest pivot; where another pivot of it is linked to the same one, both are
+    # connected, and the sum of the two distances bounds theirs from above
+    first = near.groupBy("doc").agg(F.min("region").alias("region"))
+    checked = verify(first)
+    mine = checked.where("linked").select("doc", F.col("region").alias("center"), F.col("away").alias("own_away"))
+    theirs = mine.select(F.col("doc").alias("region"), F.col("center").alias("other_center"), F.col("own_away").alias("other_away"))
+    others = near.join(first.withColumnRenamed("region", "smallest"), "doc").where("region <> smallest").drop("smallest")
+    others = stored(others.join(mine, "doc", "left").join(theirs, "region", "left"), "others")
+    shared_center = F.coalesce(F.col("center") == F.col("other_center"), F.lit(False))
+    inferred = others.where(shared_center).select("region", "doc", F.lit(True).alias("linked"), F.least(F.col("own_away") + F.col("other_away"), F.lit(1.0)).alias("away"))
+    checked = stored(checked.unionByName(inferred).unionByName(verify(others.where(~shared_center).select("region", "doc"))), "all-checked")
 
     rest = placed.join(checked, ["region", "doc"], "left").withColumn("outside", ~F.coalesce("linked", F.lit(False)))
     rest = rest.withColumn("least", F.coalesce("away", "least"))

@@ -37,13 +37,16 @@ SEGMENT_BITS = 1.0
 LONGEST_WORD = 24
 
 
-def neighbours() -> dict[str, str]:
-    """Keys beside each key of the keyboard, in the own row and the rows above and below."""
-    place = {c: (y, x + y * 0.5) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-    return {c: "".join(d for d in place if d != c and abs(place[d][0] - y) <= 1 and abs(place[d][1] - x) <= 1.01) for c, (y, x) in place.items()}
+#: Row and column of each key; lower rows stand half a key further right.
+PLACE = {c: (y, x + y * 0.5) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 
 
-NEXT_TO = neighbours()
+def step(a: str, b: str) -> tuple[float, float] | None:
+    """Direction from key a to a key beside it, in the own row or the next one."""
+    if a == b or a not in PLACE or b not in PLACE:
+        return None
+    down, right = PLACE[b][0] - PLACE[a][0], PLACE[b][1] - PLACE[a][1]
+    return (down, right) if abs(down) <= 1 and abs(right) <= 1 else None
 
 
 def brute_bits(c: str) -> float:
@@ -60,9 +63,10 @@ def guess_bits(value: str, ranks: Mapping[str, int]) -> float:
     for i in range(n - 2, -1, -1):
         if low[i] == low[i + 1]:
             runs_same[i] = runs_same[i + 1] + 1
-        if low[i + 1] in NEXT_TO.get(low[i], ""):
+        way = step(low[i], low[i + 1])
+        if way:
             runs_walk[i] = runs_walk[i + 1] + 1
-            turns[i] = turns[i + 1] + (i + 2 < n and runs_walk[i + 1] > 1 and (ord(low[i + 1]) - ord(low[i])) != (ord(low[i + 2]) - ord(low[i + 1])))
+            turns[i] = turns[i + 1] + (runs_walk[i + 1] > 1 and way != step(low[i + 1], low[i + 2]))
     best = [0.0] + [math.inf] * n
 
     def reach(j: int, bits: float) -> None:
@@ -85,7 +89,7 @@ def guess_bits(value: str, ranks: Mapping[str, int]) -> float:
             for k in (3, runs_same[i]):
                 reach(i + k, here + brute_bits(value[i]) + math.log2(k))
         if runs_walk[i] >= 4:
-            reach(i + runs_walk[i], here + math.log2(len(NEXT_TO)) + math.log2(runs_walk[i]) + 2.0 * (1 + turns[i]))
+            reach(i + runs_walk[i], here + math.log2(len(PLACE)) + math.log2(runs_walk[i]) + 2.0 * (1 + turns[i]))
         for block in range(2, min((n - i) // 2, LONGEST_WORD) + 1):
             times = 1
             while low.startswith(low[i : i + block], i + times * block):
