@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,54 +17,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import stored
+from ledgerlens.llm.common import portions, stored
 
 CAPACITY = 4096
 END_ID = 1
 FAR = np.int64(1) << 60
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", bin long, offset long"
+MARKS = ".,;:!?"
 #: Python splits words at these too, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordIds(dict):
-    """Token ids of a word, packed as little-endian 32-bit numbers; kept for words seen, up to `limit` of them."""
+    """Token ids of a word, packed as little-endian 32-bit numbers; kept for words seen, up to `limit` of them.
 
-    def __init__(self, path: str, limit: int = 400_000):
+    New words are encoded many at a time, as one text, and its tokens are dealt to words by where they begin.
+    """
+
+    def __init__(self, path: str, limit: int = 600_000, together: int = 2000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
+        self.limit, self.together = limit, together
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+    def learn(self, found: set[str]) -> None:
+        new = [w for w in found if w not in self]
+        if len(self) + len(new) > self.limit:
             self.clear()
-        ids = self.encode(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
+            new = list(found)
+        # letters are lower-cased and end where punctuation begins: most new words are known ones, written otherwise
+        parts = {}
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and core.lower().isalpha():
+                parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
+            else:
+                parts[w] = (w, "")
+        plain = list(dict.fromkeys(p for pair in parts.values() for p in pair if p and p not in self))
+        for i in range(0, len(plain), self.together):
+            part = plain[i : i + self.together]
+            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            data = np.asarray(encoded.ids, "<u4").tobytes()
+            begins = np.r_[0, np.cumsum([len(w) + 1 for w in part])]
+            edges = (4 * np.searchsorted([o[0] for o in encoded.offsets], begins)).tolist()
+            self.update((w, data[a:b]) for w, a, b in zip(part, edges, edges[1:]))
+        for w, (core, tail) in parts.items():
+            self[w] = self[core] + (self[tail] if tail else b"")
+
+    def of(self, texts: list[str]) -> list[bytes]:
         """White space ends a word for this tokenizer, so a text's ids are its words' ids one after another."""
-        if any(c in text for c in SEPARATORS):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        split = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
+        self.learn(set().union(*(w for w in split if w)))
+        return [self.encode(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, split)]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table of words for each Python worker, whose tasks share it."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of every document's ids followed by the end id; null text is empty (one piece with the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of.of(value.as_py() or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            encoded = (ids for a, b in portions(texts) for ids in ids_of.of(texts[a:b]))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded):
+                ids += end
                 step = 4 * capacity
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
