@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chunk_dedup, embedding_dedup, jaccard_join, mixing, packing, secret_scan, substring_dedup, suffix_dedup, toxicity, warc
+from ledgerlens.llm import chunk_dedup, embedding_dedup, jaccard_join, mixing, packing, secret_scan, sql, substring_dedup, suffix_dedup, toxicity, warc
 from ledgerlens.llm.common import table
 
 
@@ -69,4 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op4_packing, op5_embedding_dedup, op6_mixing, op7_suffix_dedup, op8_jaccard_join, op9_warc, op10_substring_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": sql.EXACT_DEDUP,
+    "op6_mixing": sql.MIXING,
+    "op9_warc": sql.WARC,
+    "op10_substring_dedup": sql.SUBSTRING_DEDUP,
+}

@@ -82,3 +82,12 @@ def test_archive_files_and_broken_records(spark, tmp_path):
     cut = sorted((r for r in rows if r["archive"].endswith("b.warc.zst")), key=lambda r: r["position"])
     assert len(cut) == 4 and "cut" in cut[3]["error"] and cut[0]["error"] is None
     assert hashlib.sha1(b"payload").digest()
+
+
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_mixing", "op9_warc", "op10_substring_dedup"])
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    from oracle import compare
+
+    from ledgerlens.llm.queries import ORACLES, QUERIES
+
+    assert compare(spark, duck, sf_dir, QUERIES[name], ORACLES[name])[0] == "ok"
