@@ -65,11 +65,12 @@ def unix_to_timestamp(c: Column) -> Column:
 def parse_amount(c: Column) -> Column:
     """Whole number from decimal or 0x-prefixed hexadecimal text of up to 256 bits.
 
-    Missing or empty text is 0; amounts over 38 digits and broken text are NULL. Hexadecimal is read in three groups of
-    12 digits because a single `conv` holds only 64 bits.
+    Missing or empty text is 0; amounts over 38 digits and broken text (`0x` without digits too) are NULL. Leading zeros
+    of any number do not count. Hexadecimal is read in three groups of 12 digits because a single `conv` holds only 64
+    bits.
     """
     text = F.lower(F.trim(c))
-    digits = F.ltrim(F.substring(text, 3, 64), F.lit("0"))
+    digits = F.ltrim(F.substr(text, F.lit(3)), F.lit("0"))
     padded = F.lpad(digits, 36, "0")
     groups = [F.conv(F.substring(padded, start, 12), 16, 10).cast(WEI) for start in (1, 13, 25)]
     weights = [F.lit(str(2**shift)).cast(WEI) for shift in (96, 48, 0)]

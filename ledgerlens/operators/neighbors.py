@@ -334,7 +334,7 @@ def _spanning_forest(n: int, rows: np.ndarray, cols: np.ndarray) -> list[tuple[i
     return kept
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node of the component, for every node of the (a, b) edge table.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). Minima combine in the map tasks; each round is
@@ -359,14 +359,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     current = edges.select("a", "b").filter("a <> b").distinct()
     seen = None
-    for _ in range(max_rounds):
+    while True:
         current = materialize(small_star(large_star(current)))
         now = checksum(current)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     centers = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centers)
 

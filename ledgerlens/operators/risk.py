@@ -52,6 +52,16 @@ def _page(df: DataFrame, sort_by: str, descending: bool, page: int, page_size: i
     return df.orderBy(order, "wallet_address").offset((page - 1) * page_size).limit(page_size)
 
 
+def _check_bounds(min_score: float | None, max_score: float | None, min_tx_count: int | None, page: int, page_size: int | None) -> None:
+    """Scores lie in 0..1, counts are not negative, pages start at 1 and hold 1 to 1,000 rows."""
+    if any(s is not None and not 0 <= s <= 1 for s in (min_score, max_score)):
+        raise ValueError("scores lie between 0 and 1")
+    if min_tx_count is not None and min_tx_count < 0:
+        raise ValueError("min_tx_count must not be negative")
+    if page < 1 or page_size is not None and not 1 <= page_size <= 1000:
+        raise ValueError("page starts at 1, page_size lies between 1 and 1000")
+
+
 def risk_wallet_page(
     scores: DataFrame,
     features: DataFrame,
@@ -64,11 +74,12 @@ def risk_wallet_page(
     sort_by: str = "fraud_score",
     descending: bool = True,
     page: int = 1,
-    page_size: int = 50,
+    page_size: int | None = None,
 ) -> DataFrame:
-    """One page of scored wallets with activity from the feature table."""
-    given = {"min_score": min_score, "is_suspicious": is_suspicious, "page_size": page_size}
-    given.update(PRESETS[preset])
+    """One page of scored wallets with activity from the feature table; what is asked for goes before the preset."""
+    _check_bounds(min_score, max_score, min_tx_count, page, page_size)
+    asked = {"min_score": min_score, "is_suspicious": is_suspicious, "page_size": page_size}
+    given = dict.fromkeys(asked) | {"page_size": 50} | PRESETS[preset] | {k: v for k, v in asked.items() if v is not None}
     joined = _filtered(scores, features, given["min_score"], max_score, given["is_suspicious"], min_tx_count)
     suspicious = F.col("fraud_score") >= T.SUSPICIOUS_FROM
     rows = joined.select(
@@ -189,11 +200,10 @@ def connected_to_suspicious(
 ) -> DataFrame:
     """Wallets one transfer away from a suspicious wallet that are not suspicious themselves.
 
-    Transfers collapse to distinct (wallet, counterparty) pairs first, so repeated transfers of a busy wallet reach the
-    joins once.
+    Edges are reduced to those that touch a suspicious wallet before the distinct wallets are shuffled.
     """
     suspicious = scores.filter(F.col("fraud_score") >= threshold).select("wallet_address")
-    pairs = wallet_edges(fact).select("wallet_address", "counterparty").distinct()
+    pairs = wallet_edges(fact).select("wallet_address", "counterparty")
     neighbours = (
         pairs.join(suspicious.withColumnRenamed("wallet_address", "counterparty"), "counterparty", "left_semi")
         .select("wallet_address")

@@ -124,7 +124,7 @@ def _clean_transactions(keyed: DataFrame, extra: Sequence[Column], staged_at: Co
         c("gas").cast("bigint").alias("gas_limit"),
         c("gas_price").cast(L.WEI).alias("gas_price_wei"),
         c("gas_used").cast("bigint").alias("gas_used"),
-        F.try_multiply(c("gas_price").cast("decimal(28,0)"), c("gas_used").cast("decimal(19,0)"))
+        F.try_multiply(c("gas_price").try_cast("decimal(28,0)"), c("gas_used").try_cast("decimal(19,0)"))
         .cast(L.WEI)
         .alias("gas_fee_wei"),
         (c("gas_used").cast("double") * c("gas_price").cast("double") / F.lit(L.WEI_PER_ETH)).alias("gas_fee_eth"),

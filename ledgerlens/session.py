@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,12 +37,12 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster in spark.checkpoint.dir.
 
-    Only a local master may fall back to a folder of its own: on a cluster a machine-local path would lose data with
-    its executor.
+    Only a master whose tasks all run in the driver's process may fall back to a folder of its own: elsewhere a
+    machine-local path would lose data with its executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="ledgerlens-")
     if spark.sparkContext.getCheckpointDir() is None:

@@ -128,3 +128,27 @@ def test_histogram_matches_numpy(spark):
     rows = {r.bin: r["count"] for r in S.histogram(frame, "v", 20).collect()}
     expected, _ = np.histogram(values, bins=20)
     assert [rows.get(i, 0) for i in range(20)] == expected.tolist()
+
+
+def test_hexadecimal_of_any_length(spark):
+    from ledgerlens.functions import ledger
+
+    cases = {
+        "0x" + "0" * 60 + "ffff1234": 4294906420,
+        "0x" + "0" * 78 + "10": 16,
+        "0x" + "f" * 31: 16**31 - 1,
+        "0x" + "f" * 65: None,
+        "1" + "0" * 38: None,
+        "0x": None,
+        "": 0,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", ledger.parse_amount(F.col("t")).alias("n"))
+    assert {r.t: None if r.n is None else int(r.n) for r in df.collect()} == cases
+
+
+def test_page_bounds():
+    from ledgerlens.operators import risk
+
+    for wrong in ({"min_score": 1.2}, {"page": 0}, {"page_size": 1001}, {"min_tx_count": -1}):
+        with pytest.raises(ValueError):
+            risk.risk_wallet_page(None, None, **wrong)
