@@ -6,7 +6,8 @@ other. Regions therefore come from shared shingles first: two sets of similarity
 In a region the distance to the pivot decides: sets within the threshold are linked to it, and by the triangle
 inequality only those near the border (their distance to the pivot within 1 - t of a set outside) must meet the sets
 outside. What is left is joined block by block, each by pivots, Voronoi cells with replicated border sets, recursively.
-Parity sketches bound symmetric differences from below and save most comparisons; every link is verified on whole sets.
+Parity sketches bound symmetric differences from below and save most comparisons: first short ones of equal length, then,
+for what these leave, wide ones with about a bit for each shingle. Every link is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from ledgerlens.operators.neighbors import connected_components
 SKETCH_BITS = 1024
 LEAF = 48
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-SIGNATURES = "doc_id long, n int, set_key binary, prefix array<long>, sketch binary"
+SIGNATURES = "doc_id long, n int, set_key binary, prefix array<long>, sketch binary, wide binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,15 +55,51 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
                 yield chained(words[a:b], b - a) if b > a else words[:0]
 
 
-def sketch_of(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of SKETCH_BITS classes."""
-    kind = (shingles >> np.uint64(20)).astype(np.int64) % SKETCH_BITS
-    return np.packbits((np.bincount(kind, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def sketch_of(shingles: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parity of the number of shingles in each of `bits` classes; `bits` is a power of two."""
+    kind = (shingles >> np.uint64(20)).astype(np.int64) % bits
+    return np.packbits((np.bincount(kind, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_sketch(shingles: np.ndarray) -> bytes | None:
+    """Sketch with at least a bit for each shingle, where the short one would be full."""
+    return sketch_of(shingles, 1 << (len(shingles) - 1).bit_length()) if len(shingles) > SKETCH_BITS else None
 
 
 def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lower bound of the symmetric difference: bits in which sketches differ."""
-    return np.bitwise_count(a ^ b).sum(-1).astype(np.int64)
+    """Lower bound of the symmetric difference: bits in which sketches differ. A longer sketch is folded to the shorter."""
+
+    def folded(x: np.ndarray, width: int) -> np.ndarray:
+        while x.shape[-1] > width:
+            x = x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2 :]
+        return x
+
+    width = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(folded(a, width) ^ folded(b, width)).sum(-1).astype(np.int64)
+
+
+class Sketches:
+    """Sketches of any lengths, those of one length in one array."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.width = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.row = np.zeros(len(sketches), np.int64)
+        self.arrays: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == width)
+            self.row[at] = np.arange(len(at))
+            self.arrays[width] = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint64).reshape(len(at), width)
+
+    def difference(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Lower bounds of the symmetric differences between set i and the others."""
+        mine = self.arrays[int(self.width[i])][self.row[i]]
+        out = np.zeros(len(others), np.int64)
+        widths = self.width[others]
+        for width, rows in self.arrays.items():
+            at = np.flatnonzero(widths == width)
+            if len(at):
+                out[at] = least_difference(mine, rows[self.row[others[at]]])
+        return out
 
 
 def may_link(na, nb, difference, similar: tuple[int, int]):
@@ -97,7 +134,7 @@ def distances(sets: list[np.ndarray], pivot: np.ndarray) -> np.ndarray:
 class RegionJoin:
     """Links within one region (or between two of its blocks) that connect what is not connected yet."""
 
-    def __init__(self, sets: list[np.ndarray], sketches: np.ndarray, block: np.ndarray, cross: bool, outside: np.ndarray, similar: tuple[int, int]):
+    def __init__(self, sets: list[np.ndarray], sketches: Sketches, block: np.ndarray, cross: bool, outside: np.ndarray, similar: tuple[int, int]):
         self.sets, self.sketches, self.block, self.cross, self.outside, self.similar = sets, sketches, block, cross, outside, similar
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.root = list(range(len(sets)))
@@ -117,7 +154,8 @@ class RegionJoin:
             if self.cross:
                 pairs &= self.block[i] != self.block[rest]
             rest = rest[pairs]
-            near = may_link(self.sizes[i], self.sizes[rest], least_difference(self.sketches[i], self.sketches[rest]), self.similar)
+            rest = rest[may_link(self.sizes[i], self.sizes[rest], np.abs(self.sizes[i] - self.sizes[rest]), self.similar)]
+            near = may_link(self.sizes[i], self.sizes[rest], self.sketches.difference(int(i), rest), self.similar)
             for j in rest[near].tolist():
                 a, b = self.find(int(i)), self.find(j)
                 if a != b and links(self.sets[i], self.sets[j], self.similar):
@@ -149,7 +187,7 @@ class RegionJoin:
 
 
 def signatures(docs: DataFrame, size: int, similar: tuple[int, int], id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: set size, 128-bit key of the set, its smallest hashes and parity sketch."""
+    """Per row: set size, 128-bit key of the set, its smallest hashes and parity sketches (the wide one null where the short one does)."""
     up, down = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +195,10 @@ def signatures(docs: DataFrame, size: int, similar: tuple[int, int], id_column:
             rows = []
             for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], size):
                 first = len(s) - -(-len(s) * up // down) + 1 if len(s) else 0
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:first].view(np.int64), sketch_of(s)))
-            n, key, prefix, sketch = zip(*rows) if rows else ((), (), (), ())
-            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip((n, key, prefix, sketch), kinds))], names)
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:first].view(np.int64), sketch_of(s), wide_sketch(s)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
     names = [f.split()[0] for f in SIGNATURES.split(", ")]
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, SIGNATURES)
@@ -216,7 +254,22 @@ def similarity_groups(
     placed = regions.join(brief, "doc").join(pivot, "region").mapInArrow(bound, "region long, doc long, n int, sketch binary, near boolean, least double")
     placed = stored(placed, "placed")
 
-    near = placed.where("near").select("region", "doc")
+    wide = leaders.select(F.col("doc_id").alias("doc"), F.coalesce("wide", "sketch").alias("wide"))
+
+    def bound_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "pivot_n"))
+            pairs = zip(b.column("wide").to_pylist(), b.column("pivot_wide").to_pylist())
+            apart = np.array([least_difference(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], np.int64)
+            near = may_link(n, m, apart, similar)
+            yield pa.record_batch([b.column("region"), b.column("doc"), pa.array(near), pa.array(2 * apart / (n + m + apart))], ["region", "doc", "near", "least"])
+
+    long_pairs = placed.where(F.col("near") & (F.col("n") > SKETCH_BITS)).select("region", "doc", "n").join(wide, "doc")
+    pivot_wide = wide.select(F.col("doc").alias("region"), F.col("wide").alias("pivot_wide")).join(pivot.select("region", "pivot_n"), "region")
+    long_pairs = stored(long_pairs.join(pivot_wide, "region").mapInArrow(bound_wide, "region long, doc long, near boolean, least double"), "long-pairs")
+
+    near = placed.where(F.col("near") & (F.col("n") <= SKETCH_BITS)).select("region", "doc")
+    near = near.unionByName(long_pairs.where("near").select("region", "doc"))
     ids = stored(near.select(F.explode(F.array("region", "doc")).alias("doc")).distinct(), "near-ids")
     sets = stored(sets_of(docs, ids, shingle_words, id_column, text), "near-sets")
 
@@ -248,7 +301,9 @@ def similarity_groups(
     inferred = others.where(shared_center).select("region", "doc", F.lit(True).alias("linked"), F.least(F.col("own_away") + F.col("other_away"), F.lit(1.0)).alias("away"))
     checked = stored(checked.unionByName(inferred).unionByName(verify(others.where(~shared_center).select("region", "doc"))), "all-checked")
 
-    rest = placed.join(checked, ["region", "doc"], "left").withColumn("outside", ~F.coalesce("linked", F.lit(False)))
+    refuted = long_pairs.where("NOT near").groupBy("region", "doc").agg(F.max("least").alias("away"))
+    bounds = checked.unionByName(refuted.withColumn("linked", F.lit(False)))
+    rest = placed.join(bounds, ["region", "doc"], "left").withColumn("outside", ~F.coalesce("linked", F.lit(False)))
     rest = rest.withColumn("least", F.coalesce("away", "least"))
     edge = rest.where("outside").groupBy("region").agg(F.min("least").alias("first"), F.count("*").alias("others"))
     rest = rest.join(edge, "region").where(F.col("outside") | (F.col("least") >= F.col("first") - F.lit(1 - up / down + 1e-9)))
@@ -258,29 +313,34 @@ def similarity_groups(
         """Documents of a pair of blocks that may link with another one."""
         n, outside, block = (rows.column(c).to_numpy() for c in ("n", "outside", "block"))
         n = n.astype(np.int64)
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+        sketches = Sketches(rows.column("sketch").to_pylist())
         hit = np.zeros(len(n), bool)
         left = np.flatnonzero(block == key[1])
         right = np.flatnonzero(block == key[2])
         for i in left.tolist():
             j = right[right > i] if key[1] == key[2] else right
             j = j[outside[i] | outside[j]]
-            j = j[may_link(n[i], n[j], least_difference(sketch[i], sketch[j]), similar)]
+            j = j[may_link(n[i], n[j], np.abs(n[i] - n[j]), similar)]
+            j = j[may_link(n[i], n[j], sketches.difference(i, j), similar)]
             if len(j):
                 hit[i] = True
                 hit[j] = True
         return pa.record_batch([pa.array(np.full(hit.sum(), key[0])), rows.column("doc").combine_chunks().filter(pa.array(hit))], ["region", "doc"])
 
-    blocks = in_blocks(rest, ["region"], "doc", block_rows).select("region", "low", "high", "doc", "n", "sketch", "outside", "block")
-    alive = stored(map_runs(blocks, ["region", "low", "high"], possible, "region long, doc long").distinct(), "alive")
+    def alive_of(rows: DataFrame, name: str) -> DataFrame:
+        blocks = in_blocks(rows, ["region"], "doc", block_rows).select("region", "low", "high", "doc", "n", "sketch", "outside", "block")
+        return stored(map_runs(blocks, ["region", "low", "high"], possible, "region long, doc long").distinct(), name)
+
+    short = alive_of(rest, "alive-short")
+    rest = stored(short.join(rest, ["region", "doc"]).drop("sketch").join(wide.withColumnRenamed("wide", "sketch"), "doc"), "rest-wide")
+    alive = alive_of(rest, "alive")
     more = sets_of(docs, stored(alive.select("doc").distinct(), "alive-ids"), shingle_words, id_column, text)
     last = in_blocks(alive.join(rest.select("region", "doc", "sketch", "outside"), ["region", "doc"]), ["region"], "doc", block_rows)
     last = last.join(more, "doc").select("region", "low", "high", "doc", "sketch", "outside", "block", "shingles")
 
     def joined_region(key: tuple, rows: pa.Table) -> pa.RecordBatch | None:
         sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(sets), -1)
-        join = RegionJoin(sets, sketch, rows.column("block").to_numpy(), key[1] != key[2], rows.column("outside").to_numpy(), similar)
+        join = RegionJoin(sets, Sketches(rows.column("sketch").to_pylist()), rows.column("block").to_numpy(), key[1] != key[2], rows.column("outside").to_numpy(), similar)
         join.join(np.arange(len(sets)), np.arange(0))
         doc = rows.column("doc").to_numpy()
         return pa.record_batch([pa.array([doc[i] for i, _ in join.found], pa.int64()), pa.array([doc[j] for _, j in join.found], pa.int64())], ["a", "b"])

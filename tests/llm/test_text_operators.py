@@ -226,13 +226,41 @@ def test_jaccard_edge_cases(docs_of):
     assert {r["component_id"] for r in jaccard_join.similarity_groups(docs_of([(None, "a b", "s"), (4, "A B", "s")])).collect()} == {None, 4}
 
 
+def test_long_texts_that_share_passages(docs_of):
+    r = random.Random(8)
+    passages = [" ".join(f"p{r.randrange(9000)}" for _ in range(150)) for _ in range(4)]
+    rows = []
+    for i in range(24):
+        parts = [" ".join(f"w{r.randrange(9000)}" for _ in range(r.choice([300, 700]))) for _ in range(4)]
+        rows.append((i, " ".join(x for p in zip(parts, passages) for x in p), "s"))
+    for i in range(0, 24, 3):
+        w = rows[i][1].split(" ")
+        for at in r.sample(range(len(w)), len(w) // r.choice([20, 60])):
+            w[at] = "changed"
+        rows.append((100 + i, " ".join(w), "s"))
+    got = by_id(jaccard_join.similarity_groups(docs_of(rows), block_rows=9), "n_shingles", "component_id")
+    assert got == brute_groups(rows, 4, 85, 100)
+    assert any(c != doc for doc, (_, c) in got.items())
+
+
+def test_sketches_of_any_width_never_exceed_the_difference():
+    r = random.Random(9)
+    sets = [np.unique(np.array([r.getrandbits(62) for _ in range(n)], np.uint64)) for n in (3, 900, 1024, 1025, 2048, 5000)]
+    sets += [np.unique(np.r_[s[: -max(1, len(s) // 30)], s[:1] + np.uint64(7)]) for s in sets]
+    sketches = jaccard_join.Sketches([jaccard_join.wide_sketch(s) or jaccard_join.sketch_of(s) for s in sets])
+    for i, a in enumerate(sets):
+        bounds = sketches.difference(i, np.arange(len(sets)))
+        assert all(d <= len(np.setxor1d(a, b)) for d, b in zip(bounds.tolist(), sets))
+        assert bounds[i] == 0
+
+
 def test_voronoi_cells_miss_no_link():
     r = random.Random(2)
     sets = []
     for _ in range(30):
         base = r.sample(range(100_000), 60)
         sets += [np.unique(np.array([*r.sample(base, 57), *r.sample(range(100_000), 3)], np.uint64)) for _ in range(10)]
-    sketch = np.stack([np.frombuffer(jaccard_join.sketch_of(s), np.uint64) for s in sets])
+    sketch = jaccard_join.Sketches([jaccard_join.sketch_of(s) for s in sets])
     n = len(sets)
     join = jaccard_join.RegionJoin(sets, sketch, np.zeros(n, int), False, np.ones(n, bool), (80, 100))
     join.join(np.arange(n), np.arange(0))
