@@ -12,6 +12,7 @@ for what these leave, wide ones with about a bit for each shingle. Every link is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from ledgerlens.llm.common import in_blocks, join_checked, map_runs, portions, s
 from ledgerlens.operators.neighbors import connected_components
 
 SKETCH_BITS = 1024
+PORTION = 1 << 19
+PAIRS_AT_ONCE = 256
 LEAF = 48
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SIGNATURES = "doc_id long, n int, set_key binary, prefix array<long>, sketch binary, wide binary"
@@ -45,7 +48,7 @@ def chained(words: np.ndarray, span: int) -> np.ndarray:
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     """For each text the distinct 64-bit hashes of its word shingles, ascending; fewer words than `size` are one shingle."""
-    for begin, end in portions(texts):
+    for begin, end in portions(texts, PORTION):
         words, starts = word_values([t.encode().lower() for t in texts[begin:end]])
         runs = chained(words, size) if len(words) >= size else words[:0]
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -192,13 +195,14 @@ def signatures(docs: DataFrame, size: int, similar: tuple[int, int], id_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], size):
-                first = len(s) - -(-len(s) * up // down) + 1 if len(s) else 0
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:first].view(np.int64), sketch_of(s), wide_sketch(s)))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
+            docs, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in portions(texts, PORTION):
+                rows = []
+                for s in shingle_sets(texts[a:b], size):
+                    first = len(s) - -(-len(s) * up // down) + 1 if len(s) else 0
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:first].view(np.int64), sketch_of(s), wide_sketch(s)))
+                kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                yield pa.record_batch([docs.slice(a, b - a), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
     names = [f.split()[0] for f in SIGNATURES.split(", ")]
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, SIGNATURES)
@@ -209,8 +213,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, id_column: str, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["doc", "shingles"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in portions(texts, PORTION):
+                sets = [s.tobytes() for s in shingle_sets(texts[a:b], size)]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
     wanted = join_checked(docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text")), ids, ["doc"], "left_semi")
     return wanted.mapInArrow(run, "doc long, shingles binary")
@@ -274,7 +280,7 @@ def similarity_groups(
     sets = stored(sets_of(docs, ids, shingle_words, id_column, text), "near-sets")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(at, PAIRS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, PAIRS_AT_ONCE)):
             linked, away = [], []
             for x, y in zip(b.column("shingles").to_pylist(), b.column("pivot_shingles").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -310,16 +316,16 @@ def similarity_groups(
     rest = stored(rest.select("region", "doc", "n", "sketch", "outside"), "rest")
 
     def possible(key: tuple, rows: pa.Table) -> pa.RecordBatch | None:
-        """Documents of a pair of blocks that may link with another one."""
-        n, outside, block = (rows.column(c).to_numpy() for c in ("n", "outside", "block"))
+        """Documents of a pair of blocks that may link with another one; guests meet each other in their own class."""
+        n, outside, guest, block = (rows.column(c).to_numpy() for c in ("n", "outside", "guest", "block"))
         n = n.astype(np.int64)
         sketches = Sketches(rows.column("sketch").to_pylist())
         hit = np.zeros(len(n), bool)
-        left = np.flatnonzero(block == key[1])
-        right = np.flatnonzero(block == key[2])
+        left = np.flatnonzero(block == key[2])
+        right = np.flatnonzero(block == key[3])
         for i in left.tolist():
-            j = right[right > i] if key[1] == key[2] else right
-            j = j[outside[i] | outside[j]]
+            j = right[right > i] if key[2] == key[3] else right
+            j = j[(outside[i] | outside[j]) & ~(guest[i] & guest[j])]
             j = j[may_link(n[i], n[j], np.abs(n[i] - n[j]), similar)]
             j = j[may_link(n[i], n[j], sketches.difference(i, j), similar)]
             if len(j):
@@ -327,9 +333,15 @@ def similarity_groups(
                 hit[j] = True
         return pa.record_batch([pa.array(np.full(hit.sum(), key[0])), rows.column("doc").combine_chunks().filter(pa.array(hit))], ["region", "doc"])
 
+    # sizes of linked sets are at most one class apart, so each set also is a guest in the next class
+    step = math.log(down / up) + 1e-9
+
     def alive_of(rows: DataFrame, name: str) -> DataFrame:
-        blocks = in_blocks(rows, ["region"], "doc", block_rows).select("region", "low", "high", "doc", "n", "sketch", "outside", "block")
-        return stored(map_runs(blocks, ["region", "low", "high"], possible, "region long, doc long").distinct(), name)
+        rows = rows.withColumn("own", F.floor(F.log("n") / F.lit(step))).withColumn("class", F.explode(F.array("own", F.col("own") + 1)))
+        rows = rows.withColumn("guest", F.col("class") > F.col("own"))
+        blocks = in_blocks(rows, ["region", "class"], "doc", block_rows)
+        blocks = blocks.select("region", "class", "low", "high", "doc", "n", "sketch", "outside", "guest", "block")
+        return stored(map_runs(blocks, ["region", "class", "low", "high"], possible, "region long, doc long").distinct(), name)
 
     short = alive_of(rest, "alive-short")
     rest = stored(short.join(rest, ["region", "doc"]).drop("sketch").join(wide.withColumnRenamed("wide", "sketch"), "doc"), "rest-wide")
