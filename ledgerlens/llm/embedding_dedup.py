@@ -9,6 +9,8 @@ in 20,000 cases, closer pairs less often.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from ledgerlens.llm.common import in_blocks, map_arrow, map_runs, smallest_reach
 from ledgerlens.operators.neighbors import connected_components
 
 
+@lru_cache
 def signs(tables: int, dim: int, seed: int) -> np.ndarray:
     """Random signs: table, hash of the pair, round, coordinate."""
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (tables, 2, 3, dim))
@@ -75,13 +78,33 @@ def first_meeting(sx: np.ndarray, sy: np.ndarray, table: int, code: int) -> np.n
     return ~earlier & (here == code)
 
 
+def codes_by_length(values: list[list[float]], tables: int, probes: int, seed: int, number: str) -> tuple[list[bytes], list[list[int]]]:
+    """Bytes and bucket numbers of vectors of any lengths; those of one length are hashed together."""
+    rows: dict[int, list[int]] = {}
+    for k, v in enumerate(values):
+        rows.setdefault(len(v), []).append(k)
+    raw: list[bytes] = [b""] * len(values)
+    flat: list[list[int]] = [[]] * len(values)
+    for length, at in rows.items():
+        x = np.array([values[k] for k in at], np.float64).reshape(len(at), length)
+        width = 1 << max(int(length - 1).bit_length(), 1)
+        codes = bucket_codes(x / np.linalg.norm(x, axis=1, keepdims=True), signs(tables, width, seed), probes)
+        for k, v, c in zip(at, x.astype(number), codes.reshape(len(at), -1).tolist()):
+            raw[k], flat[k] = v.tobytes(), c
+    return raw, flat
+
+
 def distinct_vectors(vectors: DataFrame, id_column: str, embedding: str, label: str) -> DataFrame:
-    """Usable vectors, equal ones of a label once: label, embedding, id (smallest), weight (how many)."""
+    """Usable vectors, equal ones of a label once: label, length, embedding, id (smallest), weight (how many), key.
+
+    Vectors of two lengths may share an id, so links are counted by key; it holds only once the rows are stored.
+    """
     usable = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(embedding).alias("embedding"), F.col(label).cast("long").alias("label"))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     usable = usable.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull())
     usable = usable.where(~F.exists("embedding", bad)).where(F.exists("embedding", lambda v: v != 0))
-    return usable.groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    found = usable.groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    return found.select("label", F.size("embedding").alias("length"), "embedding", "id", "weight", F.monotonically_increasing_id().alias("key"))
 
 
 def linked_vectors(
@@ -97,41 +120,35 @@ def linked_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors`.
 
-    Links join rows of equal labels. Null labels, and vectors that are null, zero, of another length than the
-    commonest one or hold null or non-finite components link with nothing (n_links 0, own component). Equal vectors are
+    Links join rows of equal labels and equal lengths; every length is compared. Null labels, and vectors that are null,
+    zero or hold null or non-finite components link with nothing (n_links 0, own component). Equal vectors are
     hashed once and count as links of each other; rows that share an id are links like any others. Null ids link with
     nothing and have no component. Other columns are ignored; an empty table gives an empty result.
     Buckets of more than `block_rows` rows are compared block by block, all of them.
     """
     kind = vectors.schema[embedding].dataType
     number = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
-    commonest = vectors.where(F.size(embedding) > 0).groupBy(F.size(embedding).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    lengths = commonest.n if commonest else 1
-    width = 1 << max(int(lengths - 1).bit_length(), 1)
-    sign = signs(tables, width, seed)
-    distinct = stored(distinct_vectors(vectors, id_column, embedding, label).where(F.size("embedding") == lengths), "vectors")
+    distinct = stored(distinct_vectors(vectors, id_column, embedding, label), "vectors")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, lengths)
-        codes = bucket_codes(values / np.linalg.norm(values, axis=1, keepdims=True), sign, probes)
-        flat = pa.array(codes.reshape(batch.num_rows, -1).tolist(), pa.list_(pa.int32()))
-        raw = pa.array([v.tobytes() for v in values.astype(number)], pa.binary())
-        return pa.record_batch([batch.column(0), batch.column(2), batch.column(3), raw, flat], ["label", "id", "weight", "vector", "codes"])
-
-    schema = "label long, id long, weight long, vector binary, codes array<int>"
-    table = stored(map_arrow(distinct.select("label", "embedding", "id", "weight"), hashed, schema), "hashed")
-    entries = table.select("label", "id", F.posexplode("codes").alias("place", "code"))
-    entries = entries.select("label", "id", F.floor(F.col("place") / probes).cast("int").alias("table"), "code", (F.col("place") % probes == 0).alias("own"))
-    bucket = ["label", "table", "code"]
+        raw, flat = codes_by_length(batch.column(0).to_pylist(), tables, probes, seed, number)
+        more = [pa.array(raw, pa.binary()), pa.array(flat, pa.list_(pa.int32()))]
+        return pa.record_batch([*batch.columns[1:], *more], ["label", "length", "key", "id", "weight", "vector", "codes"])
+
+    schema = "label long, length int, key long, id long, weight long, vector binary, codes array<int>"
+    table = stored(map_arrow(distinct.select("embedding", "label", "length", "key", "id", "weight"), hashed, schema), "hashed")
+    entries = table.select("label", "length", "key", F.posexplode("codes").alias("place", "code"))
+    entries = entries.select("label", "length", "key", F.floor(F.col("place") / probes).cast("int").alias("table"), "code", (F.col("place") % probes == 0).alias("own"))
+    bucket = ["label", "length", "table", "code"]
     shared = entries.groupBy(*bucket).agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 AND any_own").select(*bucket)
-    live = in_blocks(entries.join(shared, bucket), bucket, "id", block_rows).join(table, ["label", "id"])
-    live = live.select(*bucket, "low", "high", "block", "own", "id", "weight", "vector", "codes")
+    live = in_blocks(entries.join(shared, bucket), bucket, "key", block_rows).join(table.drop("label", "length"), "key")
+    live = live.select(*bucket, "low", "high", "block", "own", "key", "id", "weight", "vector", "codes")
 
     def verify(key: tuple, rows: pa.Table) -> pa.RecordBatch | None:
-        _, at, code, low, high = key
+        _, _, at, code, low, high = key
         n = rows.num_rows
         own, block = (rows.column(c).to_numpy() for c in ("own", "block"))
-        ids, weight = rows.column("id").to_numpy(), rows.column("weight").to_numpy()
+        keys, ids, weight = (rows.column(c).to_numpy() for c in ("key", "id", "weight"))
         values = np.frombuffer(b"".join(rows.column("vector").to_pylist()), number).reshape(n, -1).astype(np.float64)
         unit = values / np.linalg.norm(values, axis=1, keepdims=True)
         first, second = (np.flatnonzero(block == low), np.flatnonzero(block == high)) if low != high else (np.arange(n), np.arange(n))
@@ -147,12 +164,12 @@ def linked_vectors(
         links = np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)
         reach = smallest_reached(n, x, y)
         some = np.flatnonzero(links)
-        return pa.record_batch([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[reach[some]])], ["id", "links", "other"])
+        return pa.record_batch([pa.array(keys[some]), pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[reach[some]])], ["key", "id", "links", "other"])
 
-    found = stored(map_runs(live, [*bucket, "low", "high"], verify, "id long, links long, other long"), "links")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    found = stored(map_runs(live, [*bucket, "low", "high"], verify, "key long, id long, links long, other long"), "links")
+    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    answer = distinct.join(counts, "id", "left").join(components, F.col("id") == F.col("node"), "left").select(
+    answer = distinct.join(counts, "key", "left").join(components, F.col("id") == F.col("node"), "left").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")
     )
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).cast("long").alias("label"))

@@ -41,6 +41,23 @@ def test_vector_links(spark, block):
     assert embedding_dedup.linked_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_are_linked(spark):
+    """Two lengths with copies and near copies, in one label and under shared ids; a length of one label only."""
+    r = np.random.default_rng(2)
+    rows = []
+    for length, label, first in ((24, 0, 0), (40, 0, 100), (24, 1, 200), (5, 1, 300), (40, 0, 3)):
+        v = r.normal(size=length)
+        rows += [(first, v.tolist(), label), (first + 1, v.tolist(), label), (first + 2, (v + r.normal(size=length) * 0.01).tolist(), label)]
+    rows += [(i, r.normal(size=24).tolist(), 0) for i in range(400, 420)] + [(3, rows[0][1], 0)]
+    got = embedding_dedup.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    near = lambda a, b: rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93
+    links = [sum(a != b and near(a, b) for b in range(len(rows))) for a in range(len(rows))]
+    assert sorted((x["vec_id"], x["n_links"]) for x in got) == sorted((x[0], n) for x, n in zip(rows, links))
+    component = {x["vec_id"]: x["component_id"] for x in got if x["vec_id"] != 3}
+    assert [component[i] for i in (2, 5, 102, 202, 302, 410)] == [0, 3, 100, 200, 300, 410]
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(embedding_dedup.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
