@@ -9,14 +9,17 @@ differences go through a logistic function calibrated on training rows that the
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import words
@@ -75,15 +78,23 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def contrast(toxic: list[str], ordinary: list[str], least: int = 4) -> tuple[dict[str, float], list[str]]:
+def contrast(toxic: list[str], ordinary: list[str], least: int = 4, lift: float = 2.0) -> tuple[dict[str, float], list[str]]:
     """Two-proportion z of the document frequency of each word and word beginning of `least` letters or more, and the
-    whole words by frequency."""
+    whole words by frequency.
+
+    A word counts in a text only if its first place there has neighbours that no earlier text of the class had, so copies,
+    near copies and shared passages are one piece of evidence, not many. A word less than `lift` times as frequent in toxic
+    texts gets 0: with many texts, ordinary words differ significantly when one class has more of a language."""
     frequencies, whole = [], Counter()
     for group in (toxic, ordinary):
         count: Counter[str] = Counter()
+        seen: set[int] = set()
         for t in group:
-            own = {w.decode() for w in words(t.lower())}
-            whole.update(own)
+            found = [w.decode() for w in words(t.lower())]
+            places = {w: hash((before, w, after)) for before, w, after in reversed(list(zip(["", *found], found, [*found[1:], ""])))}
+            whole.update(places.keys())
+            own = {w for w, place in places.items() if place not in seen}
+            seen.update(places.values())
             count.update(own.union(w[:n] for w in own for n in range(least, len(w))))
         frequencies.append(count)
     a, b = frequencies
@@ -92,19 +103,28 @@ def contrast(toxic: list[str], ordinary: list[str], least: int = 4) -> tuple[dic
     for w in a:
         p = (a[w] + b[w]) / (na + nb)
         spread = math.sqrt(p * (1 - p) * (1 / na + 1 / nb))
-        z[w] = (a[w] / na - b[w] / nb) / spread if spread else 0.0
+        z[w] = (a[w] / na - b[w] / nb) / spread if spread and a[w] / na >= lift * b[w] / nb else 0.0
     return z, sorted(whole, key=lambda w: (-whole[w], w))
 
 
-def marking_segments(z: dict[str, float], share: float) -> list[str]:
-    """Segments with a z of at least `share` of the largest, strongest last; of segments that begin one another, the
-    longest among those within 5 % of the strongest."""
-    least = share * max(z.values(), default=0.0)
+def marking_segments(z: dict[str, float], chance: float) -> list[str]:
+    """Segments whose z one of all that were tested reaches by accident with probability `chance`, strongest last; of
+    segments that begin one another, the longest among those within 5 % of the strongest."""
+    if not z:
+        return []
+    least, names = NormalDist().inv_cdf(1 - chance / len(z)), sorted(z)
     chosen: set[str] = set()
-    for w in sorted((w for w in z if z[w] > 0 and z[w] >= least), key=lambda w: (-z[w], w)):
-        longer = [x for x in z if x.startswith(w) and z[x] >= 0.95 * z[w]]
-        if not any(x.startswith(w) or w.startswith(x) for x in chosen):
-            chosen.add(max(longer, key=lambda x: (len(x), x)))
+    begun: set[str] = set()  # all beginnings of the chosen ones
+    for w in sorted((w for w in z if z[w] >= least), key=lambda w: (-z[w], w)):
+        if w in begun or any(w[:n] in chosen for n in range(1, len(w))):
+            continue
+        longest, k = w, bisect_left(names, w)
+        while k < len(names) and names[k].startswith(w):
+            if z[names[k]] >= 0.95 * z[w]:
+                longest = max(longest, names[k], key=lambda x: (len(x), x))
+            k += 1
+        chosen.add(longest)
+        begun.update(longest[:n] for n in range(1, len(longest) + 1))
     return sorted(chosen, key=lambda w: (z[w], w))
 
 
@@ -121,10 +141,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40
     return mean, scale, w
 
 
-def fit(toxic: list[str], ordinary: list[str], common_words: int = 3000, share: float = 0.35) -> CompressionModel:
+def fit(toxic: list[str], ordinary: list[str], common_words: int = 3000, chance: float = 1e-6) -> CompressionModel:
     """Dictionaries from two thirds of each class, calibration on the last third.
 
-    Words and word beginnings mark toxic text when their z is at least `share` of the largest. With a class missing, all scores are the
+    Words and word beginnings mark toxic text when their z is significant at `chance`, corrected for the number tested,
+    whatever the z of others. With a class missing, all scores are the
     share of toxic rows (0 without any row).
     """
     size = 3 + len(STEPS)
@@ -134,7 +155,7 @@ def fit(toxic: list[str], ordinary: list[str], common_words: int = 3000, share:
         return CompressionModel(b" ", b" ", np.zeros(size), np.ones(size), np.array([0.0] * size + [constant]))
     seen = [group[: -(-len(group) * 2 // 3)] for group in (toxic, ordinary)]
     z, by_count = contrast(*seen)
-    marks = marking_segments(z, share)
+    marks = marking_segments(z, chance)
     rest = [w for w in by_count if not w.startswith(tuple(marks))]
     base = " ".join(reversed(rest[:common_words])) + " "
     tail = " ".join(marks) + " "
@@ -152,7 +173,7 @@ def training_texts(
     docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int, sample_bytes: int, id_column: str = "doc_id", text: str = "text"
 ) -> tuple[list[str], list[str]]:
     """Bounded sample of labelled texts whose crc32(id) mod 5 is not 0: rows with the smallest id hash in each class,
-    as many as fit in `sample_bytes` characters for each class."""
+    as many as fit in `sample_bytes` characters for each class; a text too long for what is left is skipped."""
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     picked = None
     for label, most in ((1, toxic_rows), (0, ordinary_rows)):
@@ -162,8 +183,20 @@ def training_texts(
     # at most toxic_rows + ordinary_rows ids: small enough to send to every task
     match = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") <= sample_bytes)
     rows = match.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "order", "text", F.length("text").alias("n"))
-    running = Window.partitionBy("toxic").orderBy("order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("so_far", F.sum("n").over(running)).where(F.col("so_far") <= sample_bytes).orderBy("order", "doc_id", "text").collect()
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room: dict[int, int] = {}
+        for batch in batches:
+            kept = []
+            for k, (label, n) in enumerate(zip(batch.column("toxic").to_pylist(), batch.column("n").to_pylist())):
+                if n <= room.setdefault(label, sample_bytes):
+                    room[label] -= n
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    # two classes, so two tasks, of at most toxic_rows or ordinary_rows ids each
+    dealt = rows.repartition(2, "toxic").sortWithinPartitions("toxic", "order", "doc_id", "text")
+    rows = dealt.mapInArrow(fitting, rows.schema).orderBy("order", "doc_id", "text").collect()
     return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
 
 

@@ -302,6 +302,35 @@ def test_toxicity_learns_marks(spark, docs_of):
     assert toxicity.score_documents(docs_of([]), table).count() == 0
 
 
+def test_toxic_marks_of_a_small_language_are_kept():
+    r = random.Random(6)
+    plain = {k: ["".join(r.choice(k) for _ in range(5)) for _ in range(200)] for k in ("abcdefgh", "mnopqrst")}
+    text = lambda k, *more: " ".join(r.sample([*(r.choice(plain[k]) for _ in range(40)), *more], 40 + len(more)))
+    big, small = "abcdefgh", "mnopqrst"
+    toxic = [text(big, "nastyword", "nastyword") for _ in range(500)] + [text(small, "feoinsulto", "feoinsulto") for _ in range(30)]
+    copied = text(big, "nastyword", "bystander")
+    toxic += [copied + f" {i}" for i in range(40)]
+    ordinary = [text(big) for _ in range(1000)] + [text(small) for _ in range(300)]
+    r.shuffle(toxic), r.shuffle(ordinary)
+    z, _ = toxicity.contrast(toxic, ordinary)
+    assert z["feoinsulto"] < 0.35 * z["nastyword"]
+    assert sorted(toxicity.marking_segments(z, 1e-6)) == ["feoinsulto", "nastyword"] and toxicity.marking_segments({}, 0.05) == []
+    score = toxicity.fit(toxic, ordinary).scorer().scores
+    assert (score([text(small, "feoinsulto", "feoinsulto") for _ in range(20)]) >= 0.5).mean() > 0.8
+    assert (score([text(small) for _ in range(40)]) >= 0.5).mean() < 0.1
+
+
+def test_toxicity_sample_skips_only_texts_that_do_not_fit(spark, docs_of):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    order = [x[0] for x in labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").selectExpr("doc_id", "xxhash64(doc_id) o").orderBy("o").collect()]
+    ids = [i for i in order if i % 2 == 0]
+    long = ids[2]
+    rows = [(i, chr(97 + i % 26) * (70 if i == long else 10), "s") for i in range(60)]
+    toxic, ordinary = toxicity.training_texts(docs_of(rows), labels, 2000, 4000, 85)
+    text = dict((i, t) for i, t, _ in rows)
+    assert ordinary == [text[i] for i in ids if i != long][:8] and toxic == [text[i] for i in order if i % 2][:8]
+
+
 def test_digest_of_payload():
     from ledgerlens.llm import warc
 
