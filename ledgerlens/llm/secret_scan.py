@@ -23,10 +23,21 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-CONTEXT = re.compile(
-    r"""(?ai)\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|credentials?|login|bearer|(?:secret|private|access|auth|api)[_ -]?key|secret|token)"""
-    r"""["']?(?:[ \t]*(?:[:=]|=>|->)|[ \t]+(?:is|was|to))[ \t]*["'`]?([^\s"'`<>,;()\[\]{}]{6,})"""
+#: Keywords in lower-case text; what may stand around them in a name is looked at afterwards.
+WORDS = r"pass|pwd|credential|login|bearer|(?:secret|private|access|auth|api)[_. -]?key|secret|token"
+STRONG, KEYWORD = re.compile(WORDS), re.compile(f"pin|{WORDS}")
+#: `pin` must be a whole part of a name; before `is`, `was` or `to` every keyword must end its part, and `pass` begin it.
+PIN = re.compile(r"(?<![A-Za-z])(?:[Pp]in|PIN)(?![a-z])|(?<=[a-z0-9])(?:Pin|PIN)(?![a-z])")
+SPOKEN = re.compile(
+    r"(?:(?<![A-Za-z])(?i:pass|pin)|(?<=[a-z0-9])(?:Pass|Pin|PIN)"
+    r"|(?i:pass(?:word|wd|phrase|code)|pwd|credentials?|login|bearer|(?:secret|private|access|auth|api)[_. -]?key|secret|token))(?![a-z])"
 )
+NAME = re.compile(r"(?a)\w*+(?:[.-]++\w++)*+")
+OPEN = r"""[ \t]*+(?:(?i:bearer)[ \t]++)?+(?:"(?P<d>[^\s"]{6,})|'(?P<s>[^\s']{6,})|`(?P<g>[^\s`]{6,})|(?P<v>[^\s"'`]\S{5,}))"""
+ASSIGNED = re.compile(r"""["'`]?+\]?+[ \t]*+(?>=>|->|:=|={1,3}|:)""" + OPEN)
+SAID = re.compile(r"""["'`]?+[ \t]++(?:[iI][sS]|[wW][aA][sS]|[tT][oO])(?![^\s"'`])""" + OPEN)
+BEARER = re.compile(r"[ \t]++" + OPEN.removeprefix(r"[ \t]*+"))
+CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(
     r"(?:19|20)\d\d(?P<a>[-/._]?)(?:0[1-9]|1[0-2])(?P=a)(?:0[1-9]|[12]\d|3[01])"
@@ -55,8 +66,11 @@ def brute_bits(c: str) -> float:
     return 11.0
 
 
-def guess_bits(value: str, ranks: Mapping[str, int]) -> float:
-    """Bits of the cheapest segmentation; `ranks` holds words in lower case with their rank from 1."""
+def guess_bits(value: str, ranks: Mapping[str, int], enough: float = math.inf) -> float:
+    """Bits of the cheapest segmentation; `ranks` holds words in lower case with their rank from 1.
+
+    Once every segmentation costs `enough`, a lower bound of that size is given.
+    """
     n, low = len(value), value.lower()
     runs_same, runs_walk = [1] * (n + 1), [1] * (n + 1)  # lengths of the run of one character, of the walk, from i on
     turns = [0] * (n + 1)
@@ -75,6 +89,8 @@ def guess_bits(value: str, ranks: Mapping[str, int]) -> float:
 
     spans = [math.inf] * (n + 1)  # cheapest way to j that ends in a brute-force span
     for i in range(n):
+        if i % 32 == 31 and (least := min(best[i:])) >= enough:  # every segmentation passes through one of these places
+            return least
         here = best[i]
         spans[i + 1] = min(spans[i], here + SEGMENT_BITS) + brute_bits(value[i])
         reach(i + 1, spans[i + 1])
@@ -114,13 +130,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def lower_in_place(text: str) -> str:
+    """Lower case with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def without_tail(value: str) -> str:
+    """A value without quotes loses the marks that end a clause and brackets it did not open."""
+    end = len(value)
+    while end:
+        c = value[end - 1]
+        if c in ".,:;!?\"'`" or c in CLOSERS and value.count(CLOSERS[c], 0, end) < value.count(c, 0, end):
+            end -= 1
+        else:
+            break
+    return value[:end]
+
+
+def contexts(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) of what stands in a credential context: a keyword anywhere in a name (letters, digits, `_`, `-`, `.`), a
+    separator, and the value up to white space or the partner of its opening quote; after `bearer` no separator is needed.
+
+    A value is searched for contexts too, so one value may be given several times, and parts of it.
+    """
+    seen = -1
+    for m in KEYWORD.finditer(lower_in_place(text)):
+        if m.end() <= seen:
+            continue  # another keyword of the same name
+        first = m.start()
+        seen = end = NAME.match(text, m.end()).end()
+        if m[0] == "pin" and not PIN.search(text, first, end) and not STRONG.search(text[m.end() : end].lower()):
+            continue
+        found = ASSIGNED.match(text, end)
+        if not found and SPOKEN.search(text, first, end):
+            found = SAID.match(text, end)
+        if not found and text[max(end - 6, 0) : end].lower() == "bearer":
+            found = BEARER.match(text, end)
+        if found:
+            kind = found.lastgroup
+            yield found.start(kind), without_tail(found[kind]) if kind == "v" else found[kind]
+
+
 def guess_spans(text: str, ranks: Mapping[str, int], bits: float) -> list[tuple[int, int, int]]:
-    """Values in a credential context, without trailing full stops, that cost at least `bits`."""
-    found = []
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?")
-        if len(value) >= 6 and guess_bits(value, ranks) >= bits:
-            found.append((m.start(1), 3, m.start(1) + len(value)))
+    """Values in a credential context that cost at least `bits`, without those inside another."""
+    found: list[tuple[int, int, int]] = []
+    for start, value in sorted(set(contexts(text))):
+        if (not found or start >= found[-1][2]) and len(value) >= 6 and guess_bits(value, ranks, bits) >= bits:
+            found.append((start, 3, start + len(value)))
     return found
 
 

@@ -90,6 +90,33 @@ def test_secret_base_spans_and_guess_cost(docs_of):
     assert cost("aaaaaaaaaa") < 12 and cost("qwertyui") < 16 and cost("xkzqxkzqxkzq") < cost("xkzqpmwvbnrt")
 
 
+def test_secret_contexts_with_prefixes_suffixes_and_brackets():
+    v = "x9$Kq!72pLz@vW"
+    long = "aB3(xK9$qL2!vW,z;[7]{q}<w>"
+    spans = lambda t: [t[a:b] for a, _, b in secret_scan.guess_spans(t, {"the": 1, "seen": 2}, 40.0)]
+    for before in (
+        "DB_PASSWORD=", "client_secret: ", "dbPassword = ", "AWS_SECRET_ACCESS_KEY=", "secret_access_key: ", "access_token=>", "Authorization: Bearer ",
+        "password->", "--db-password=", "user.token := ", "passwordHash: ", "token: Bearer ", "api key: ", "userPin=", "(pwd: ", "my_secret is ", "mytoken was ",
+        "password=token: ", "spinning_token: ", "é İ login to ",
+    ):
+        assert spans(f"the {before}{v} seen") == [v], before
+    for text, want in (
+        (f"password: {long} x", long),
+        (f'{{"password":"{v}","user":"bob"}}', v),
+        (f"(password: {v}), then", v),
+        (f"secret='a,b;{v}'", f"a,b;{v}"),
+        (f"my_secret: `{v}`.", v),
+        (f"config['password'] = '{v}'", v),
+    ):
+        assert spans(text) == [want], text
+    assert spans(f"opinion: {v} spinning: {v} compass is {v} passage to {v} the {v}") == []
+    assert spans("token" * 20_000) == [] and len(spans("token=" + "q7Zk" * 3 + "xW9!" + "mP4v" * 20_000)) == 1
+    ranks = {"correct": 1}
+    for value in (v, long, "correct" * 30, "ab" * 50, "qwertyuiop1999" * 5 + v * 3):
+        cost = secret_scan.guess_bits(value, ranks)
+        assert (secret_scan.guess_bits(value, ranks, 40.0) >= 40) == (cost >= 40) and secret_scan.guess_bits(value, ranks, 40.0) <= cost
+
+
 def test_packing_is_whole_and_gapless(docs_of):
     from tokenizers import Tokenizer
 
