@@ -72,12 +72,12 @@ def _raw_sql(internal: bool) -> str:
 
 register(
     "normalize_raw_transactions",
-    lambda v: plain(landing.normalize_raw_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at"))),
+    lambda v: plain(landing.normalize_raw_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at")).drop("value_text")),
     _raw_sql(False),
 )
 register(
     "normalize_internal_transactions",
-    lambda v: plain(landing.normalize_internal_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at"))),
+    lambda v: plain(landing.normalize_internal_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at")).drop("value_text")),
     _raw_sql(True),
 )
 

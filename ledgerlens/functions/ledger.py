@@ -85,6 +85,12 @@ def parse_amount(c: Column) -> Column:
     )
 
 
+def amount_overflows(text: Column) -> Column:
+    """True for a number that `parse_amount` cannot hold in 38 digits; false for missing and broken text."""
+    number = F.lower(F.trim(text)).rlike(r"^(0x[0-9a-f]+|[+]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?)$")
+    return F.coalesce(number & parse_amount(text).isNull(), F.lit(False))
+
+
 def optional_count(c: Column) -> Column:
     """Whole number from text; NULL for missing or empty text."""
     return F.nullif(F.trim(c), F.lit("")).try_cast("bigint")

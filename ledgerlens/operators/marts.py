@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import calendar as C
 from ledgerlens.functions import ledger as L
 from ledgerlens.functions import tiers as T
-from ledgerlens.operators.staging import wallet_edges
+from ledgerlens.operators.staging import OVERFLOW, wallet_edges
 from ledgerlens.operators.upserts import upsert_columns
 
 MIN_QUALITY = 0.5
@@ -24,9 +24,13 @@ def min_quality_filter(staged: DataFrame, threshold: float = MIN_QUALITY) -> Dat
 
 
 def fact_transactions(staged: DataFrame, *, loaded_at: Column | None = None) -> DataFrame:
-    """Staged transfers of sufficient quality with keys, measures, flags and value tier."""
+    """Staged transfers of sufficient quality with keys, measures, flags and value tier.
+
+    A missing amount is 0; one of over 38 digits (issue value_overflow) stays NULL and counts as a transfer of high value.
+    """
     c = F.col
-    value = F.coalesce(c("value_eth"), F.lit(0.0))
+    over = F.coalesce(F.array_contains("data_quality_issues", OVERFLOW), F.lit(False))
+    value = F.when(~over, F.coalesce(c("value_eth"), F.lit(0.0)))
     return min_quality_filter(staged).select(
         c("transaction_id").alias("transaction_key"),
         "transaction_hash",
@@ -40,7 +44,7 @@ def fact_transactions(staged: DataFrame, *, loaded_at: Column | None = None) ->
         "from_address",
         "to_address",
         value.alias("value_eth"),
-        F.coalesce(c("value_wei"), L.zero_wei()).alias("value_wei"),
+        F.when(~over, F.coalesce(c("value_wei"), L.zero_wei())).alias("value_wei"),
         "value_usd",
         "gas_limit",
         "gas_used",
@@ -51,13 +55,13 @@ def fact_transactions(staged: DataFrame, *, loaded_at: Column | None = None) ->
         "transaction_type",
         "is_contract_creation",
         c("is_contract_interaction").alias("is_contract_call"),
-        (value > 0).alias("is_value_transfer"),
+        (over | (value > 0)).alias("is_value_transfer"),
         "is_successful",
         "method_id",
         "contract_address",
-        (value >= 10).alias("is_high_value"),
-        ((value < 0.001) & (value > 0)).alias("is_micro_transaction"),
-        T.value_tier(c("value_eth")).alias("value_tier"),
+        (over | (value >= 10)).alias("is_high_value"),
+        (~over & (value < 0.001) & (value > 0)).alias("is_micro_transaction"),
+        F.when(over, T.VALUE_TIERS[0][1]).otherwise(T.value_tier(c("value_eth"))).alias("value_tier"),
         "data_quality_score",
         "source",
         "staged_at",

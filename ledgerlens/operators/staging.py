@@ -18,6 +18,7 @@ ISSUE_LABELS = (
     ("value_wei", "missing_value"),
     ("block_number", "missing_block"),
 )
+OVERFLOW = "value_overflow"
 TRANSACTION_TYPES = ("contract_creation", "contract_call", "value_transfer", "other")
 WALLET_TYPES = (
     "contract", "receive_only", "send_only", "high_activity", "medium_activity", "low_activity", "minimal_activity",
@@ -47,8 +48,18 @@ def quality_score_tx(hash_: Column, sender: Column, time: Column) -> Column:
 
 
 def quality_issues_tx(df: DataFrame) -> Column:
-    """Array with one label per missing field."""
-    return F.array_compact(F.array(*[F.when(df[field].isNull(), label) for field, label in ISSUE_LABELS]))
+    """Array with one label per missing field; an amount that is there but over 38 digits is value_overflow, not missing."""
+    labels = {field: F.when(df[field].isNull(), label) for field, label in ISSUE_LABELS}
+    if "value_text" in df.columns:
+        labels["value_wei"] = F.when(value_overflows(df), OVERFLOW).otherwise(labels["value_wei"])
+    return F.array_compact(F.array(*labels.values()))
+
+
+def value_overflows(df: DataFrame) -> Column:
+    """Whether value_wei is NULL because the amount has over 38 digits; known from value_text."""
+    if "value_text" not in df.columns:
+        return F.lit(False)
+    return df["value_wei"].isNull() & L.amount_overflows(df["value_text"])
 
 
 def quality_score_wallet(wallet: Column, first_seen: Column, count_in: Column, count_out: Column) -> Column:
@@ -141,7 +152,7 @@ def _clean_transactions(keyed: DataFrame, extra: Sequence[Column], staged_at: Co
         failed.alias("is_error"),
         F.when(creation, TRANSACTION_TYPES[0])
         .when(call, TRANSACTION_TYPES[1])
-        .when(c("value_wei") > 0, TRANSACTION_TYPES[2])
+        .when((c("value_wei") > 0) | value_overflows(keyed), TRANSACTION_TYPES[2])
         .otherwise(TRANSACTION_TYPES[3])
         .alias("transaction_type"),
         quality_score_tx(c("transaction_hash"), c("from_address"), c("transaction_timestamp")).alias(

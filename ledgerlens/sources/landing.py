@@ -58,13 +58,15 @@ def _raw_rows(pages: DataFrame, address: Column, internal: bool, ingested_at: Co
         L.record_hash(*hashed).alias("record_hash"),
         F.concat(F.lit(f"{tag}:"), address).alias("source"),
         (F.current_timestamp() if ingested_at is None else ingested_at).alias("ingested_at"),
+        # amounts over 38 digits exist only here
+        c("value").alias("value_text"),
     )
 
 
 def normalize_raw_transactions(
     pages: DataFrame, source_address: Column | str, *, ingested_at: Column | None = None
 ) -> DataFrame:
-    """API transaction pages to the 23 typed raw columns."""
+    """API transaction pages to the 23 typed raw columns and value_text, the amount as it came."""
     return _raw_rows(pages, _as_column(source_address), False, ingested_at)
 
 

@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.catalog.ingest import pages
 from ledgerlens.operators import daily, features, marts, staging, upserts
 from ledgerlens.plans.daily import Paths, run_daily, run_incremental, run_wallets
 from ledgerlens.plans.scoring import run_scoring
 from ledgerlens.session import new_path
+from ledgerlens.sources import landing
 from ledgerlens.sources.tables import file_sizes
 
 
@@ -109,3 +111,22 @@ def test_scoring_job_modes(spark, views):
     assert rows(run_scoring(spark, None, paths, mode="score").select("wallet_address", "fraud_score")) == once
     with pytest.raises(ValueError):
         run_scoring(spark, None, paths, mode="unknown")
+
+
+def test_amounts_over_38_digits_are_flagged_and_stay_null(spark, views):
+    """All-ones 256-bit, 39 decimal digits and the largest amount that fits, beside a missing and a broken amount."""
+    amounts = {"a": "0x" + "f" * 64, "b": "1" + "0" * 38, "c": "9" * 38, "d": "", "e": "0xzz", "f": " 0X" + "F" * 40, "g": None, "h": "7"}
+    page = pages(views).drop("value", "hash").limit(1)
+    landed = page.crossJoin(spark.createDataFrame(list(amounts.items()), "hash string, value string"))
+    raw = landing.normalize_raw_transactions(landed, "x", ingested_at=F.col("ingested_at"))
+    assert {r["transaction_hash"]: r["value_text"] for r in raw.collect()} == amounts
+    staged = staging.stage_transactions(raw, staged_at=F.col("ingested_at"))
+    issues = {r["transaction_hash"]: list(r["data_quality_issues"]) for r in staged.collect()}
+    over = ["value_overflow"]
+    assert issues == {"a": over, "b": over, "c": [], "d": [], "e": ["missing_value"], "f": over, "g": [], "h": []}
+    fact = {r["transaction_hash"]: r for r in marts.fact_transactions(staged).collect()}
+    value = {k: r["value_wei"] for k, r in fact.items()}
+    assert value == {"a": None, "b": None, "c": int("9" * 38), "d": 0, "e": 0, "f": None, "g": 0, "h": 7}
+    assert all((r["value_eth"] is None) == (k in "abf") for k, r in fact.items())
+    assert all(r["is_value_transfer"] == r["is_high_value"] == (k in "abcf") or k == "h" for k, r in fact.items())
+    assert {k for k, r in fact.items() if r["value_tier"] == "whale"} == set("abcf") and not fact["a"]["is_micro_transaction"]
