@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chunk_dedup, embedding_dedup, jaccard_join, mixing, packing, secret_scan, sql, substring_dedup, suffix_dedup, toxicity, warc
+from ledgerlens.llm import chunk_dedup, collocations, conversation_trie, decontamination, embedding_dedup, jaccard_join, mixing, packing, secret_scan, sql, substring_dedup, suffix_dedup, toxicity, warc
 from ledgerlens.llm.common import table
 
 
@@ -65,8 +65,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    found = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), found.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op4_packing, op5_embedding_dedup, op6_mixing, op7_suffix_dedup, op8_jaccard_join, op9_warc, op10_substring_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op4_packing, op5_embedding_dedup, op6_mixing, op7_suffix_dedup, op8_jaccard_join, op9_warc, op10_substring_dedup, op11_collocations, op12_conversation_trie, op13_decontamination)
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +89,7 @@ ORACLES: dict[str, str] = {
     "op6_mixing": sql.MIXING,
     "op9_warc": sql.WARC,
     "op10_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op11_collocations": sql.COLLOCATIONS,
+    "op12_conversation_trie": sql.TRIE,
+    "op13_decontamination": sql.DECONTAMINATION,
 }

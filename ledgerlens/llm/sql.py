@@ -68,3 +68,76 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(removed AS BIGINT) AS n_remove
   sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
 FROM k
 """
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS p, k, count(*) AS a
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (VALUES (1), (2), (3), (4)) AS sizes(k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, p, string_split(p, ' ') AS w, k AS size, a FROM f WHERE k > 1),
+parts AS MATERIALIZED (
+  SELECT lang, p, a, x, array_to_string(w[1 : x], ' ') AS head, array_to_string(w[x + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS x FROM c)),
+cuts AS (
+  SELECT parts.lang, parts.p, parts.a, x AS k, l.a AS l, r.a AS r, CAST(2000000 AS HUGEINT) * parts.a // (l.a + r.a) AS score
+  FROM parts JOIN f l ON l.lang = parts.lang AND l.p = head JOIN f r ON r.lang = parts.lang AND r.p = tail),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(w[i : i + k - 1], ' ') AS p
+  FROM (SELECT *, unnest(range(1, size)) AS i FROM c), (VALUES (2), (3)) AS z(k) WHERE k < size AND i + k - 1 <= size),
+dropped AS (SELECT DISTINCT q.lang, q.p FROM inner_phrases q JOIN c ON c.lang = q.lang AND c.p = q.p WHERE 100 * q.a >= 80 * c.a),
+kept AS (SELECT lang, p AS phrase, a, l, r, score FROM weakest ANTI JOIN dropped USING (lang, p))
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase,
+  a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+TRIE = r"""
+WITH t AS (
+  SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT *, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda crc, x: list_reduce([xor(crc, x)] || CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]),
+      lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h
+  FROM t),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1 : h.h], []), h.own[h.h + 1 :]) AS turns
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(turns) AS total, d, turns[1 : d] AS path FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = d), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d][2], '[^\x20\x09-\x0D]+')) END AS saved
+  FROM p GROUP BY path, d),
+kids AS (SELECT path[1 : d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.path = nodes.path),
+up AS (SELECT path[1 : x] AS path, n_children, saved FROM (SELECT *, unnest(range(0, d + 1)) AS x FROM full_nodes)),
+sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY path)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums ON sums.path = f.path LEFT JOIN nodes q ON f.d > 0 AND q.path = f.path[1 : f.d - 1]
+"""
+
+DECONTAMINATION = rf"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (
+  SELECT DISTINCT item, array_to_string(w[i : i + 9], ' ') AS span, least(len(w), 10) AS k
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (
+  SELECT row, i, k, array_to_string(w[i : i + k - 1], ' ') AS span
+  FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT k FROM v) WHERE i + k - 1 <= len(w)),
+o AS (SELECT row, i, s.k, item FROM s JOIN v ON v.span = s.span),
+hit AS (SELECT row, count(DISTINCT i + x) AS n_hit FROM o, range(0, 10) AS y(x) WHERE x < k GROUP BY row),
+found AS (SELECT row, list_sort(list(DISTINCT item)) AS items FROM o GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN found USING (row)
+"""
