@@ -1,28 +1,26 @@
-"""Exact neighbour search over vectors, and the density methods built on it.
+"""Neighbour search over vectors, and the density methods built on it.
 
-Points are placed in cells around pivots sampled from the data itself, so dense regions get more cells. A point is
-copied to every cell that may hold one of its neighbours (triangle inequality and bisecting planes), and each cell is
-split into blocks of bounded size on both sides. A task therefore compares one block with one block, whatever the data
-looks like, and returns a reduced result: the k nearest, a neighbour count, or a spanning forest, never all its pairs.
-Identical vectors are merged into one weighted point first.
+Nearest neighbours come from a tree of balls (`metric_tree`), neighbours within a distance from an adaptive grid (`grid`).
+A task compares bounded blocks, whatever the data looks like, and returns a reduced result: the k nearest, a neighbour
+count, or a spanning forest, never all its pairs. Identical vectors are merged into one weighted point first.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.grid import build_grid
+from ledgerlens.operators.lsh import approximate_neighbors
+from ledgerlens.operators.metric_tree import LEAF_ROWS, build_tree, fresh, search_tree
+from ledgerlens.operators.metric_tree import stack as _stack
 from ledgerlens.session import materialize
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 1024
-SLACK = 1e-9
 # Model defaults.
 LOF_NEIGHBORS = 20
 DBSCAN_EPS = 0.5
@@ -55,88 +53,6 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stack(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in vectors])
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Points in cells, the pivots, and each cell's size and radius (one entry per pivot)."""
-
-    points: DataFrame
-    pivots: np.ndarray
-    counts: np.ndarray
-    radii: np.ndarray
-    id_type: str
-
-
-def place_in_cells(points: DataFrame, max_pivots: int = MAX_PIVOTS) -> Cells:
-    """Assign every (id, vec, weight) point to its nearest pivot."""
-    n = points.count()
-    wanted = max(1, min(max_pivots, math.isqrt(n)))
-    # the number of pivots is capped, so this collect does not grow with the data
-    chosen = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").toPandas()
-    pivots = _stack(chosen["vec"]) if len(chosen) else np.zeros((1, 1))
-
-    def nearest(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = distances(_stack(pdf["vec"]), pivots)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(pdf)), cell])
-
-    id_type = points.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, vec array<double>, weight bigint, cell int, to_pivot double"
-    placed = materialize(points.select("id", "vec", "weight").mapInPandas(nearest, schema))
-    counts, radii = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
-    for row in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("r")).collect():
-        counts[row.cell], radii[row.cell] = row.n, row.r
-    return Cells(placed, pivots, counts, radii, id_type)
-
-
-def _reach_for_k(cells: Cells, k: int) -> np.ndarray:
-    """Per cell, a distance within which every point of the cell has k other points.
-
-    From the k+1 points closest to each pivot: at most pivots x (k+1) numbers, a size fixed by the parameters.
-    """
-    order = Window.partitionBy("cell").orderBy("to_pivot")
-    closest = cells.points.select("cell", "to_pivot", F.row_number().over(order).alias("rank")).filter(
-        F.col("rank") <= k + 1
-    )
-    inner = [[] for _ in cells.pivots]
-    for row in closest.collect():
-        inner[row.cell].append(row.to_pivot)
-    between = distances(cells.pivots, cells.pivots)
-    reach = np.full(len(cells.pivots), np.inf)
-    for i in range(len(cells.pivots)):
-        bounds = np.concatenate([cells.radii[i] + between[i, j] + np.asarray(inner[j]) for j in range(len(inner))])
-        if len(bounds) > k:
-            reach[i] = np.partition(bounds, k)[k]
-    return reach
-
-
-def _candidates(cells: Cells, points: DataFrame, reach: np.ndarray) -> DataFrame:
-    """Copies of each point for every cell that may need it, as rows with the target `cell`."""
-    pivots, radii, filled = cells.pivots, cells.radii, cells.counts > 0
-    between = distances(pivots, pivots)
-
-    def spread(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = distances(_stack(pdf["vec"]), pivots)
-            own = d[np.arange(len(pdf)), pdf["cell"].to_numpy()]
-            gap = between[pdf["cell"].to_numpy()]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(gap > 0, (d**2 - own[:, None] ** 2) / (2 * gap), 0.0)
-            least = np.maximum(np.maximum(plane, d - radii[None, :]), 0.0)
-            needed = (least <= reach[None, :] * (1 + SLACK) + SLACK) & filled[None, :]
-            rows, targets = np.nonzero(needed)
-            yield pdf.iloc[rows].assign(cell=targets.astype("int32"))
-
-    return points.mapInPandas(spread, points.schema)
-
-
 def compare_blocks(
     left: DataFrame,
     right: DataFrame,
@@ -146,18 +62,16 @@ def compare_blocks(
 ) -> DataFrame:
     """Apply `reduce_blocks` to every pair of blocks (left, right) of the same `cell`.
 
-    Both sides of a cell are cut into blocks of about `block_rows` rows by hash. The block counts have one row per cell,
-    and cells are at most `MAX_PIVOTS`, so that table is safe to broadcast.
+    Both sides of a cell are cut into blocks of about `block_rows` rows by hash.
     """
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
 
-    # fresh column identities, so that a frame can be compared with itself
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    right = fresh(right)
     plan = blocks(left, "left_blocks").join(blocks(right, "right_blocks"), "cell")
 
     def keyed(df: DataFrame, mine: str, other: str, my_id: str, other_id: str) -> DataFrame:
-        placed = df.join(F.broadcast(plan), "cell").withColumn(my_id, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
+        placed = df.join(plan, "cell").withColumn(my_id, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
         copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_id)
         return placed.select(*df.columns, my_id, copies)
 
@@ -173,43 +87,26 @@ def compare_blocks(
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
 
 
-def nearest_distinct(cells: Cells, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_distinct(weighted: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(id, neighbor, neighbor_weight, distance): the k nearest other distinct points; ties go to the smaller id."""
-    right = materialize(_candidates(cells, cells.points, _reach_for_k(cells, k)))
+    # a split node must hold k others of each of its points
+    return search_tree(build_tree(weighted, max(leaf_rows, k + 1)), k).neighbors
 
-    def top(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        r = r.sort_values("id", kind="stable")
-        d = distances(_stack(l["vec"]), _stack(r["vec"]))
-        left_ids, right_ids = l["id"].to_numpy(), r["id"].to_numpy()
-        d[left_ids[:, None] == right_ids[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(l)), best.shape[1])
-        picked = best.ravel()
-        out = pd.DataFrame(
-            {
-                "id": left_ids[rows],
-                "neighbor": right_ids[picked],
-                "neighbor_weight": r["weight"].to_numpy()[picked],
-                "distance": d[rows, picked],
-            }
-        )
-        return out[np.isfinite(out["distance"])]
 
-    schema = f"id {cells.id_type}, neighbor {cells.id_type}, neighbor_weight bigint, distance double"
-    found = compare_blocks(cells.points, right, top, schema, block_rows)
-    order = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
-
-
-def knn_join(points: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_join(points: DataFrame, k: int, *, method: str = "exact", block_rows: int = LEAF_ROWS, **lsh) -> DataFrame:
     """(id, neighbor, distance, rank): the k nearest other points of every (id, vec) point.
 
+    `method` is "exact", or "approximate" for random projections into buckets, with the parameters of
+    `lsh.approximate_neighbors`; the choice is the caller's alone and never follows from the size of the data.
+
     Copies of a vector are neighbours of each other at distance 0. The search runs over distinct vectors; of each vector
     only the k+1 smallest ids can appear in an answer, so a large group of copies adds k+1 candidates, not all of them.
     """
     weighted = materialize(distinct_points(points))
-    cells = place_in_cells(weighted)
-    nearest = nearest_distinct(cells, k, block_rows).select("id", "neighbor", "distance")
+    if method not in ("exact", "approximate"):
+        raise ValueError(f"method {method!r} is neither exact nor approximate")
+    found = nearest_distinct(weighted, k, block_rows) if method == "exact" else approximate_neighbors(weighted, k, **lsh)
+    nearest = found.select("id", "neighbor", "distance")
     with_self = nearest.unionByName(
         weighted.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("distance"))
     )
@@ -238,17 +135,13 @@ def knn_join(points: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> Data
     )
 
 
-def _within(cells: Cells, eps: float, points: DataFrame | None = None) -> DataFrame:
-    reach = np.full(len(cells.pivots), float(eps))
-    return materialize(_candidates(cells, cells.points if points is None else points, reach))
-
-
 def eps_join(points: DataFrame, eps: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, neighbor, neighbor_weight, distance) for ordered pairs of different vectors within eps.
 
     Vectors are named by their smallest id and carry their number of copies, so copies do not multiply the pairs.
     """
-    cells = place_in_cells(materialize(distinct_points(points)))
+    grid = build_grid(materialize(distinct_points(points)), eps, block_rows)
+    left, right = grid.points.select("id", "vec", "cell"), grid.copies(grid.points).select("id", "vec", "weight", "cell")
 
     def close(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         d = distances(_stack(l["vec"]), _stack(r["vec"]))
@@ -263,15 +156,14 @@ def eps_join(points: DataFrame, eps: float, *, block_rows: int = BLOCK_ROWS) ->
             }
         )
 
-    schema = f"id {cells.id_type}, neighbor {cells.id_type}, neighbor_weight bigint, distance double"
-    return compare_blocks(cells.points, _within(cells, eps), close, schema, block_rows)
+    kind = points.schema["id"].dataType.simpleString()
+    return compare_blocks(left, right, close, f"id {kind}, neighbor {kind}, neighbor_weight bigint, distance double", block_rows)
 
 
-def lof(points: DataFrame, *, k: int = LOF_NEIGHBORS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def lof(points: DataFrame, *, k: int = LOF_NEIGHBORS, block_rows: int = LEAF_ROWS) -> DataFrame:
     """(id, lof): local outlier factor of every (id, vec) point; about 1 inside a cluster, larger for outliers."""
     weighted = materialize(distinct_points(points))
-    cells = place_in_cells(weighted)
-    others = nearest_distinct(cells, k, block_rows).select(
+    others = nearest_distinct(weighted, k, block_rows).select(
         "id", "neighbor", F.col("neighbor_weight").alias("copies"), "distance"
     )
     # copies of the point itself are its first neighbours, at distance 0
@@ -315,23 +207,18 @@ def _back_to_copies(points: DataFrame, weighted: DataFrame, result: DataFrame) -
     return named.join(result.withColumnRenamed("id", "representative"), "representative").drop("representative")
 
 
-def _spanning_forest(n: int, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that keep the same components as all given edges."""
-    parent = np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for a, b in zip(rows.tolist(), cols.tolist()):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            kept.append((a, b))
-    return kept
+def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node reachable over the links a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        now = label.copy()
+        np.minimum.at(now, label[a], low)
+        np.minimum.at(now, label[b], low)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -382,31 +269,27 @@ def dbscan(
     neighbours; noise has no cluster.
     """
     weighted = materialize(distinct_points(points))
-    cells = place_in_cells(weighted)
+    grid = build_grid(weighted, eps, block_rows)
+    left, copies = grid.points.select("id", "vec", "weight", "cell"), grid.copies(grid.points).select("id", "vec", "weight", "cell")
 
     def degree(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         near = distances(_stack(l["vec"]), _stack(r["vec"])) <= eps
         return pd.DataFrame({"id": l["id"], "near": near @ r["weight"].to_numpy()})
 
-    id_type = cells.id_type
-    degrees = (
-        compare_blocks(cells.points, _within(cells, eps), degree, f"id {id_type}, near bigint", block_rows)
-        .groupBy("id")
-        .agg(F.sum("near").alias("near"))
-    )
-    flagged = materialize(
-        cells.points.join(degrees, "id").withColumn("is_core", F.col("near") >= min_samples).drop("near")
-    )
+    id_type = points.schema["id"].dataType.simpleString()
+    degrees = compare_blocks(left, copies, degree, f"id {id_type}, near bigint", block_rows).groupBy("id").agg(F.sum("near").alias("near"))
+    flagged = materialize(grid.points.join(degrees, "id").withColumn("is_core", F.col("near") >= min_samples).drop("near"))
     core = flagged.filter("is_core").drop("is_core")
-    near_core = _within(cells, eps, core)
+    near_core = materialize(grid.copies(core).select("id", "vec", "cell"))
 
     def forest(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         rows, cols = np.nonzero(distances(_stack(l["vec"]), _stack(r["vec"])) <= eps)
         ids, position = np.unique(np.concatenate([l["id"].to_numpy(), r["id"].to_numpy()]), return_inverse=True)
-        kept = _spanning_forest(len(ids), position[: len(l)][rows], position[len(l) :][cols])
-        return pd.DataFrame({"a": ids[[a for a, _ in kept]], "b": ids[[b for _, b in kept]]})
+        low = smallest_linked(len(ids), position[: len(l)][rows], position[len(l) :][cols])
+        linked = np.flatnonzero(low != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[linked], "b": ids[low[linked]]})
 
-    edges = compare_blocks(core, near_core, forest, f"a {id_type}, b {id_type}", block_rows)
+    edges = compare_blocks(core.select("id", "vec", "cell"), near_core, forest, f"a {id_type}, b {id_type}", block_rows)
     components = connected_components(edges)
     labelled = core.join(components.withColumnRenamed("node", "id"), "id", "left").select(
         "id", F.coalesce("component", "id").alias("cluster")
@@ -423,7 +306,7 @@ def dbscan(
         names = r_names[order][hit.argmax(axis=1)]
         return pd.DataFrame({"id": l["id"].to_numpy()[found], "cluster": names[found]})
 
-    outside = flagged.filter("NOT is_core").drop("is_core")
+    outside = flagged.filter("NOT is_core").select("id", "vec", "cell")
     attached = (
         compare_blocks(
             outside, near_core.join(labelled, "id"), border, f"id {id_type}, cluster {id_type}", block_rows
