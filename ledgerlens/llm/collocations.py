@@ -128,7 +128,7 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], known: Broadcast | None, kn
             for lang, t in zip(langs, texts):
                 by_lang.setdefault(lang, []).append(t)
             for lang, mine in by_lang.items():
-                for a, b in portions(mine):
+                for a, b in portions(mine, 1 << 20):
                     yield from phrases_of(Layout.of(mine[a:b]), lang, allowed)
 
     def phrases_of(words: Layout, lang: str, allowed: Filter | None) -> Iterator[pa.RecordBatch]:
