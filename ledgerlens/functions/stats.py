@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 100_000
-SMALL_COLUMN = 100_000
+from ledgerlens.session import write_and_read
+
+SKETCH_ACCURACY = 1_000
+MARGIN = 0.005
+BINS = 1024
+LARGEST = 1.7976931348623157e308
 
 
 def usable(c: Column) -> Column:
@@ -24,69 +30,118 @@ def tidy(df: DataFrame, columns: Sequence[str], keep_missing: bool = False) -> D
     return rows if keep_missing else rows.filter("value IS NOT NULL")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    accuracy: int = SKETCH_ACCURACY,
-    small: int = SMALL_COLUMN,
-) -> DataFrame:
-    """Linearly interpolated quantiles as (feature, probability, quantile) rows.
+def _bin(bins: int) -> Column:
+    """Which part of the interval low..high a value falls in: -1 below it, `bins` above, else a number that never falls as
+    values rise. Both ends have a bin of their own; between them bins are even, on a log scale where all is positive."""
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    first, last = F.greatest(low, F.lit(-LARGEST)), F.least(high, F.lit(LARGEST))
+    even = F.try_divide(value / 2 - first / 2, last / 2 - first / 2)
+    scaled = F.when((low > 0) & (last / 4 > low), F.try_divide(F.log(value) - F.log(low), F.log(last) - F.log(low))).otherwise(even)
+    inside = F.least(F.greatest(F.floor(scaled * (bins - 2)), F.lit(0)), F.lit(bins - 3)) + 1
+    return (
+        F.when(value < low, -1).when(value > high, bins).when(value == low, 0).when(value == high, bins - 1).otherwise(F.coalesce(inside, F.lit(1))).cast("int")
+    )
+
 
-    `percentile` would hold every distinct value of a column in one task. Here a bounded sketch first brackets each
-    wanted rank; a second pass counts what lies below the bracket and ranks only the values inside it, which are about
-    10/accuracy of the column. Columns up to `small` values are ranked as a whole. A bracket that misses its rank
-    raises an error rather than giving a wrong value.
+def select_ranks(
+    values: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[float, Callable[[Column], Column]]], *, accuracy: int = SKETCH_ACCURACY, bins: int = BINS
+) -> DataFrame:
+    """(keys, name, value): for each group of `keys` the value at each wanted rank, exactly.
+
+    `wanted` names a probability near the rank and the rank itself (from 0) as a function of the group's size. A small
+    sketch proposes an interval for each rank. Then, round by round, values are counted below, above and in bins of the
+    interval, and the part that holds the rank becomes the next interval, until it is a single value. A proposal that
+    misses costs a round, nothing else; one path serves every size. Counts combine in the map tasks, so a group of any
+    size is spread over all tasks, and no task sees more than its bins. `values` (keys and a double column `value` without
+    nulls) is read once for the sketch and once for each round, so it should be stored. A null key is a group.
     """
-    values = tidy(df, columns)
-    margin = 5.0 / accuracy
-    ends = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probabilities]
-    sketch_points = [end for pair in ends for end in pair]
-    sketch = values.groupBy("feature").agg(
-        F.count("*").alias("n"), F.percentile_approx("value", sketch_points, accuracy).alias("points")
+    keys = list(keys)
+    ends = [end for p, _ in wanted.values() for end in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    sketch = values.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", ends, accuracy).alias("points")
     )
-    wanted = [
+    # a margin of less than two ranks would miss neighbours
+    few = F.col("n") * MARGIN < 2
+    states = [
         F.struct(
-            F.lit(float(p)).alias("probability"),
-            (F.lit(float(p)) * (F.col("n") - 1)).alias("position"),
-            F.when((F.col("n") <= small) | F.lit(low <= 0.0), F.lit(float("-inf")))
-            .otherwise(F.col("points")[2 * i])
-            .alias("low"),
-            F.when((F.col("n") <= small) | F.lit(high >= 1.0), F.lit(float("inf")))
-            .otherwise(F.col("points")[2 * i + 1])
-            .alias("high"),
+            F.lit(name).alias("name"),
+            rank(F.col("n")).cast("bigint").alias("rank"),
+            F.when(few, F.col("least")).otherwise(F.col("points")[2 * i]).alias("low"),
+            F.when(few, F.col("most")).otherwise(F.col("points")[2 * i + 1]).alias("high"),
         )
-        for i, (p, (low, high)) in enumerate(zip(probabilities, ends))
+        for i, (name, (_, rank)) in enumerate(wanted.items())
     ]
-    brackets = sketch.select("feature", "n", F.explode(F.array(*wanted)).alias("w")).select("feature", "n", "w.*")
-
-    # one row per (feature, probability): both counts are fixed by the call, so the broadcast cannot grow with the data
-    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
-    counted = (
-        values.join(F.broadcast(brackets), "feature")
-        .filter(F.col("value") <= F.col("high"))
-        .groupBy("feature", "probability", "position", "n", inside.alias("value"))
-        .agg(F.count("*").alias("copies"))
-    )
-    order = Window.partitionBy("feature", "probability").orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn(
-        "end", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).withColumn("start", F.col("end") - F.col("copies"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("value")))
-
-    lower = F.floor("position")
-    upper = F.least(lower + 1, F.col("n") - 1)
-    fraction = F.col("position") - F.floor("position")
-    picked = ranked.groupBy("feature", "probability", "position").agg(at(lower).alias("lo"), at(upper).alias("hi"))
-    interpolated = F.col("lo") * (1.0 - fraction) + F.col("hi") * fraction
-    missed = F.col("lo").isNull() | F.col("hi").isNull()
-    return picked.select(
-        "feature",
-        "probability",
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(interpolated).alias("quantile"),
-    )
+    states = write_and_read(sketch.select(*keys, F.explode(F.array(*states)).alias("s")).select(*keys, "s.*"), "ranks")
+    found = None
+    while True:
+        sides = states.select(*[F.col(k).alias(f"_{k}") for k in keys], "name", "rank", "low", "high")
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        parts = (
+            values.join(sides, same)
+            .groupBy(*keys, "name", "rank", _bin(bins).alias("part"))
+            .agg(F.count("*").alias("count"), F.min("value").alias("low"), F.max("value").alias("high"))
+        )
+        # at most bins + 2 rows in a window
+        order = Window.partitionBy(*keys, "name").orderBy("part")
+        upto = parts.withColumn("upto", F.sum("count").over(order))
+        holds = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count"))
+        states = write_and_read(upto.filter(holds).select(*keys, "name", "rank", "low", "high"), "ranks")
+        done = states.filter("low = high").select(*keys, "name", F.col("low").alias("value"))
+        found = done if found is None else found.unionByName(done)
+        states = states.filter("low < high")
+        if states.isEmpty():
+            return found
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], *, bins: int = BINS) -> DataFrame:
+    """Linearly interpolated quantiles as (feature, probability, quantile) rows; the columns are stored once and read in
+    every round of `select_ranks`. Missing values and NaN do not count; a column without values has no rows."""
+    wide = write_and_read(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "quantile-columns")
+    values = tidy(wide, wide.columns)
+    places = [(i, float(p)) for i, p in enumerate(probabilities)]
+    wanted = {}
+    for i, p in places:
+        wanted[f"{i}_lo"] = (p, _rank_below(p))
+        wanted[f"{i}_hi"] = (p, _rank_above(p))
+    picked = select_ranks(values, ["feature"], wanted, bins=bins)
+    sizes = values.groupBy("feature").agg(F.count("*").alias("n"))
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    rows = picked.groupBy("feature").agg(*[at(name).alias(name) for name in wanted]).join(sizes, "feature")
+    quantiles = []
+    for i, p in places:
+        position = F.lit(p) * (F.col("n") - 1)
+        share = position - F.floor(position)
+        # ends of equal value stay as they are, infinite ones too
+        between = F.when(F.col(f"{i}_lo") == F.col(f"{i}_hi"), F.col(f"{i}_lo")).otherwise(F.col(f"{i}_lo") * (1.0 - share) + F.col(f"{i}_hi") * share)
+        quantiles.append(F.struct(F.lit(p).alias("probability"), between.alias("quantile")))
+    names = F.array(*[F.lit(c) for c in columns])
+    column = F.get(names, F.substring("feature", 2, 10).cast("int"))
+    return rows.select(column.alias("feature"), F.explode(F.array(*quantiles)).alias("q")).select("feature", "q.*")
+
+
+def _rank_below(p: float) -> Callable[[Column], Column]:
+    return lambda n: F.floor(F.lit(p) * (n - 1))
+
+
+def _rank_above(p: float) -> Callable[[Column], Column]:
+    return lambda n: F.least(F.floor(F.lit(p) * (n - 1)) + 1, n - 1)
+
+
+def discrete_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probabilities: dict[str, float]) -> DataFrame:
+    """A row for each group with a column for each named probability: the smallest value that at least this share of the
+    group's values does not exceed. Groups without values are left out."""
+    rows = df.select(*keys, usable(value).alias("value")).filter("value IS NOT NULL")
+    grouped = list(keys) or ["_all"]
+    if not keys:
+        rows = rows.withColumn("_all", F.lit(0))
+    wanted = {name: (p, _rank_within(p)) for name, p in probabilities.items()}
+    picked = select_ranks(write_and_read(rows, "quantile-values"), grouped, wanted)
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    return picked.groupBy(*grouped).agg(*[at(name).alias(name) for name in probabilities]).select(*keys, *probabilities)
+
+
+def _rank_within(p: float) -> Callable[[Column], Column]:
+    return lambda n: F.greatest(F.ceil(F.lit(p) * n), F.lit(1)) - 1
 
 
 def pick(quantiles: DataFrame, feature: str, probability: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import ledger as L
+from ledgerlens.functions.stats import discrete_quantiles
 
 CONTEXT_ROWS = 30
 
@@ -53,8 +54,6 @@ def _measures() -> list[Column]:
         F.count_if("is_contract_creation").alias("contract_creations"),
         L.ether_sum(F.col("value_wei")).alias("total_value_eth"),
         L.ether_avg(F.col("value_wei")).alias("avg_value_eth"),
-        # the metric is an approximate median by definition; the sketch has a fixed size per day
-        F.percentile_approx(value, F.lit(0.5), F.lit(10000)).alias("median_value_eth"),
         F.max(value).alias("max_value_eth"),
         F.min(F.when(value > 0, value)).alias("min_value_eth"),
         F.count_if(value == 0).alias("zero_value_count"),
@@ -83,13 +82,30 @@ def _wallet_counts(fact: DataFrame) -> DataFrame:
     )
 
 
+def daily_median(fact: DataFrame) -> DataFrame:
+    """(metric_date, median_value_eth): the smallest value that half of the day's transfers do not exceed, exactly.
+
+    Rounds of counting over all tasks; a day of any size is never brought together.
+    """
+    days = fact.select(F.col("transaction_date").alias("metric_date"), "value_eth")
+    return discrete_quantiles(days, ["metric_date"], F.col("value_eth"), {"median_value_eth": 0.5})
+
+
+def _with_median(stats: DataFrame, fact: DataFrame) -> DataFrame:
+    median = daily_median(fact).withColumnRenamed("metric_date", "_day")
+    joined = stats.join(median, stats["metric_date"].eqNullSafe(median["_day"]), "left").drop("_day")
+    before = stats.columns.index("avg_value_eth") + 1
+    return joined.select(*stats.columns[:before], "median_value_eth", *stats.columns[before:])
+
+
 def _with_hours(fact: DataFrame) -> DataFrame:
     grouped = fact.groupBy(F.col("transaction_date").alias("metric_date")).agg(*_measures(), *_hourly_counts())
-    return grouped.select(
+    stats = grouped.select(
         *[c for c in grouped.columns if not c.startswith("_h")],
         (F.col("total_transactions") / 24.0).alias("transactions_per_hour"),
         *_peak_of_hours(),
     )
+    return _with_median(stats, fact)
 
 
 def daily_stats(fact: DataFrame) -> DataFrame:

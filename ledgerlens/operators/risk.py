@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import ledger as L
 from ledgerlens.functions import tiers as T
+from ledgerlens.functions.stats import discrete_quantiles
 from ledgerlens.operators.staging import wallet_edges
 
 AsOf = Column | DataFrame | str | None
@@ -176,10 +177,10 @@ def daily_new_suspicious(scores: DataFrame, *, days: int = 30, as_of: AsOf = Non
 
 
 def score_percentiles(scores: DataFrame) -> DataFrame:
-    """25th to 99th percentile from a fixed-size sketch; values are actual scores."""
+    """25th to 99th percentile: exact, values are actual scores. One row, of NULLs without scores."""
     points = {"p25": 0.25, "p50_median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    sketch = scores.agg(F.percentile_approx("fraud_score", list(points.values()), 10000).alias("p"))
-    return sketch.select(*[F.col("p")[i].alias(name) for i, name in enumerate(points)])
+    found = discrete_quantiles(scores, [], F.col("fraud_score"), points)
+    return found.agg(*[F.max(name).alias(name) for name in points])
 
 
 def suspicious_volume_tiers(scores: DataFrame) -> DataFrame:

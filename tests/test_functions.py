@@ -101,19 +101,50 @@ def test_tiers_cover_every_value(spark):
     ]
 
 
-@pytest.mark.parametrize("accuracy,small", [(100_000, 100_000), (100, 10), (1000, 500)])
-def test_exact_quantiles_match_numpy(spark, accuracy, small):
-    """Small limits force the sketch bracket; a third of the rows share one value."""
+@pytest.mark.parametrize("bins", [4, 16, 1024])
+def test_exact_quantiles_match_numpy(spark, bins):
+    """Few bins take many rounds; a third of the rows share one value, others lie 600 decades apart."""
     rng = np.random.default_rng(3)
     a = np.where(rng.random(5000) < 0.33, 7.0, rng.normal(size=5000) * 100)
     b = np.arange(5000.0)
-    frame = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").repartition(5)
+    c = 10.0 ** rng.uniform(-300, 300, 5000) * rng.choice([-1, 0, 1], 5000)
+    frame = spark.createDataFrame([tuple(map(float, x)) for x in zip(a, b, c)], "a double, b double, c double").repartition(5)
     probabilities = [0.0, 0.001, 0.25, 0.5, 0.75, 0.99, 1.0]
-    rows = S.exact_quantiles(frame, ["a", "b"], probabilities, accuracy=accuracy, small=small).collect()
+    rows = S.exact_quantiles(frame, ["a", "b", "c"], probabilities, bins=bins).collect()
     found = {(r.feature, r.probability): r.quantile for r in rows}
     for p in probabilities:
-        assert found["a", p] == pytest.approx(np.quantile(a, p), rel=1e-12)
-        assert found["b", p] == pytest.approx(np.quantile(b, p), rel=1e-12)
+        for name, x in (("a", a), ("b", b), ("c", c)):
+            assert found[name, p] == pytest.approx(np.quantile(x, p), rel=1e-12)
+
+
+def test_ranks_do_not_depend_on_the_sketch(spark):
+    """A sketch of no use at all costs rounds, never the result."""
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.lognormal(0, 8, 3000), [np.inf, -np.inf, np.inf, 0.0]]
+    values = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(x)], "g int, value double")
+    wanted = {f"r{k}": (0.99, lambda n, k=k: F.least(F.lit(k), n - 1)) for k in (0, 1, 700, 5000)}
+    got = {(r.g, r.name): r.value for r in S.select_ranks(values, ["g"], wanted, accuracy=2, bins=8).collect()}
+    for g in (0, 1):
+        own = np.sort(x[np.arange(len(x)) % 2 == g])
+        assert {k: got[g, f"r{k}"] for k in (0, 1, 700, 5000)} == {k: own[min(k, len(own) - 1)] for k in (0, 1, 700, 5000)}
+
+
+def test_discrete_quantiles_by_group(spark):
+    rows = [("a", 3.0), ("a", 1.0), ("a", 2.0), ("a", None), (None, 5.0), (None, 4.0), ("b", None), ("c", float("nan"))]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.m, r.top) for r in S.discrete_quantiles(frame, ["g"], F.col("v"), {"m": 0.5, "top": 1.0}).collect()}
+    assert got == {"a": (2.0, 3.0), None: (4.0, 5.0)}
+    assert S.discrete_quantiles(frame.filter("false"), [], F.col("v"), {"m": 0.5}).count() == 0
+    whole = S.discrete_quantiles(frame, [], F.col("v"), {"m": 0.5}).collect()
+    assert [tuple(r) for r in whole] == [(3.0,)]
+
+
+def test_median_of_a_day_with_over_a_million_rows(spark):
+    day = spark.range(1_200_000).select(F.when(F.col("id") < 1_199_990, F.to_date(F.lit("2024-10-01"))).otherwise(F.to_date(F.lit("2024-10-02"))).alias("d"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7).alias("v"))
+    got = {str(r.d): r.m for r in S.discrete_quantiles(day, ["d"], F.col("v"), {"m": 0.5}).collect()}
+    values = day.toPandas()
+    for d, v in values.groupby(values.d.astype(str)).v:
+        assert got[d] == np.sort(v.to_numpy())[(len(v) + 1) // 2 - 1]
 
 
 def test_quantiles_ignore_missing(spark):
