@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import write_and_read
 
-SKETCH_ACCURACY = 1_000
-MARGIN = 0.005
+SKETCH_ACCURACY = 10_000
+MARGINS = 5
 BINS = 1024
 LARGEST = 1.7976931348623157e308
 
@@ -31,62 +31,71 @@ def tidy(df: DataFrame, columns: Sequence[str], keep_missing: bool = False) -> D
 
 
 def _bin(bins: int) -> Column:
-    """Which part of the interval low..high a value falls in: -1 below it, `bins` above, else a number that never falls as
-    values rise. Both ends have a bin of their own; between them bins are even, on a log scale where all is positive."""
+    """Number of the bin of a value in the interval low..high; it never falls as values rise. Both ends have a bin of their
+    own; between them bins are even, on a log scale where all is positive."""
     value, low, high = F.col("value"), F.col("low"), F.col("high")
     first, last = F.greatest(low, F.lit(-LARGEST)), F.least(high, F.lit(LARGEST))
     even = F.try_divide(value / 2 - first / 2, last / 2 - first / 2)
     scaled = F.when((low > 0) & (last / 4 > low), F.try_divide(F.log(value) - F.log(low), F.log(last) - F.log(low))).otherwise(even)
     inside = F.least(F.greatest(F.floor(scaled * (bins - 2)), F.lit(0)), F.lit(bins - 3)) + 1
-    return (
-        F.when(value < low, -1).when(value > high, bins).when(value == low, 0).when(value == high, bins - 1).otherwise(F.coalesce(inside, F.lit(1))).cast("int")
-    )
+    return F.when(value == low, 0).when(value == high, bins - 1).otherwise(F.coalesce(inside, F.lit(1))).cast("double")
 
 
 def select_ranks(
     values: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[float, Callable[[Column], Column]]], *, accuracy: int = SKETCH_ACCURACY, bins: int = BINS
 ) -> DataFrame:
-    """(keys, name, value): for each group of `keys` the value at each wanted rank, exactly.
+    """(keys, n, name, value): for each group of `keys` the value at each wanted rank, exactly.
 
     `wanted` names a probability near the rank and the rank itself (from 0) as a function of the group's size. A small
     sketch proposes an interval for each rank. Then, round by round, values are counted below, above and in bins of the
-    interval, and the part that holds the rank becomes the next interval, until it is a single value. A proposal that
-    misses costs a round, nothing else; one path serves every size. Counts combine in the map tasks, so a group of any
-    size is spread over all tasks, and no task sees more than its bins. `values` (keys and a double column `value` without
-    nulls) is read once for the sketch and once for each round, so it should be stored. A null key is a group.
+    interval, and the part that holds the rank becomes the next interval, until it is a single value. An interval of no
+    more values than bins has a part for each value. A proposal that misses costs a round, nothing else; one path serves
+    every size. Counts combine in the map tasks, so a group of any size is spread over all tasks, and no task sees more
+    than its parts. `values` (keys and a double column `value` without nulls) is read once for the sketch and once for
+    each round, so it should be stored. A null key is a group. Each row also has the group's size n.
     """
     keys = list(keys)
-    ends = [end for p, _ in wanted.values() for end in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    margin = MARGINS / accuracy
+    ends = [end for p, _ in wanted.values() for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = values.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", ends, accuracy).alias("points")
     )
-    # a margin of less than two ranks would miss neighbours
-    few = F.col("n") * MARGIN < 2
+    # a margin of a rank or two would miss neighbours
+    few = (F.col("n") <= bins) | (F.col("n") * margin < 2)
     states = [
         F.struct(
             F.lit(name).alias("name"),
             rank(F.col("n")).cast("bigint").alias("rank"),
             F.when(few, F.col("least")).otherwise(F.col("points")[2 * i]).alias("low"),
             F.when(few, F.col("most")).otherwise(F.col("points")[2 * i + 1]).alias("high"),
+            F.when(few, F.col("n")).otherwise(F.ceil(F.col("n") * (2 * margin + 2 / accuracy))).alias("inside"),
         )
         for i, (name, (_, rank)) in enumerate(wanted.items())
     ]
-    states = write_and_read(sketch.select(*keys, F.explode(F.array(*states)).alias("s")).select(*keys, "s.*"), "ranks")
+    states = write_and_read(sketch.select(*keys, "n", F.explode(F.array(*states)).alias("s")).select(*keys, "n", "s.*"), "ranks")
     found = None
     while True:
-        sides = states.select(*[F.col(k).alias(f"_{k}") for k in keys], "name", "rank", "low", "high")
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        # ranks often share an interval, so intervals meet the values and ranks meet the counts
+        mine, same = [F.col(k).alias(f"_{k}") for k in keys], reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        intervals = states.select(*mine, "low", "high", "inside").distinct()
+        value = F.col("value")
+        zone = F.when(value < F.col("low"), -1).when(value > F.col("high"), 1).otherwise(0)
+        # a part for each value where they are few
+        part = F.when(zone != 0, 0.0).when(F.col("inside") <= bins, value).otherwise(_bin(bins))
         parts = (
-            values.join(sides, same)
-            .groupBy(*keys, "name", "rank", _bin(bins).alias("part"))
-            .agg(F.count("*").alias("count"), F.min("value").alias("low"), F.max("value").alias("high"))
+            values.join(intervals, same)
+            .groupBy(*keys, "low", "high", zone.alias("zone"), part.alias("part"))
+            .agg(F.count("*").alias("count"), F.min("value").alias("least"), F.max("value").alias("most"))
         )
-        # at most bins + 2 rows in a window
-        order = Window.partitionBy(*keys, "name").orderBy("part")
+        # about bins + 2 rows in a window
+        order = Window.partitionBy(*keys, "low", "high").orderBy("zone", "part")
         upto = parts.withColumn("upto", F.sum("count").over(order))
+        ranks = states.select(*mine, "n", "name", "rank", F.col("low").alias("_low"), F.col("high").alias("_high"))
         holds = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count"))
-        states = write_and_read(upto.filter(holds).select(*keys, "name", "rank", "low", "high"), "ranks")
-        done = states.filter("low = high").select(*keys, "name", F.col("low").alias("value"))
+        met = upto.join(ranks, same & (F.col("low") == F.col("_low")) & (F.col("high") == F.col("_high")) & holds)
+        columns = [*keys, "n", "name", "rank", F.col("least").alias("low"), F.col("most").alias("high"), F.col("count").alias("inside")]
+        states = write_and_read(met.select(*columns), "ranks")
+        done = states.filter("low = high").select(*keys, "n", "name", F.col("low").alias("value"))
         found = done if found is None else found.unionByName(done)
         states = states.filter("low < high")
         if states.isEmpty():
@@ -104,9 +113,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         wanted[f"{i}_lo"] = (p, _rank_below(p))
         wanted[f"{i}_hi"] = (p, _rank_above(p))
     picked = select_ranks(values, ["feature"], wanted, bins=bins)
-    sizes = values.groupBy("feature").agg(F.count("*").alias("n"))
     at = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
-    rows = picked.groupBy("feature").agg(*[at(name).alias(name) for name in wanted]).join(sizes, "feature")
+    rows = picked.groupBy("feature", "n").agg(*[at(name).alias(name) for name in wanted])
     quantiles = []
     for i, p in places:
         position = F.lit(p) * (F.col("n") - 1)

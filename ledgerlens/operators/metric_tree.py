@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize, write_and_read
 
-LEAF_ROWS = 1024
+LEAF_ROWS = 2048
 FANOUT = 32
 SPLIT_ROWS = 1 << 15
 WAVES = (4, 16, 64)
