@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.numbering import with_row_numbers
 from ledgerlens.functions.stats import as_struct, exact_quantiles
 from ledgerlens.session import materialize
 
@@ -181,24 +182,27 @@ def isolation_forest_score(df: DataFrame, forest: Forest, *, key: str = "wallet_
     )
 
 
-def permutation_importance(
-    df: DataFrame, forest: Forest, *, key: str = "wallet_address", seed: int = SEED, bucket_rows: int = 100_000
-) -> DataFrame:
-    """Mean absolute score change per feature when its values are exchanged between rows.
+def random_pairs(rows: DataFrame, key: str, seed: int = SEED) -> DataFrame:
+    """(key, x, other_key, other): each (key, x) row with the row that a random permutation of all rows gives it.
 
-    Rows are dealt into hash buckets of bounded size and paired inside a bucket by two hash orders, which is a random
-    permutation of all rows without ordering them in one task. Like the scores, each feature uses the same permutation.
+    Row i in one hash order meets row i in another; both orders are numbered over the whole table, whatever its size.
     """
-    names = list(forest.columns)
-    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
-    buckets = F.greatest(F.ceil(rows.agg(F.count("*")).scalar() / bucket_rows), F.lit(1))
-    dealt = materialize(rows.withColumn("bucket", F.pmod(F.xxhash64(key, F.lit(seed)), buckets)))
+    def ranked(salt: int, **names: str) -> DataFrame:
+        order = [F.xxhash64(F.col(key), F.lit(seed + salt)), F.col(key)]
+        placed = with_row_numbers(rows.select(key, "x"), order, "place")
+        return placed.select("place", *[F.col(old).alias(new) for new, old in names.items()])
+
+    return ranked(1, **{key: key, "x": "x"}).join(ranked(2, other_key=key, other="x"), "place").drop("place")
 
-    def ranked(salt: int, name: str) -> DataFrame:
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.col(key), F.lit(seed + salt)), key)
-        return dealt.select("bucket", F.row_number().over(order).alias("place"), F.col("x").alias(name))
 
-    paired = ranked(1, "x").join(ranked(2, "other"), ["bucket", "place"]).select("x", "other")
+def permutation_importance(df: DataFrame, forest: Forest, *, key: str = "wallet_address", seed: int = SEED) -> DataFrame:
+    """Mean absolute score change per feature when its values are exchanged between rows.
+
+    Like the scores, each feature uses the same permutation (`random_pairs`).
+    """
+    names = list(forest.columns)
+    rows = materialize(df.select(key, F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
+    paired = random_pairs(rows, key, seed).select("x", "other")
     trees = df.sparkSession.sparkContext.broadcast(_node_arrays(forest.nodes.toPandas()))
     sample_rows = forest.sample_rows
 

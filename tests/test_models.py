@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.numbering import with_row_numbers
 from ledgerlens.operators import evaluation, neighbors, preparation, scoring
 from ledgerlens.operators import forest as iforest
 from ledgerlens.session import new_path
@@ -154,7 +155,7 @@ def test_forest_sample_is_without_replacement(table):
 def test_unused_feature_has_no_importance(table):
     flat = table.withColumn("d", F.lit(1.0))
     fitted = iforest.isolation_forest_fit(flat, ("a", "b", "c", "d"), trees=20)
-    rows = iforest.permutation_importance(flat, fitted, bucket_rows=400).collect()
+    rows = iforest.permutation_importance(flat, fitted).collect()
     importance = {r.feature: r.importance for r in rows}
     assert importance["d"] == 0.0
     assert all(importance[c] > 0 for c in "abc")
@@ -189,3 +190,25 @@ def test_impute_and_scale(spark):
     scaled, parameters = preparation.scale(preparation.impute(frame, ["a", "b"]), ["a", "b"])
     assert [r.b for r in scaled.collect()] == [0.0] * 4
     assert parameters.first().b_spread == 1.0
+
+
+def test_row_numbers_over_partitions(spark):
+    rows = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(997))).alias("v"), "id").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = with_row_numbers(rows, [F.col("v"), F.col("id")], "place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.v, r.id) for r in sorted(got, key=lambda r: r.place)] == sorted((r.v, r.id) for r in got)
+    assert sorted(r.place for r in got) == list(range(5000))
+    assert with_row_numbers(rows.filter("false"), [F.col("id")], "place").count() == 0
+
+
+def test_pairs_are_one_permutation_of_all_rows(spark):
+    rows = spark.range(3000).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    got = iforest.random_pairs(rows, "id", seed=5).collect()
+    assert sorted(r.id for r in got) == sorted(r.other_key for r in got) == list(range(3000))
+    assert all(r.x == [r.id] and r.other == [r.other_key] for r in got)
+    orders = rows.select("id", *[F.xxhash64("id", F.lit(5 + k)).alias(f"h{k}") for k in (1, 2)]).collect()
+    first, second = (sorted(orders, key=lambda r: (r[f"h{k}"], r.id)) for k in (1, 2))
+    assert {(r.id, r.other_key) for r in got} == {(a.id, b.id) for a, b in zip(first, second)}
