@@ -8,13 +8,15 @@ only these lists (about 32 bytes for 4 KB of text) are shuffled and compared, th
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import joined, map_arrow, stored, utf8
+from ledgerlens.llm.common import joined, stored, utf8
 
 RECIPE = "doc_id long, n_bytes long, text_sha256 string, recipe array<binary>"
 
@@ -48,10 +50,10 @@ def cut_points(data: np.ndarray, starts: np.ndarray, bits: int, longest: int) ->
     return np.union1d(cuts, np.concatenate(more)) if more else cuts
 
 
-def recipes(docs: DataFrame, bits: int = 12, longest: int = 1 << 16, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def recipes(docs: DataFrame, bits: int = 12, longest: int = 1 << 16, id_column: str = "doc_id", text: str = "text", portion_bytes: int = 1 << 21) -> DataFrame:
     """One row per document: its length, digest and ordered chunk identifiers; null text counts as empty (no chunk)."""
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def portion(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, starts = utf8(batch.column(1))
         cuts = cut_points(data, starts, bits, longest)
         view = memoryview(data)
@@ -68,7 +70,17 @@ def recipes(docs: DataFrame, bits: int = 12, longest: int = 1 << 16, id_column:
             ["doc_id", "n_bytes", "text_sha256", "recipe"],
         )
 
-    return map_arrow(docs.select(F.col(id_column), F.col(text)), rows, RECIPE)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch has a number of rows, not of bytes; the arrays are made for some megabytes at a time
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            filled = np.cumsum(lengths) // portion_bytes
+            edges = [0, *(np.flatnonzero(filled[1:] != filled[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    yield portion(batch.slice(a, b - a))
+
+    return docs.select(F.col(id_column), F.col(text)).mapInArrow(rows, RECIPE)
 
 
 def chunk_store(docs: DataFrame, **options) -> DataFrame:
