@@ -8,6 +8,7 @@ commonest ones, counted over all documents, cost as much as their rank.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -66,57 +67,96 @@ def brute_bits(c: str) -> float:
     return 11.0
 
 
+class Runs:
+    """How far a text repeats itself with a period, from any place; a run that was measured once is not measured again."""
+
+    def __init__(self, low: str):
+        self.low = low
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def repeated(self, i: int, period: int) -> int:
+        """Number of characters from i on that equal those `period` later."""
+        begin, end = self.known.get(period, (0, 0))
+        if begin <= i < end:
+            return end - i
+        low, n, size = self.low, len(self.low) - period, 0
+        block = 1
+        while block and i + size < n:
+            block = min(block, n - i - size)
+            if low[i + size : i + size + block] == low[i + size + period : i + size + period + block]:
+                size += block
+                block *= 2
+            else:
+                block //= 2
+        if size:
+            self.known[period] = (i, i + size)
+        return size
+
+
+def walk_from(low: str, i: int, most_turns: float) -> tuple[int, int]:
+    """Length of the keyboard walk from i on and its turns; a walk that turns more than `most_turns` times is cut off."""
+    length, turns, before = 1, 0, None
+    while i + length < len(low) and (way := step(low[i + length - 1], low[i + length])):
+        turns += before is not None and way != before
+        if turns > most_turns:
+            break
+        before = way
+        length += 1
+    return length, turns
+
+
 def guess_bits(value: str, ranks: Mapping[str, int], enough: float = math.inf) -> float:
     """Bits of the cheapest segmentation; `ranks` holds words in lower case with their rank from 1.
 
-    Once every segmentation costs `enough`, a lower bound of that size is given.
+    Places are settled in the order of their cost, so only places that cost less than the answer are looked at: with
+    `enough`, a number that does not grow with the value. Once every segmentation costs `enough`, a lower bound of that
+    size is given.
     """
-    n, low = len(value), value.lower()
-    runs_same, runs_walk = [1] * (n + 1), [1] * (n + 1)  # lengths of the run of one character, of the walk, from i on
-    turns = [0] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        if low[i] == low[i + 1]:
-            runs_same[i] = runs_same[i + 1] + 1
-        way = step(low[i], low[i + 1])
-        if way:
-            runs_walk[i] = runs_walk[i + 1] + 1
-            turns[i] = turns[i + 1] + (runs_walk[i + 1] > 1 and way != step(low[i + 1], low[i + 2]))
-    best = [0.0] + [math.inf] * n
-
-    def reach(j: int, bits: float) -> None:
-        if bits < best[j]:
-            best[j] = bits
-
-    spans = [math.inf] * (n + 1)  # cheapest way to j that ends in a brute-force span
-    for i in range(n):
-        if i % 32 == 31 and (least := min(best[i:])) >= enough:  # every segmentation passes through one of these places
-            return least
-        here = best[i]
-        spans[i + 1] = min(spans[i], here + SEGMENT_BITS) + brute_bits(value[i])
-        reach(i + 1, spans[i + 1])
+    n, low = len(value), lower_in_place(value)
+    runs = Runs(low)
+    # (place, False) ends a segment; (place, True) is inside a brute-force span
+    best: dict[tuple[int, bool], float] = {(0, False): 0.0}
+    heap = [(0.0, 0, False)]
+
+    def reach(j: int, bits: float, inside: bool = False) -> None:
+        if bits < best.get((j, inside), math.inf):
+            best[j, inside] = bits
+            heapq.heappush(heap, (bits, j, inside))
+
+    while True:
+        here, i, inside = heapq.heappop(heap)
+        if here > best[i, inside]:
+            continue
+        if here >= enough or (i == n and not inside):
+            return here
+        if inside:
+            reach(i, here)
+            if i < n:
+                reach(i + 1, here + brute_bits(value[i]), True)
+            continue
         here += SEGMENT_BITS
+        reach(i + 1, here + brute_bits(value[i]), True)
         for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
             rank = ranks.get(low[i:j])
             if rank:
                 upper = sum(c.isupper() for c in value[i:j])
                 case = 0.0 if not upper else 1.0 if upper == j - i or value[i].isupper() and upper == 1 else float(j - i)
                 reach(j, here + math.log2(rank + 1) + case)
-        if runs_same[i] >= 3:
-            for k in (3, runs_same[i]):
+        same = runs.repeated(i, 1) + 1
+        if same >= 3:
+            for k in (3, same):
                 reach(i + k, here + brute_bits(value[i]) + math.log2(k))
-        if runs_walk[i] >= 4:
-            reach(i + runs_walk[i], here + math.log2(len(PLACE)) + math.log2(runs_walk[i]) + 2.0 * (1 + turns[i]))
+        walk, turns = walk_from(low, i, (enough - here) / 2.0)
+        if walk >= 4:
+            reach(i + walk, here + math.log2(len(PLACE)) + math.log2(walk) + 2.0 * (1 + turns))
         for block in range(2, min((n - i) // 2, LONGEST_WORD) + 1):
-            times = 1
-            while low.startswith(low[i : i + block], i + times * block):
-                times += 1
+            times = runs.repeated(i, block) // block + 1
             if times > 1:
                 reach(i + times * block, here + sum(map(brute_bits, value[i : i + block])) + math.log2(times))
         m = DATE.match(value, i)
         if m:
             reach(m.end(), here + (7.0 if m.end() - i == 4 else 7.0 + math.log2(365) + 1.0))
             reach(i + 4, here + 7.0) if value[i : i + 2] in ("19", "20") and value[i : i + 4].isdigit() else None
-    return best[n]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

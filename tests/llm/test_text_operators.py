@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -362,3 +363,74 @@ def test_digest_of_payload():
     from ledgerlens.llm import warc
 
     assert warc.digest32(b"") == base64.b32encode(hashlib.sha1(b"").digest()).decode()
+
+
+def exhaustive_bits(value, ranks):
+    """Cheapest segmentation by trying every segment at every place, from the definition."""
+    low, n = secret_scan.lower_in_place(value), len(value)
+
+    def turns_of(word):
+        ways = [secret_scan.step(a, b) for a, b in zip(word, word[1:])]
+        return sum(a != b for a, b in zip(ways, ways[1:])) if all(ways) else None
+
+    def segments(i):
+        for j in range(i + 1, n + 1):
+            part, small = value[i:j], low[i:j]
+            yield j, 1 + sum(map(secret_scan.brute_bits, part))
+            if 2 <= j - i <= 24 and small in ranks:
+                upper = sum(c.isupper() for c in part)
+                case = 0 if not upper else 1 if upper == j - i or part[0].isupper() and upper == 1 else j - i
+                yield j, 1 + np.log2(ranks[small] + 1) + case
+            run = next((k for k in range(i, n) if low[k] != low[i]), n) - i
+            if run >= 3 and j - i in (3, run):
+                yield j, 1 + secret_scan.brute_bits(part[0]) + np.log2(j - i)
+            walk = max(k for k in range(1, n - i + 1) if turns_of(low[i : i + k]) is not None)
+            if walk >= 4 and j - i == walk:
+                yield j, 1 + np.log2(len(secret_scan.PLACE)) + np.log2(walk) + 2 * (1 + turns_of(small))
+            for block in range(2, min((n - i) // 2, 24) + 1):
+                times = 1
+                while low[i + times * block : i + (times + 1) * block] == low[i : i + block]:
+                    times += 1
+                if times > 1 and j - i == times * block:
+                    yield j, 1 + sum(map(secret_scan.brute_bits, part[:block])) + np.log2(times)
+            m = secret_scan.DATE.match(value, i)
+            if m and m.end() == j:
+                yield j, 8 if j - i == 4 else 9 + np.log2(365)
+            if m and j - i == 4 and part[:2] in ("19", "20") and part.isdigit():
+                yield j, 8
+
+    best = [0.0] + [float("inf")] * n
+    for i in range(n):
+        for j, bits in segments(i):
+            best[j] = min(best[j], best[i] + bits)
+    return best[n]
+
+
+def test_guess_cost_equals_exhaustive_segmentation():
+    r = random.Random(4)
+    ranks = {"pass": 5, "word": 9, "password": 2, "dragon": 30, "ab": 3}
+    parts = ["pass", "Word", "dragon", "qwerty", "1234", "aaaa", "abab", "2019-04-05", "1999", "x9$K", "zxcv", "é", "!!", "DRAGON", "111", "İ"]
+    for k in range(300):
+        value = "".join(r.choice(parts) for _ in range(r.randint(1, 3))) if k % 2 else "".join(r.choice("ab1qw") for _ in range(r.randint(1, 14)))
+        assert secret_scan.guess_bits(value, ranks) == pytest.approx(exhaustive_bits(value, ranks))
+        assert (secret_scan.guess_bits(value, ranks, 40.0) >= 40.0) == (exhaustive_bits(value, ranks) >= 40.0)
+
+
+@pytest.mark.parametrize("value", ["a" * 1_000_000, "ab" * 500_000, "password" * 125_000, "0" * 1_000_000, "qw" * 500_000, "1234567890" * 100_000])
+def test_guess_cost_of_very_long_values(value):
+    started = time.perf_counter()
+    secret_scan.guess_bits(value, {"password": 2, "pass": 5}, 40.0)
+    assert time.perf_counter() - started < 1
+
+
+def test_secrets_in_very_long_values_and_empty_tables(docs_of):
+    rows = [(1, "my token: " + "0" * 1_000_000, "s"), (2, "secret=" + "ab" * 300_000, "s")]
+    got = {r["doc_id"]: r["n_assign"] for r in secret_scan.secrets_of(docs_of(rows)).collect()}
+    assert got == {1: 1, 2: 1}
+    assert secret_scan.secrets_of(docs_of([])).count() == 0
+
+
+def test_recipes_do_not_depend_on_portions(docs_of):
+    docs = docs_of(ROWS).coalesce(1)
+    whole, cut = (sorted(map(repr, chunk_dedup.recipes(docs, bits=5, longest=64, portion_bytes=b).collect())) for b in (1 << 30, 100))
+    assert whole == cut
