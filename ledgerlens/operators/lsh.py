@@ -13,7 +13,7 @@ from ledgerlens.operators.grid import hash_sample
 from ledgerlens.operators.metric_tree import fresh, nearest_of, squared_estimates, stack
 from ledgerlens.session import write_and_read
 
-TABLES = 12
+TABLES = 20
 HASHES = 4
 SAMPLE_ROWS = 2048
 WIDTHS = 4.0
