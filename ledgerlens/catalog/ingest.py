@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
 from ledgerlens.catalog.registry import plain, register
 from ledgerlens.catalog.views import Views
 from ledgerlens.functions import ledger as L
+from ledgerlens.functions import wide as W
 from ledgerlens.operators import staging
 from ledgerlens.operators.features import FEATURE_COLUMNS
 from ledgerlens.session import new_path
@@ -66,18 +67,20 @@ def _raw_sql(internal: bool) -> str:
           CAST(NULL AS VARCHAR) AS function_name,
           sha256(concat_ws('|', transaction_hash, CAST(block_number AS VARCHAR), from_address,
             coalesce(to_address, 'None'), CAST(value_wei AS VARCHAR){suffix})) AS record_hash,
-          '{tag}' || from_address AS source, ingested_at
+          '{tag}' || from_address AS source, ingested_at,
+          CASE WHEN value_wei < {2**62} THEN '0x' || lower(hex(CAST(value_wei AS BIGINT)))
+               ELSE CAST(value_wei AS VARCHAR) END AS value_text
         FROM raw_transactions"""
 
 
 register(
     "normalize_raw_transactions",
-    lambda v: plain(landing.normalize_raw_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at")).drop("value_text")),
+    lambda v: plain(landing.normalize_raw_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at"))),
     _raw_sql(False),
 )
 register(
     "normalize_internal_transactions",
-    lambda v: plain(landing.normalize_internal_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at")).drop("value_text")),
+    lambda v: plain(landing.normalize_internal_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at"))),
     _raw_sql(True),
 )
 
@@ -121,6 +124,25 @@ register(
 CONTRACT = "0x" + "0" * 39 + "3"
 
 
+# amounts of four kinds by block: plain, times 2^160 in hexadecimal, with 50 more digits, and the largest of 256 bits
+MORE_DIGITS = "7" * 50
+HEX_ZEROS = 40
+LIMB = 10**13
+
+
+def _token_amount() -> Column:
+    amount = F.col("value_wei")
+    text = amount.cast("string")
+    shifted = F.concat(F.lit("0x"), F.hex((amount % F.lit(2**62)).cast("bigint")), F.lit("0" * HEX_ZEROS))
+    kind = F.col("block_number") % 4
+    return (
+        F.when(kind == 1, shifted)
+        .when(kind == 2, F.concat(text, F.lit(MORE_DIGITS)))
+        .when(kind == 3, F.when(F.col("transaction_index") == 5, "0xbroken").otherwise("0x" + "F" * 64))
+        .otherwise(text)
+    )
+
+
 def _token_transfers(v: Views) -> DataFrame:
     """Order lines as token transfers, landed as JSON files and read back with a declared schema."""
     c = F.col
@@ -131,7 +153,7 @@ def _token_transfers(v: Views) -> DataFrame:
         c("from_address").alias("from"),
         F.coalesce("to_address", F.lit("")).alias("to"),
         F.concat(F.lit("0x"), F.lpad(c("transaction_index").cast("string"), 40, "0")).alias("contractAddress"),
-        c("value_wei").cast("string").alias("value"),
+        _token_amount().alias("value"),
         F.lit("Token").alias("tokenName"),
         F.lit("TKN").alias("tokenSymbol"),
         F.lit("18").alias("tokenDecimal"),
@@ -141,16 +163,80 @@ def _token_transfers(v: Views) -> DataFrame:
     return landing.read_landed(v.spark, path, schemas.API_TOKEN_TRANSFER)
 
 
+def _limb_sql(k: int) -> str:
+    """Limb k (base 10^13, lowest first) of a token amount in SQL, before any carry."""
+    shift, largest = 16**HEX_ZEROS // LIMB**k % LIMB, (2**256 - 1) // LIMB**k % LIMB
+    digits = f"CAST(substr(long_digits, {78 - 13 * (k + 1) + 1}, 13) AS HUGEINT)"
+    plain_limb = f"CAST(substr(lpad(CAST(value_wei AS VARCHAR), 78, '0'), {78 - 13 * (k + 1) + 1}, 13) AS HUGEINT)"
+    return f"""CASE block_number % 4 WHEN 1 THEN small * {shift} WHEN 2 THEN {digits}
+          WHEN 3 THEN CASE WHEN transaction_index <> 5 THEN {largest}::HUGEINT END ELSE {plain_limb} END AS s{k}"""
+
+
+def _carry_sql(source: str, by: str, limbs: str) -> str:
+    """Carry from limb to limb as nested selects; the result has the digits t0 to t5 and what is left over in c5."""
+    sql = f"SELECT {by}, {limbs}, 0::HUGEINT AS c FROM {source}"
+    for k in range(6):
+        kept = "".join(f", t{i}" for i in range(k)) + "".join(f", s{i}" for i in range(k + 1, 6))
+        sql = f"SELECT {by}{kept}, (s{k} + c) % {LIMB} AS t{k}, (s{k} + c) // {LIMB} AS c FROM ({sql})"
+    return sql
+
+
+def _digits_sql(prefix: str = "") -> str:
+    lower = " || ".join(f"lpad(CAST({prefix}t{k} AS VARCHAR), 13, '0')" for k in range(5, -1, -1))
+    return f"lpad(CAST({prefix}c AS VARCHAR), 13, '0') || {lower}"
+
+
+def _bare_sql(text: str) -> str:
+    return f"CASE WHEN {text} IS NOT NULL THEN coalesce(nullif(ltrim({text}, '0'), ''), '0') END"
+
+
+TOKEN_COLUMNS = (
+    "transaction_hash, block_number, transaction_timestamp, from_address, to_address, contract_address"
+)
+TOKEN_CTES = {
+    "token_limbs": f"""
+        SELECT {TOKEN_COLUMNS}, {', '.join(_limb_sql(k) for k in range(6))}
+        FROM (SELECT lower(transaction_hash) AS transaction_hash, block_number, transaction_timestamp, from_address,
+            lower(trim(coalesce(to_address, ''))) AS to_address, transaction_index, value_wei,
+            '0x' || lpad(CAST(transaction_index AS VARCHAR), 40, '0') AS contract_address,
+            CAST(value_wei AS HUGEINT) % {2**62} AS small,
+            lpad(CAST(value_wei AS VARCHAR) || '{MORE_DIGITS}', 78, '0') AS long_digits
+          FROM raw_transactions)""",
+    "token_rows": f"""
+        SELECT {TOKEN_COLUMNS}, t0, t1, t2, t3, t4, t5, {_digits_sql()} AS digits
+        FROM ({_carry_sql('token_limbs', TOKEN_COLUMNS, 's0, s1, s2, s3, s4, s5')})""",
+    "token_sums": f"""
+        SELECT contract_address, {_digits_sql()} AS digits FROM ({_carry_sql(
+            "(SELECT contract_address, " + ", ".join(f"sum(t{k}) AS s{k}" for k in range(6))
+            + " FROM token_rows GROUP BY contract_address)", "contract_address", "s0, s1, s2, s3, s4, s5")})""",
+}
+
+
+def _landed_tokens(v: Views, contract: str | None = None) -> DataFrame:
+    return landing.token_transfers_landing(_token_transfers(v), contract)
+
+
 register(
     "token_transfers_landing",
-    lambda v: plain(landing.token_transfers_landing(_token_transfers(v), CONTRACT)),
-    """
-    SELECT lower(transaction_hash) AS transaction_hash, block_number, transaction_timestamp, from_address,
-      lower(trim(coalesce(to_address, ''))) AS to_address,
-      '0x' || lpad(CAST(transaction_index AS VARCHAR), 40, '0') AS contract_address,
-      CAST(value_wei AS VARCHAR) AS token_value, 'Token' AS token_name, 'TKN' AS token_symbol,
-      CAST(18 AS BIGINT) AS token_decimal
-    FROM raw_transactions WHERE transaction_index = 3""",
+    lambda v: plain(_landed_tokens(v, CONTRACT).withColumn("token_amount", W.wide_text(F.col("token_amount"))), "value_text"),
+    f"""
+    SELECT {TOKEN_COLUMNS}, CASE WHEN length({_bare_sql('digits')}) <= 38 THEN {_bare_sql('digits')} END AS token_value,
+      'Token' AS token_name, 'TKN' AS token_symbol, CAST(18 AS BIGINT) AS token_decimal,
+      {_bare_sql('digits')} AS token_amount
+    FROM token_rows WHERE contract_address = '{CONTRACT}'""",
+    TOKEN_CTES,
+)
+
+register(
+    "token_totals",
+    lambda v: landing.token_totals(_landed_tokens(v)),
+    f"""
+    SELECT contract_address, count(*) AS transfers, {_bare_sql('any_value(s.digits)')} AS total_amount,
+      {_bare_sql('max(r.digits)')} AS largest_amount,
+      count(*) FILTER (WHERE length(ltrim(r.digits, '0')) > 38) AS over_38_digits,
+      count(*) FILTER (WHERE r.digits IS NULL) AS unreadable
+    FROM token_rows r JOIN token_sums s USING (contract_address) GROUP BY contract_address""",
+    TOKEN_CTES,
 )
 
 register(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas
 from ledgerlens.functions import ledger as L
+from ledgerlens.functions import wide as W
 
 # Fixed value: prefix of the source tag.
 SOURCE = "etherscan"
@@ -124,7 +125,11 @@ def normalize_raw_wallets(
 
 
 def token_transfers_landing(transfers: DataFrame, contract: str | None = None) -> DataFrame:
-    """Token transfer rows, typed, optionally for one token contract."""
+    """Token transfer rows, typed, optionally for one token contract.
+
+    Token amounts may use all 256 bits: `token_amount` holds them in wide form (see `functions.wide`), NULL when the
+    text is no such number; `token_value` is the same in 38 digits, NULL beyond.
+    """
     c = F.col
     wanted = transfers
     if contract is not None:
@@ -140,6 +145,23 @@ def token_transfers_landing(transfers: DataFrame, contract: str | None = None) -
         c("tokenName").alias("token_name"),
         c("tokenSymbol").alias("token_symbol"),
         L.optional_count(c("tokenDecimal")).cast("int").alias("token_decimal"),
+        W.parse_wide(c("value")).alias("token_amount"),
+        c("value").alias("value_text"),
+    )
+
+
+def token_totals(transfers: DataFrame) -> DataFrame:
+    """Per token contract: transfers, exact total and largest amount as text, amounts over 38 digits, unreadable ones.
+
+    One grouping; a contract that holds most rows is combined in the map tasks first.
+    """
+    amount = F.col("token_amount")
+    return transfers.groupBy("contract_address").agg(
+        F.count("*").alias("transfers"),
+        W.wide_text(W.wide_sum(amount)).alias("total_amount"),
+        W.wide_text(F.max(amount)).alias("largest_amount"),
+        F.count_if(amount.isNotNull() & F.col("token_value").isNull()).alias("over_38_digits"),
+        F.count_if(amount.isNull()).alias("unreadable"),
     )
 
 
