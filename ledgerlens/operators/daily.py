@@ -127,14 +127,7 @@ def daily_unique_wallets(fact: DataFrame) -> DataFrame:
 
 def new_wallets_daily(fact: DataFrame) -> DataFrame:
     """Wallets seen for the first time, per day."""
-    sides = F.explode(F.array("from_address", "to_address")).alias("wallet")
-    first = (
-        fact.select("transaction_date", sides)
-        .filter("wallet IS NOT NULL")
-        .groupBy("wallet")
-        .agg(F.min("transaction_date").alias("metric_date"))
-    )
-    return first.groupBy("metric_date").agg(F.count("*").alias("new_wallets"))
+    return count_first_seen(first_seen(fact))
 
 
 def moving_averages(daily: DataFrame) -> DataFrame:
@@ -186,18 +179,83 @@ def agg_daily_metrics(
 
     `new_wallets` (see `new_wallets_daily`) needs the whole history and is NULL when not given.
     """
-    stats = _with_hours(fact)
-    daily = (
-        stats.join(_wallet_counts(fact), "metric_date", "left")
+    stamped = F.current_timestamp() if loaded_at is None else loaded_at
+    return _finished(_base_metrics(fact), new_wallets).select(*DAILY_COLUMNS, stamped.alias("loaded_at"))
+
+
+def _base_metrics(fact: DataFrame) -> DataFrame:
+    """The measures that depend on the rows of one day only."""
+    return (
+        _with_hours(fact)
+        .join(_wallet_counts(fact), "metric_date", "left")
         .fillna(0, ["unique_senders", "unique_receivers"])
         .withColumn("success_rate", F.try_divide("successful_transactions", "total_transactions"))
     )
+
+
+def _finished(base: DataFrame, new_wallets: DataFrame | None) -> DataFrame:
+    """Adds new wallets and what looks back over earlier days."""
     if new_wallets is None:
-        daily = daily.withColumn("new_wallets", F.lit(None).cast("bigint"))
+        daily = base.withColumn("new_wallets", F.lit(None).cast("bigint"))
     else:
-        daily = daily.join(new_wallets, "metric_date", "left").fillna(0, ["new_wallets"])
+        daily = base.join(new_wallets, "metric_date", "left").fillna(0, ["new_wallets"])
+    return day_over_day(moving_averages(daily))
+
+
+# Columns of the daily table that depend on other days, too.
+ACROSS_DAYS = ("new_wallets",) + tuple(c for c in DAILY_COLUMNS if c.endswith(("_7d_avg", "_30d_avg", "_change_pct")))
+
+
+def refresh_daily_metrics(
+    metrics: DataFrame, fact: DataFrame, changed_days: list, new_wallets: DataFrame, *, loaded_at: Column | None = None
+) -> DataFrame:
+    """The daily table after some days changed: only their facts are read.
+
+    Averages, changes and new wallets are made again for all rows, of which there is one a day, so a changed day reaches
+    the days that look back on it. A changed day without facts disappears.
+    """
+    own = [c for c in DAILY_COLUMNS if c not in ACROSS_DAYS]
     stamped = F.current_timestamp() if loaded_at is None else loaded_at
-    return day_over_day(moving_averages(daily)).select(*DAILY_COLUMNS, stamped.alias("loaded_at"))
+    fresh = _base_metrics(fact.filter(F.col("transaction_date").isin(changed_days))).select(*own, stamped.alias("loaded_at"))
+    kept = metrics.filter(~F.col("metric_date").isin(changed_days)).select(*own, "loaded_at")
+    return _finished(kept.unionByName(fresh), new_wallets).select(*DAILY_COLUMNS, "loaded_at")
+
+
+def first_seen(fact: DataFrame) -> DataFrame:
+    """(wallet, first_date): the first day on which a wallet sent or received."""
+    sides = F.explode(F.array("from_address", "to_address")).alias("wallet")
+    return (
+        fact.select("transaction_date", sides)
+        .filter("wallet IS NOT NULL")
+        .groupBy("wallet")
+        .agg(F.min("transaction_date").alias("first_date"))
+    )
+
+
+def refresh_first_seen(seen: DataFrame, fact: DataFrame, changed_days: list) -> DataFrame:
+    """The first-seen table after some days changed.
+
+    The facts of these days give new and earlier dates. A stored date on a changed day counts only if the wallet is
+    still there; wallets that lost it are looked up in all facts, a semi join on rarely more than a few rows.
+    """
+    now = first_seen(fact.filter(F.col("transaction_date").isin(changed_days))).withColumnRenamed("first_date", "now")
+    both = seen.join(now, "wallet", "full_outer")
+    stored, fresh = F.col("first_date"), F.col("now")
+    lost = F.coalesce(stored.isin(changed_days) & (fresh.isNull() | (fresh > stored)), F.lit(False))
+    found = both.filter(~lost).select("wallet", F.least(stored, fresh).alias("first_date"))
+    searched = first_seen_of(fact, both.filter(lost).select("wallet"))
+    return found.unionByName(searched)
+
+
+def first_seen_of(fact: DataFrame, wallets: DataFrame) -> DataFrame:
+    """First days of some wallets; one that is in no transfer has no row."""
+    sides = F.explode(F.array("from_address", "to_address")).alias("wallet")
+    rows = fact.select("transaction_date", sides).join(wallets, "wallet", "left_semi")
+    return rows.groupBy("wallet").agg(F.min("transaction_date").alias("first_date"))
+
+
+def count_first_seen(seen: DataFrame) -> DataFrame:
+    return seen.groupBy(F.col("first_date").alias("metric_date")).agg(F.count("*").alias("new_wallets"))
 
 
 def incremental_daily_metrics(fact: DataFrame, existing: DataFrame, *, days: int = 7, **options) -> DataFrame:

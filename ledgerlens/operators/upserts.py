@@ -101,6 +101,32 @@ def incremental_lookback(
     return source.filter(last.isNull() | (F.col(source_date) >= F.date_sub(last, days)))
 
 
+def _key_bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_key_index(table: DataFrame, path: str, keys: Sequence[str], partition: str, buckets: int = 512) -> None:
+    """Where each key of a partitioned table is stored: keys and partition value, one folder for each hash bucket."""
+    indexed = table.select(*keys, partition, F.lit(buckets).alias("buckets"), _key_bucket(keys, buckets).alias("bucket"))
+    (
+        indexed.hint("rebalance", F.col("bucket"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("buckets", "bucket")
+        .parquet(path)
+    )
+
+
+def stored_keys(index: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Index rows of the buckets that the source's keys fall into; other buckets are not listed or read."""
+    buckets = index.agg(F.max("buckets")).first()[0]
+    if buckets is None:
+        return index
+    # at most one value per bucket
+    wanted = [row[0] for row in source.select(_key_bucket(keys, buckets)).distinct().collect()]
+    return index.filter((F.col("buckets") == buckets) & F.col("bucket").isin(wanted))
+
+
 def merge_into_partitions(
     path: str,
     source: DataFrame,
@@ -109,37 +135,123 @@ def merge_into_partitions(
     rule=upsert_replace,
     *,
     keys_move: bool = True,
+    index: str | None = None,
+    changed: str | None = None,
     **options,
 ) -> None:
     """Upsert into a partitioned table, rewriting only the partitions that change.
 
-    A new version of a row may belong to another partition than the stored one; finding those reads the key columns of
-    the table. `keys_move=False` skips that for keys that never change partition. The merged rows are materialized
-    before the write, so no partition is read while it is written.
+    A new version of a row may belong to another partition than the stored one. `index` (see `write_key_index`) finds
+    those from the buckets of the source's keys and is kept up to date; without it the key columns of the whole table
+    are read. `keys_move=False` skips both for keys that never change partition. `changed` names a table to which the
+    values of the rewritten partitions are appended, for jobs that follow.
+
+    The new content is written beside the table (`<path>_journal`) and complete before the table is touched. A run that
+    ends in between leaves no key twice, and the next merge, or `finish_merge`, first completes it from there.
     """
     spark = source.sparkSession
+    finish_merge(spark, path)
     target = spark.read.parquet(path).select(*source.columns)
+    source = materialize(source)
     touched = source.select(partition)
+    journal = f"{path}_journal"
+    places = None
+    if index is not None:
+        places = stored_keys(spark.read.parquet(index), source, keys)
     if keys_move:
-        stored = target.select(*keys, partition).join(source.select(*keys), list(keys), "left_semi")
-        touched = touched.unionByName(stored.select(partition))
+        known = target if places is None else places
+        moved = known.select(*keys, partition).join(source.select(*keys), list(keys), "left_semi")
+        touched = touched.unionByName(moved.select(partition))
     # at most one value per partition; as literals they prune the file listing
     values = [row[0] for row in touched.distinct().collect()]
-    merged = materialize(rule(target.filter(F.col(partition).isin(values)), source, keys, **options))
+    rows = rule(target.filter(_is_one_of(partition, values)), source, keys, **options)
+    rows.write.mode("overwrite").parquet(f"{journal}/rows")
+    if places is not None:
+        buckets = spark.read.parquet(index).agg(F.max("buckets")).first()[0] or 512
+        merged = spark.read.parquet(f"{journal}/rows").select(*keys, partition)
+        fresh = merged.join(source.select(*keys), list(keys), "left_semi")
+        kept = places.select(*keys, partition).join(source.select(*keys), list(keys), "left_anti")
+        located = kept.unionByName(fresh).select(
+            "*", F.lit(buckets).alias("buckets"), _key_bucket(keys, buckets).alias("bucket")
+        )
+        located.write.mode("overwrite").parquet(f"{journal}/keys")
+    plan = spark.createDataFrame(
+        [(partition, index, changed, values)],
+        f"partition string, index string, changed string, values array<{target.schema[partition].dataType.simpleString()}>",
+    )
+    plan.coalesce(1).write.mode("overwrite").parquet(f"{journal}/plan")
+    finish_merge(spark, path)
+
+
+def _folder(path: str, partition: str, value) -> str:
+    return f"{path}/{partition}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+
+
+def _is_one_of(column: str, values: list) -> Column:
+    known = [v for v in values if v is not None]
+    found = F.col(column).isin(known) if known else F.lit(False)
+    return found | F.col(column).isNull() if len(known) < len(values) else found
+
+
+def finish_merge(spark: SparkSession, path: str) -> None:
+    """Bring a journal that is complete into its table; every step may be repeated. An incomplete one is dropped.
+
+    Partitions whose rows all moved elsewhere go before the others are written, so no key is ever stored twice.
+    """
+    journal = f"{path}_journal"
+    if not exists(spark, f"{journal}/plan/_SUCCESS"):
+        drop(spark, journal)
+        return
+    plan = spark.read.parquet(f"{journal}/plan").first().asDict()
+    rows = spark.read.parquet(f"{journal}/rows")
+    kind = rows.schema[plan["partition"]].dataType
+    if plan["changed"] is not None:
+        days = spark.createDataFrame([(v,) for v in plan["values"]], f"{plan['partition']} {kind.simpleString()}")
+        days.write.mode("append").parquet(plan["changed"])
+    left = {row[0] for row in rows.select(plan["partition"]).distinct().collect()}
+    for value in set(plan["values"]) - left:
+        drop(spark, _folder(path, plan["partition"], value))
+    _overwrite_partitions(rows, path, plan["partition"])
+    if plan["index"] is not None:
+        _overwrite_partitions(spark.read.parquet(f"{journal}/keys"), plan["index"], "buckets", "bucket")
+    drop(spark, f"{journal}/plan")
+    drop(spark, journal)
+
+
+def _overwrite_partitions(rows: DataFrame, path: str, *by: str) -> None:
     (
-        merged.hint("rebalance", F.col(partition))
+        rows.hint("rebalance", *[F.col(c) for c in by])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
+        .partitionBy(*by)
         .parquet(path)
     )
-    if keys_move:
-        left = {row[0] for row in merged.select(partition).distinct().collect()}
-        for value in set(values) - left:
-            _drop_partition(spark, f"{path}/{partition}={value}")
 
 
-def _drop_partition(spark: SparkSession, folder: str) -> None:
-    """Remove a partition whose rows all moved elsewhere."""
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replace a table that `df` may read: written beside it, then moved; a run that ends in between can be finished."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}_next")
+    finish_replacement(spark, path)
+
+
+def finish_replacement(spark: SparkSession, path: str) -> None:
+    if exists(spark, f"{path}_next/_SUCCESS"):
+        drop(spark, path)
+        _file_system(spark, path).rename(_location(spark, f"{path}_next"), _location(spark, path))
+
+
+def _location(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _location(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path).exists(_location(spark, path))
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    _file_system(spark, folder).delete(_location(spark, folder), True)

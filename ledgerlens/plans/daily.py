@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import daily, marts, quality, staging, upserts
-from ledgerlens.session import materialize
 from ledgerlens.sources.tables import save_table, write_table
 
 
@@ -34,7 +33,12 @@ def run_daily(spark: SparkSession, raw_transactions: DataFrame, paths: Paths, *,
     write_table(marts.fact_transactions(staged, loaded_at=moment), paths.table("fact_transactions"), "fact_transactions")
     fact = spark.read.parquet(paths.table("fact_transactions"))
 
-    metrics = daily.agg_daily_metrics(fact, new_wallets=daily.new_wallets_daily(fact), loaded_at=moment)
+    upserts.write_key_index(staged, paths.table("stg_transactions_keys"), ["transaction_id"], "transaction_date")
+    upserts.write_key_index(fact, paths.table("fact_transactions_keys"), ["transaction_key"], "transaction_date")
+
+    save_table(daily.first_seen(fact), paths.table("wallet_first_seen"))
+    seen = spark.read.parquet(paths.table("wallet_first_seen"))
+    metrics = daily.agg_daily_metrics(fact, new_wallets=daily.count_first_seen(seen), loaded_at=moment)
     save_table(metrics, paths.table("agg_daily_metrics"))
     return quality.quality_report(quality.staging_checks(staged, moment))
 
@@ -58,22 +62,44 @@ def run_incremental(
 ) -> None:
     """Bring new raw rows into an existing warehouse, rewriting only the days they touch, then refresh the metrics.
 
-    `stable_dates` promises that a transaction never changes its date, which saves reading all stored keys.
+    `stable_dates` promises that a transaction never changes its date, which saves looking up the stored keys. A run
+    that was cut off is completed by the next one, also by one without new rows.
     """
-    moving = {"keys_move": not stable_dates}
     moment = F.current_timestamp() if now is None else now
+    staged_path, fact_path = paths.table("stg_transactions"), paths.table("fact_transactions")
+    rule, date, moving = upserts.upsert_if_newer, "transaction_date", not stable_dates
+    # the fact of a cut-off run has its later loading times only when complete
+    upserts.finish_merge(spark, staged_path)
+    upserts.finish_merge(spark, fact_path)
     staged = staging.stage_transactions(new_raw, staged_at=moment)
     upserts.merge_into_partitions(
-        paths.table("stg_transactions"), staged, ["transaction_id"], "transaction_date", upserts.upsert_if_newer, **moving
+        staged_path, staged, ["transaction_id"], date, rule, keys_move=moving, index=paths.table("stg_transactions_keys")
     )
-    everything = spark.read.parquet(paths.table("stg_transactions"))
-    fact_path = paths.table("fact_transactions")
     stored = spark.read.parquet(fact_path)
-    fresh = upserts.incremental_since_watermark(everything, stored)
+    fresh = upserts.incremental_since_watermark(spark.read.parquet(staged_path), stored)
     facts = marts.fact_transactions(fresh, loaded_at=moment).select(*stored.columns)
     upserts.merge_into_partitions(
-        fact_path, facts, ["transaction_key"], "transaction_date", upserts.upsert_if_newer, version="loaded_at", **moving
+        fact_path, facts, ["transaction_key"], date, rule, version="loaded_at", keys_move=moving,
+        index=paths.table("fact_transactions_keys"), changed=paths.table("changed_days"),
     )
-    fact = spark.read.parquet(fact_path)
-    metrics = daily.agg_daily_metrics(fact, new_wallets=daily.new_wallets_daily(fact), loaded_at=moment)
-    save_table(materialize(metrics), paths.table("agg_daily_metrics"))
+    refresh_metrics(spark, paths, now=moment)
+
+
+def refresh_metrics(spark: SparkSession, paths: Paths, *, now: Column | None = None) -> None:
+    """Daily metrics and first-seen dates for the days that merges have changed since the last refresh.
+
+    The list of days goes last, so a run that was cut off is done again, with the same result.
+    """
+    seen_path, metrics_path, changed_path = map(paths.table, ("wallet_first_seen", "agg_daily_metrics", "changed_days"))
+    upserts.finish_replacement(spark, seen_path)
+    upserts.finish_replacement(spark, metrics_path)
+    if not upserts.exists(spark, changed_path):
+        return
+    # one value a day
+    days = [row[0] for row in spark.read.parquet(changed_path).distinct().collect() if row[0] is not None]
+    fact = spark.read.parquet(paths.table("fact_transactions"))
+    upserts.replace_table(daily.refresh_first_seen(spark.read.parquet(seen_path), fact, days), seen_path)
+    new_wallets = daily.count_first_seen(spark.read.parquet(seen_path))
+    metrics = daily.refresh_daily_metrics(spark.read.parquet(metrics_path), fact, days, new_wallets, loaded_at=now)
+    upserts.replace_table(metrics, metrics_path)
+    upserts.drop(spark, changed_path)
