@@ -21,10 +21,13 @@ class Paths:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def run_daily(spark: SparkSession, raw_transactions: DataFrame, paths: Paths, *, now: Column | None = None) -> DataFrame:
+def run_daily(
+    spark: SparkSession, raw_transactions: DataFrame, paths: Paths, *, now: Column | None = None, key_buckets: int = 512
+) -> DataFrame:
     """Full load. Each layer is written with its layout and read back, so the next one prunes and pushes down.
 
-    Returns the quality report; like the checks it holds, it does not stop the load.
+    `key_buckets` is the number of folders of the key indexes, of some million keys each. Returns the quality report;
+    like the checks it holds, it does not stop the load.
     """
     moment = F.current_timestamp() if now is None else now
     write_table(staging.stage_transactions(raw_transactions, staged_at=moment), paths.table("stg_transactions"), "stg_transactions")
@@ -33,8 +36,8 @@ def run_daily(spark: SparkSession, raw_transactions: DataFrame, paths: Paths, *,
     write_table(marts.fact_transactions(staged, loaded_at=moment), paths.table("fact_transactions"), "fact_transactions")
     fact = spark.read.parquet(paths.table("fact_transactions"))
 
-    upserts.write_key_index(staged, paths.table("stg_transactions_keys"), ["transaction_id"], "transaction_date")
-    upserts.write_key_index(fact, paths.table("fact_transactions_keys"), ["transaction_key"], "transaction_date")
+    upserts.write_key_index(staged, paths.table("stg_transactions_keys"), ["transaction_id"], "transaction_date", key_buckets)
+    upserts.write_key_index(fact, paths.table("fact_transactions_keys"), ["transaction_key"], "transaction_date", key_buckets)
 
     save_table(daily.first_seen(fact), paths.table("wallet_first_seen"))
     seen = spark.read.parquet(paths.table("wallet_first_seen"))
