@@ -47,7 +47,7 @@ def pages(v: Views) -> DataFrame:
     )
 
 
-def _raw_sql(internal: bool) -> str:
+def raw_sql(internal: bool) -> str:
     def outer(expression: str, kind: str) -> str:
         return f"CAST(NULL AS {kind})" if internal else expression
 
@@ -76,12 +76,12 @@ def _raw_sql(internal: bool) -> str:
 register(
     "normalize_raw_transactions",
     lambda v: plain(landing.normalize_raw_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at"))),
-    _raw_sql(False),
+    raw_sql(False),
 )
 register(
     "normalize_internal_transactions",
     lambda v: plain(landing.normalize_internal_transactions(pages(v), F.col("from"), ingested_at=F.col("ingested_at"))),
-    _raw_sql(True),
+    raw_sql(True),
 )
 
 

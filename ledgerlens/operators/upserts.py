@@ -101,13 +101,14 @@ def incremental_lookback(
     return source.filter(last.isNull() | (F.col(source_date) >= F.date_sub(last, days)))
 
 
-def _key_bucket(keys: Sequence[str], buckets: int) -> Column:
+def key_bucket(keys: Sequence[str], buckets: int) -> Column:
+    """The hash bucket of a key."""
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 def write_key_index(table: DataFrame, path: str, keys: Sequence[str], partition: str, buckets: int = 512) -> None:
     """Where each key of a partitioned table is stored: keys and partition value, one folder for each hash bucket."""
-    indexed = table.select(*keys, partition, F.lit(buckets).alias("buckets"), _key_bucket(keys, buckets).alias("bucket"))
+    indexed = table.select(*keys, partition, F.lit(buckets).alias("buckets"), key_bucket(keys, buckets).alias("bucket"))
     (
         indexed.hint("rebalance", F.col("bucket"))
         .write.mode("overwrite")
@@ -123,7 +124,7 @@ def stored_keys(index: DataFrame, source: DataFrame, keys: Sequence[str]) -> Dat
     if buckets is None:
         return index
     # at most one value per bucket
-    wanted = [row[0] for row in source.select(_key_bucket(keys, buckets)).distinct().collect()]
+    wanted = [row[0] for row in source.select(key_bucket(keys, buckets)).distinct().collect()]
     return index.filter((F.col("buckets") == buckets) & F.col("bucket").isin(wanted))
 
 
@@ -172,7 +173,7 @@ def merge_into_partitions(
         fresh = merged.join(source.select(*keys), list(keys), "left_semi")
         kept = places.select(*keys, partition).join(source.select(*keys), list(keys), "left_anti")
         located = kept.unionByName(fresh).select(
-            "*", F.lit(buckets).alias("buckets"), _key_bucket(keys, buckets).alias("bucket")
+            "*", F.lit(buckets).alias("buckets"), key_bucket(keys, buckets).alias("bucket")
         )
         located.write.mode("overwrite").parquet(f"{journal}/keys")
     plan = spark.createDataFrame(

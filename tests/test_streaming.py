@@ -1,16 +1,18 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
 from ledgerlens.catalog.ingest import pages
 from ledgerlens.session import new_path
+from ledgerlens.sources import tables
+from ledgerlens.streaming import ingest
 from ledgerlens.streaming.daily import stored_days, stream_daily_metrics
 from ledgerlens.streaming.ingest import read_page_stream, stream_ingest
 
 
-def run(spark, landing, table, state):
-    stream_ingest(
-        read_page_stream(spark, landing, schemas.API_TRANSACTION), table, state, source_address=F.col("from")
-    ).awaitTermination()
+def run(spark, landing, table, state, files_per_batch=1000):
+    found = read_page_stream(spark, landing, schemas.API_TRANSACTION, files_per_batch)
+    stream_ingest(found, table, state, source_address=F.col("from"), buckets=8).awaitTermination()
     return spark.read.parquet(table)
 
 
@@ -30,6 +32,60 @@ def test_stream_resumes_and_skips_known_hashes(spark, views):
     assert stored.select("transaction_hash").distinct().count() == stored.count()
 
 
+def hashes_of(df):
+    return sorted(r.transaction_hash for r in df.select("transaction_hash").collect())
+
+
+@pytest.mark.parametrize("appended", [False, True])
+def test_a_micro_batch_that_is_cut_off_is_repeated_without_doubles(spark, views, monkeypatch, appended):
+    landing, table, state = (new_path(spark, n) for n in ("pages", "raw", "state"))
+    few = pages(views).filter("cast(blockNumber as int) % 40 = 0").drop("ingested_at")
+    few.filter("cast(blockNumber as int) % 80 = 0").coalesce(1).write.json(landing)
+    run(spark, landing, table, state)
+    few.coalesce(1).write.mode("append").json(landing)
+    real = tables.append_partitioned
+
+    def stopping(df, path):
+        if appended:
+            real(df, path)
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "append_partitioned", stopping)
+        for _ in range(2):
+            with pytest.raises(Exception, match="cut off"):
+                run(spark, landing, table, state)
+    stored = hashes_of(run(spark, landing, table, state))
+    assert stored == sorted({r[0] for r in few.select(F.lower(F.trim("hash"))).collect()})
+    kept = spark.read.parquet(f"{table}_hashes")
+    assert hashes_of(kept) == stored
+
+
+def test_hashes_are_compacted_and_only_their_buckets_read(spark, views, monkeypatch):
+    landing, table, state = (new_path(spark, n) for n in ("pages", "raw", "state"))
+    few = pages(views).filter("cast(blockNumber as int) % 40 = 0").drop("ingested_at")
+    few.repartition(5).write.json(landing)
+    monkeypatch.setattr(ingest, "COMPACT_EVERY", 2)
+    stored = run(spark, landing, table, state, files_per_batch=1)
+    kept = spark.read.parquet(f"{table}_hashes")
+    assert hashes_of(kept) == hashes_of(stored) == sorted({r[0] for r in few.select(F.lower(F.trim("hash"))).collect()})
+    names = {r.arrival for r in kept.select("arrival").distinct().collect()}
+    # batches 0 to 4; the last compaction ran before batch 3
+    assert sorted(n.split("-")[-1] for n in names) == ["3", "3", "4"] and sum(n.startswith("compact") for n in names) == 1
+    known = ingest.known_hashes(stored.limit(1), f"{table}_hashes", "none", 8)
+    filters = known._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert "bucket" in filters and known.select("bucket").distinct().count() == 1
+
+
+def test_a_table_without_hashes_gets_them(spark, views):
+    landing, table, state = (new_path(spark, n) for n in ("pages", "raw", "state"))
+    few = pages(views).filter("cast(blockNumber as int) % 40 = 0").drop("ingested_at")
+    few.write.json(landing)
+    first = hashes_of(run(spark, landing, table, state))
+    spark.read.parquet(table).drop("ingest_date").write.parquet(f"{table}-old")
+    assert hashes_of(run(spark, landing, f"{table}-old", f"{state}-2")) == first
+
+
 def test_daily_metrics_count_rows_of_any_lateness(spark, views):
     """Newest files first, one per micro-batch; then old rows in a later run with the same checkpoint."""
     landing, table, state = (new_path(spark, n) for n in ("facts", "daily", "state"))
