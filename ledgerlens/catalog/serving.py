@@ -195,14 +195,17 @@ register(
     "connected_to_suspicious",
     lambda v: risk.connected_to_suspicious(v.fact, v.scores),
     """
-    SELECT c.w AS wallet_address, fraud_score, is_suspicious, tx_count, total_value
-    FROM (SELECT DISTINCT CASE WHEN from_address IN (SELECT wallet_address FROM bad) THEN to_address
-                          ELSE from_address END AS w FROM fact
-          WHERE from_address IN (SELECT wallet_address FROM bad) OR to_address IN (SELECT wallet_address FROM bad)) c
-    LEFT JOIN scores s ON c.w = s.wallet_address
-    WHERE c.w IS NOT NULL AND c.w NOT IN (SELECT wallet_address FROM bad)
-    ORDER BY fraud_score DESC NULLS LAST, c.w LIMIT 100""",
-    {"bad": "SELECT wallet_address FROM scores WHERE fraud_score >= 0.7"},
+    SELECT other AS wallet_address, fraud_score, is_suspicious, tx_count, total_value
+    FROM (SELECT DISTINCT other FROM meetings SEMI JOIN bad ON one = wallet_address) partners
+    ANTI JOIN bad ON other = bad.wallet_address
+    LEFT JOIN scores ON other = scores.wallet_address
+    WHERE other IS NOT NULL ORDER BY fraud_score DESC NULLS LAST, other LIMIT 100""",
+    {
+        "bad": "SELECT wallet_address FROM scores WHERE fraud_score >= 0.7",
+        "meetings": """
+        SELECT from_address AS one, to_address AS other FROM fact
+        UNION SELECT to_address, from_address FROM fact""",
+    },
 )
 register(
     "model_version_stats",
@@ -305,11 +308,11 @@ register(
     "wallet_counterparties",
     lambda v: wallets.wallet_counterparties(v.fact, WALLET),
     f"""
-    SELECT counterparty, count(*) AS transaction_count, {eth('sum(value_wei)')} AS total_value, max(ts) AS last_interaction
-    FROM (SELECT to_address AS counterparty, value_wei, transaction_timestamp AS ts FROM fact
-          WHERE from_address = '{WALLET}' UNION ALL
-          SELECT from_address, value_wei, transaction_timestamp FROM fact WHERE to_address = '{WALLET}')
-    GROUP BY counterparty ORDER BY total_value DESC, counterparty NULLS LAST LIMIT 20""",
+    SELECT CASE WHEN outgoing THEN to_address ELSE from_address END AS counterparty, count(*) AS transaction_count,
+      {eth('sum(value_wei)')} AS total_value, max(transaction_timestamp) AS last_interaction
+    FROM fact CROSS JOIN (VALUES (TRUE), (FALSE)) side(outgoing)
+    WHERE CASE WHEN outgoing THEN from_address ELSE to_address END = '{WALLET}'
+    GROUP BY ALL ORDER BY total_value DESC, counterparty NULLS LAST LIMIT 20""",
 )
 register(
     "wallet_search",
