@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.catalog.layers import DAILY_CTES
 from ledgerlens.catalog.registry import plain, register, rounded
-from ledgerlens.catalog.views import eth
+from ledgerlens.catalog.views import Views, eth
 from ledgerlens.operators import daily, dashboard, risk, wallets
+from ledgerlens.session import new_path
+from ledgerlens.sources.wallet_store import build_store, open_store, refresh_store, wallet_sides, wallet_transfers
 
 WALLET = "0x" + "0" * 40
 PREFIX = "0x" + "0" * 38
@@ -18,7 +21,7 @@ BAND = """CASE WHEN fraud_score >= 0.9 THEN 'critical' WHEN fraud_score >= 0.7 T
 # --- dashboard ---------------------------------------------------------------------------------------------------
 register(
     "dash_totals",
-    lambda v: dashboard.dash_totals(v.stored_fact),
+    lambda v: dashboard.dash_totals(v.served.fact),
     f"""
     SELECT count(*) AS total_transactions, coalesce({eth('sum(value_wei)')}, 0) AS total_volume,
       {eth('sum(value_wei)')} / count(value_wei) AS avg_transaction_value,
@@ -39,7 +42,7 @@ register(
 )
 register(
     "dash_daily_volume",
-    lambda v: dashboard.dash_daily_volume(v.fact, days=DAYS, as_of=v.now),
+    lambda v: dashboard.dash_daily_volume(v.served.fact, days=DAYS, as_of=v.served.moment),
     f"""
     SELECT transaction_date AS date, count(*) AS transaction_count, {eth('sum(value_wei)')} AS total_volume,
       count(DISTINCT from_address) AS unique_senders, count(DISTINCT to_address) AS unique_receivers
@@ -47,7 +50,7 @@ register(
 )
 register(
     "dash_hourly_volume",
-    lambda v: dashboard.dash_hourly_volume(v.fact, as_of=v.now),
+    lambda v: dashboard.dash_hourly_volume(v.served.fact, as_of=v.served.moment),
     f"""
     SELECT date_trunc('hour', transaction_timestamp) AS hour, count(*) AS transaction_count,
       {eth('sum(value_wei)')} AS total_volume
@@ -55,7 +58,7 @@ register(
 )
 register(
     "dash_weekly_volume",
-    lambda v: dashboard.dash_weekly_volume(v.fact, as_of=v.now),
+    lambda v: dashboard.dash_weekly_volume(v.served.fact, as_of=v.served.moment),
     f"""
     SELECT transaction_date - CAST(dayofweek(transaction_date) AS INTEGER) AS week_start,
       count(*) AS transaction_count, {eth('sum(value_wei)')} AS total_volume,
@@ -79,7 +82,7 @@ register(
 )
 register(
     "dashboard_summary",
-    lambda v: dashboard.dashboard_summary(v.stored_fact, v.scores),
+    lambda v: dashboard.dashboard_summary(v.served.fact, v.scores),
     f"""
     SELECT count(*) AS total_transactions, coalesce({eth('sum(value_wei)')}, 0) AS total_volume,
       (SELECT count(DISTINCT wallet_address) FROM edges) AS total_wallets,
@@ -88,7 +91,7 @@ register(
 )
 register(
     "suspicious_fallback",
-    lambda v: dashboard.suspicious_fallback(v.fact),
+    lambda v: dashboard.suspicious_fallback(v.served.fact),
     "SELECT count(DISTINCT from_address) AS suspicious_count FROM fact WHERE value_eth > 100",
 )
 register(
@@ -272,7 +275,7 @@ register(
 )
 register(
     "wallet_stats",
-    lambda v: wallets.wallet_stats(v.fact, WALLET),
+    lambda v: wallets.wallet_stats(wallet_transfers(v.served.wallet_store, WALLET), WALLET),
     f"""
     SELECT '{WALLET}' AS wallet_address, n AS total_transactions, vol AS total_volume, first_transaction_date,
       last_transaction_date, unique_counterparties, round(vol / n, 2) AS average_transaction_value,
@@ -290,15 +293,21 @@ WALLET_DAILY = {
           {eth(f"sum(CASE WHEN from_address = '{WALLET}' THEN value_wei ELSE 0 END)")} AS outflow
         FROM fact, moment WHERE {TOUCH} AND transaction_date >= as_of::DATE - 365 GROUP BY transaction_date"""
 }
+
+
+def _last_year(v: Views) -> DataFrame:
+    return wallet_transfers(v.served.wallet_store, WALLET, since=F.date_sub(F.to_date(v.served.moment.scalar()), 365))
+
+
 register(
     "wallet_daily",
-    lambda v: wallets.wallet_daily(v.fact, WALLET, days=365, as_of=v.now),
+    lambda v: wallets.wallet_daily(_last_year(v), WALLET, days=365, as_of=v.served.moment),
     "SELECT * FROM wallet_days",
     WALLET_DAILY,
 )
 register(
     "wallet_transactions",
-    lambda v: wallets.wallet_transactions(v.fact, WALLET, limit=100),
+    lambda v: wallets.wallet_transactions(wallet_transfers(v.served.wallet_store, WALLET), WALLET, limit=100),
     f"""
     SELECT transaction_hash, block_number, transaction_timestamp, from_address, to_address, value_eth, gas_used,
       gas_fee_eth AS transaction_fee, CASE WHEN from_address = '{WALLET}' THEN 'outgoing' ELSE 'incoming' END AS direction
@@ -306,7 +315,7 @@ register(
 )
 register(
     "wallet_counterparties",
-    lambda v: wallets.wallet_counterparties(v.fact, WALLET),
+    lambda v: wallets.wallet_counterparties(wallet_transfers(v.served.wallet_store, WALLET), WALLET),
     f"""
     SELECT CASE WHEN outgoing THEN to_address ELSE from_address END AS counterparty, count(*) AS transaction_count,
       {eth('sum(value_wei)')} AS total_value, max(transaction_timestamp) AS last_interaction
@@ -337,10 +346,35 @@ register(
 )
 register(
     "wallet_week_sparkline",
-    lambda v: wallets.wallet_week_sparkline(v.fact, WALLET, days=365, as_of=v.now),
+    lambda v: wallets.wallet_week_sparkline(_last_year(v), WALLET, days=365, as_of=v.served.moment),
     """
     SELECT date, strftime(date, '%a') AS name, CAST(floor(total_value + 0.5) AS BIGINT) AS total_value,
       CAST(floor(inflow + 0.5) AS BIGINT) AS inflow, CAST(floor(outflow + 0.5) AS BIGINT) AS outflow
     FROM (SELECT * FROM wallet_days ORDER BY date DESC LIMIT 7)""",
     WALLET_DAILY,
 )
+
+
+def _refreshed_store(v: Views) -> DataFrame:
+    """The store of the transfers before a day, brought up to date by the days from there on."""
+    path, first = new_path(v.spark, "wallet-transfers"), "1998-02-10"
+    fact = v.served.fact
+    build_store(fact.filter(F.col("transaction_date") < first), path, unit="quarter", rows_per_bucket=2_500)
+    # one value a day
+    days = fact.select("transaction_date").filter(F.col("transaction_date") >= first).distinct().collect()
+    refresh_store(fact, path, [row[0] for row in days], rows_per_bucket=2_500)
+    return plain(wallet_sides(open_store(v.spark, path)))
+
+
+register(
+    "wallet_store_refresh",
+    _refreshed_store,
+    """
+    SELECT wallet_address, direction, count(*) AS transfers, CAST(sum(value_wei) AS VARCHAR) AS total_wei,
+      min(ts) AS first_time, max(ts) AS last_time, count(counterparty) AS known_counterparties
+    FROM (SELECT unnest([
+        {'w': from_address, 'c': to_address, 'd': 'out'}, {'w': to_address, 'c': from_address, 'd': 'in'}]) AS side,
+        value_wei, transaction_timestamp AS ts FROM fact)
+    CROSS JOIN LATERAL (SELECT side.w AS wallet_address, side.c AS counterparty, side.d AS direction)
+    WHERE wallet_address IS NOT NULL GROUP BY wallet_address, direction""",
+)

@@ -10,15 +10,22 @@ from ledgerlens.functions import ledger as L
 from ledgerlens.functions import tiers as T
 from ledgerlens.functions.stats import as_struct
 from ledgerlens.operators.daily import wallet_presence
+from ledgerlens.sources.tables import MONTH
 
 AsOf = Column | DataFrame | str | None
 FALLBACK_ETHER = 100
 
 
 def _since(fact: DataFrame, as_of: AsOf, days: int) -> DataFrame:
-    """Rows of the last days, filtered on the partition column."""
+    """Rows of the last days."""
     today = F.to_date(L.point_in_time(as_of, fact, "transaction_timestamp"))
-    return fact.filter(F.col("transaction_date") >= F.date_sub(today, days))
+    return _from_day(fact, F.date_sub(today, days))
+
+
+def _from_day(fact: DataFrame, start: Column) -> DataFrame:
+    """Rows from a day on, filtered on the partition column: the date, or the month where the table is stored by month."""
+    rows = fact.filter(F.col("transaction_date") >= start)
+    return rows.filter(F.col(MONTH) >= F.trunc(start, "month")) if MONTH in fact.columns else rows
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def dash_hourly_volume(fact: DataFrame, *, hours: int = 24, as_of: AsOf = None)
     now = L.point_in_time(as_of, fact, "transaction_timestamp")
     start = now - F.expr(f"INTERVAL '{int(hours)}' HOUR")
     # the date filter prunes partitions, the time filter is exact
-    recent = fact.filter((F.col("transaction_date") >= F.to_date(start)) & (F.col("transaction_timestamp") >= start))
+    recent = _from_day(fact, F.to_date(start)).filter(F.col("transaction_timestamp") >= start)
     hour = F.date_trunc("HOUR", "transaction_timestamp").alias("hour")
     return (
         recent.groupBy(hour)

@@ -165,7 +165,7 @@ def merge_into_partitions(
         touched = touched.unionByName(moved.select(partition))
     # at most one value per partition; as literals they prune the file listing
     values = [row[0] for row in touched.distinct().collect()]
-    rows = rule(target.filter(_is_one_of(partition, values)), source, keys, **options)
+    rows = rule(target.filter(is_one_of(F.col(partition), values)), source, keys, **options)
     rows.write.mode("overwrite").parquet(f"{journal}/rows")
     if places is not None:
         buckets = spark.read.parquet(index).agg(F.max("buckets")).first()[0] or 512
@@ -184,14 +184,14 @@ def merge_into_partitions(
     finish_merge(spark, path)
 
 
-def _folder(path: str, partition: str, value) -> str:
+def folder_of(path: str, partition: str, value) -> str:
     return f"{path}/{partition}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
 
 
-def _is_one_of(column: str, values: list) -> Column:
+def is_one_of(value: Column, values: list) -> Column:
     known = [v for v in values if v is not None]
-    found = F.col(column).isin(known) if known else F.lit(False)
-    return found | F.col(column).isNull() if len(known) < len(values) else found
+    found = value.isin(known) if known else F.lit(False)
+    return found | value.isNull() if len(known) < len(values) else found
 
 
 def finish_merge(spark: SparkSession, path: str) -> None:
@@ -211,7 +211,7 @@ def finish_merge(spark: SparkSession, path: str) -> None:
         days.write.mode("append").parquet(plan["changed"])
     left = {row[0] for row in rows.select(plan["partition"]).distinct().collect()}
     for value in set(plan["values"]) - left:
-        drop(spark, _folder(path, plan["partition"], value))
+        drop(spark, folder_of(path, plan["partition"], value))
     _overwrite_partitions(rows, path, plan["partition"])
     if plan["index"] is not None:
         _overwrite_partitions(spark.read.parquet(f"{journal}/keys"), plan["index"], "buckets", "bucket")
@@ -239,7 +239,7 @@ def replace_table(df: DataFrame, path: str) -> None:
 def finish_replacement(spark: SparkSession, path: str) -> None:
     if exists(spark, f"{path}_next/_SUCCESS"):
         drop(spark, path)
-        _file_system(spark, path).rename(_location(spark, f"{path}_next"), _location(spark, path))
+        move(spark, f"{path}_next", path)
 
 
 def _location(spark: SparkSession, path: str):
@@ -256,3 +256,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def drop(spark: SparkSession, folder: str) -> None:
     _file_system(spark, folder).delete(_location(spark, folder), True)
+
+
+def move(spark: SparkSession, folder: str, to: str) -> None:
+    """Rename within a file system; `to` must not exist."""
+    if not _file_system(spark, folder).rename(_location(spark, folder), _location(spark, to)):
+        raise OSError(f"{folder} could not be moved to {to}")
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    _file_system(spark, folder).mkdirs(_location(spark, folder))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import daily, marts, quality, staging, upserts
+from ledgerlens.sources import wallet_store
 from ledgerlens.sources.tables import save_table, write_table
 
 
@@ -46,6 +47,14 @@ def run_daily(
     return quality.quality_report(quality.staging_checks(staged, moment))
 
 
+def build_wallet_store(
+    spark: SparkSession, paths: Paths, *, unit: str = "month", rows_per_bucket: int = wallet_store.ROWS_PER_BUCKET
+) -> None:
+    """Store the fact's transfers by wallet; from then on the incremental job keeps them up to date."""
+    fact = spark.read.parquet(paths.table("fact_transactions"))
+    wallet_store.build_store(fact, paths.table("wallet_transfers"), unit=unit, rows_per_bucket=rows_per_bucket)
+
+
 def run_wallets(spark: SparkSession, raw_wallets: DataFrame, paths: Paths, *, now: Column | None = None) -> None:
     """Stage wallets and load the first version of the wallet dimension."""
     moment = F.current_timestamp() if now is None else now
@@ -62,6 +71,7 @@ def run_incremental(
     *,
     now: Column | None = None,
     stable_dates: bool = False,
+    rows_per_bucket: int = wallet_store.ROWS_PER_BUCKET,
 ) -> None:
     """Bring new raw rows into an existing warehouse, rewriting only the days they touch, then refresh the metrics.
 
@@ -85,11 +95,14 @@ def run_incremental(
         fact_path, facts, ["transaction_key"], date, rule, version="loaded_at", keys_move=moving,
         index=paths.table("fact_transactions_keys"), changed=paths.table("changed_days"),
     )
-    refresh_metrics(spark, paths, now=moment)
+    refresh_metrics(spark, paths, now=moment, rows_per_bucket=rows_per_bucket)
 
 
-def refresh_metrics(spark: SparkSession, paths: Paths, *, now: Column | None = None) -> None:
-    """Daily metrics and first-seen dates for the days that merges have changed since the last refresh.
+def refresh_metrics(
+    spark: SparkSession, paths: Paths, *, now: Column | None = None, rows_per_bucket: int = wallet_store.ROWS_PER_BUCKET
+) -> None:
+    """Daily metrics, first-seen dates and, where it was built, the wallet store for the days that merges have changed
+    since the last refresh.
 
     The list of days goes last, so a run that was cut off is done again, with the same result.
     """
@@ -99,8 +112,11 @@ def refresh_metrics(spark: SparkSession, paths: Paths, *, now: Column | None = N
     if not upserts.exists(spark, changed_path):
         return
     # one value a day
-    days = [row[0] for row in spark.read.parquet(changed_path).distinct().collect() if row[0] is not None]
+    changed = [row[0] for row in spark.read.parquet(changed_path).distinct().collect()]
+    days = [day for day in changed if day is not None]
     fact = spark.read.parquet(paths.table("fact_transactions"))
+    if upserts.exists(spark, paths.table("wallet_transfers")):
+        wallet_store.refresh_store(fact, paths.table("wallet_transfers"), changed, rows_per_bucket=rows_per_bucket)
     upserts.replace_table(daily.refresh_first_seen(spark.read.parquet(seen_path), fact, days), seen_path)
     new_wallets = daily.count_first_seen(spark.read.parquet(seen_path))
     metrics = daily.refresh_daily_metrics(spark.read.parquet(metrics_path), fact, days, new_wallets, loaded_at=now)

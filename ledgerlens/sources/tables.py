@@ -21,20 +21,28 @@ LAYOUT: Mapping[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "wallet_fraud_scores": ((), ("wallet_address", "is_suspicious")),
 }
 ROWS_PER_FILE = 20_000_000
+MONTH = "transaction_month"
 
 
-def write_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, table: str, mode: str = "overwrite", *, by_month: bool = False) -> None:
     """Write with the table's declared layout.
 
-    Rows are rebalanced by partition value: adaptive execution joins small days into one task and splits a day that
-    holds a large share of the rows. Sorting inside a task lets readers skip row groups by address.
+    `by_month` stores a table that is partitioned by `transaction_date` in folders of the column `transaction_month`,
+    sorted by date: for ledgers with few rows a day, of which a folder for each day would make small files.
+
+    Sorted tables are split into ranges of partition and sort columns: a task writes neighbouring days, and a day that
+    holds a large share of the rows is dealt to many tasks, by address. The others are rebalanced by partition value.
+    Sorting inside a task lets readers skip row groups by address.
     """
     partition_by, sort_by = LAYOUT.get(table, ((), ()))
-    laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
-    if sort_by and not partition_by:
-        laid_out = laid_out.repartitionByRange(*sort_by)
+    if by_month:
+        df = df.withColumn(MONTH, F.trunc("transaction_date", "month"))
+        partition_by, sort_by = (MONTH,), ("transaction_date", *sort_by)
+    laid_out = df
     if sort_by:
-        laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by)
+        laid_out = in_ranges(df, *partition_by, *sort_by).sortWithinPartitions(*partition_by, *sort_by)
+    elif partition_by:
+        laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = (
         laid_out.write.mode(mode)
         .option("maxRecordsPerFile", ROWS_PER_FILE)
@@ -44,6 +52,15 @@ def write_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") -
     writer.partitionBy(*partition_by).parquet(path)
 
 
+def in_ranges(df: DataFrame, *by: str) -> DataFrame:
+    """As many ranges of some columns as the session has shuffle partitions; rows that tie are split by their hash.
+
+    The number is fixed, because adaptive execution would join tasks by bytes alone, however many folders they write.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(tasks, *by, F.xxhash64(*df.columns))
+
+
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     table = spark.read.parquet(path)
     return table.select(*columns) if columns else table
