@@ -226,26 +226,97 @@ register(
 )
 
 
-def _all_checks(v: Views) -> DataFrame:
-    return quality.quality_report(
-        quality.table_checks(
-            raw_transactions=v.raw_transactions,
-            raw_wallets=v.raw_wallets,
-            staged=v.staged,
-            staged_wallets=v.staged_wallets,
-            fact=v.fact,
-            dim_time=_dim_time(v),
-            dim_wallet=v.dim,
-        )
-    ).filter("NOT passed")
+# Faults put into the tables, so that every kind of test finds some: column expressions for both engines.
+FAULTS = {
+    "raw_transactions": {
+        "transaction_hash": "CASE WHEN block_number % 101 = 0 THEN NULL ELSE transaction_hash END",
+        "from_address": "CASE WHEN block_number % 97 = 0 THEN NULL ELSE from_address END",
+    },
+    "raw_wallets": {"wallet_address": "CASE WHEN wallet_no % 9 = 0 THEN NULL WHEN wallet_no % 9 < 4 THEN '0x' || "
+                    "CAST(wallet_no % 5 AS STRING) ELSE wallet_address END"},
+    "stg_transactions": {
+        "transaction_id": "CASE WHEN block_number % 89 = 0 THEN 'again' || CAST(block_number % 7 AS STRING) "
+                          "ELSE transaction_id END",
+        "transaction_type": "CASE WHEN block_number % 83 = 0 THEN 'odd' || CAST(block_number % 3 AS STRING) "
+                            "WHEN block_number % 83 = 1 THEN NULL ELSE transaction_type END",
+    },
+    "stg_wallets": {
+        "wallet_id": "CASE WHEN total_transactions % 11 = 0 THEN NULL ELSE wallet_id END",
+        "wallet_type": "CASE WHEN total_transactions % 13 = 0 THEN 'odd' ELSE wallet_type END",
+    },
+    "dim_time": {"time_key": "CASE WHEN time_key % 100 = 15 THEN time_key - 1 WHEN time_key % 100 = 20 THEN NULL "
+                 "ELSE time_key END"},
+    "dim_wallet": {
+        "wallet_key": "CASE WHEN total_transactions % 11 = 0 THEN 'one' ELSE wallet_key END",
+        "balance_tier": "CASE WHEN total_transactions % 13 = 0 THEN '' ELSE balance_tier END",
+    },
+    "fact_transactions": {
+        "transaction_key": "CASE WHEN block_number % 79 = 0 THEN NULL ELSE transaction_key END",
+        "value_tier": "CASE WHEN block_number % 73 = 0 THEN 'odd' || CAST(block_number % 4 AS STRING) ELSE value_tier END",
+    },
+}
 
 
-# every column test passes on the derived tables, so the failing list must be empty
-register(
-    "quality_report_tables",
-    _all_checks,
-    "SELECT 'none' AS check_name, 0::BIGINT AS violations, FALSE AS passed FROM fact WHERE FALSE",
+def _ledger_tables(v: Views) -> dict[str, DataFrame]:
+    return {
+        "raw_transactions": v.raw_transactions,
+        "raw_wallets": v.raw_wallets,
+        "stg_transactions": v.staged,
+        "stg_wallets": v.staged_wallets,
+        "dim_time": _dim_time(v),
+        "dim_wallet": v.dim,
+        "fact_transactions": v.fact,
+    }
+
+
+def _faulty(v: Views) -> DataFrame:
+    tables = {
+        name: df.withColumns({c: F.expr(x) for c, x in FAULTS[name].items()}) for name, df in _ledger_tables(v).items()
+    }
+    return quality.column_tests(tables)
+
+
+# What the tests are, stated for the SQL on its own: table, its SQL name, required, unique, listed values.
+TESTED = (
+    ("raw_transactions", "raw_transactions", "transaction_hash block_number from_address transaction_timestamp ingested_at",
+     "", {}),
+    ("raw_wallets", "raw_wallets", "wallet_address ingested_at", "wallet_address", {}),
+    ("stg_transactions", "staged", "transaction_id transaction_hash block_number from_address", "transaction_id",
+     {"transaction_type": "contract_creation contract_call value_transfer other"}),
+    ("stg_wallets", "staged_wallets", "wallet_id wallet_address", "wallet_id",
+     {"wallet_type": "contract receive_only send_only high_activity medium_activity low_activity minimal_activity"}),
+    ("dim_time", "days", "time_key full_date", "time_key full_date", {}),
+    ("dim_wallet", "dim", "wallet_key wallet_address", "wallet_key", {"balance_tier": "whale large medium small dust"}),
+    ("fact_transactions", "fact", "transaction_key transaction_hash time_key from_wallet_key", "transaction_key",
+     {"value_tier": "zero micro small medium large very_large whale"}),
 )
+
+
+def _tested_sql(faults: dict[str, dict[str, str]]) -> tuple[str, dict[str, str]]:
+    ctes, parts = {"days": DIM_TIME}, []
+    for table, source, required, unique, listed in TESTED:
+        changed = ", ".join(f"{x} AS {c}" for c, x in faults.get(table, {}).items())
+        seen = f"seen_{table}"
+        ctes[seen] = f"SELECT * REPLACE ({changed}) FROM {source}" if changed else f"SELECT * FROM {source}"
+        for c in required.split():
+            parts.append(f"SELECT '{table}.{c}.not_null' AS check_name, count(*) - count({c}) AS violations FROM {seen}")
+        for c in unique.split():
+            parts.append(
+                f"SELECT '{table}.{c}.unique', count(*) FROM "
+                f"(SELECT {c} FROM {seen} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1)"
+            )
+        for c, values in listed.items():
+            names = ", ".join(f"'{value}'" for value in values.split())
+            parts.append(f"SELECT '{table}.{c}.accepted_values', count(DISTINCT {c}) FROM {seen} WHERE {c} NOT IN ({names})")
+    parts.append(
+        "SELECT 'fact_transactions.time_key.relationship', count(DISTINCT f.time_key) FROM seen_fact_transactions f "
+        "ANTI JOIN seen_dim_time d ON f.time_key = d.time_key WHERE f.time_key IS NOT NULL"
+    )
+    return "SELECT *, violations = 0 AS passed FROM (" + " UNION ALL ".join(parts) + ")", {**SPINE, **ctes}
+
+
+register("quality_report_tables", lambda v: quality.column_tests(_ledger_tables(v)), *_tested_sql({}))
+register("quality_report_faults", _faulty, *_tested_sql(FAULTS))
 register(
     "column_report",
     lambda v: quality.column_report(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,55 @@ def staging_checks(staged: DataFrame, as_of: Column | DataFrame | str | None = N
     }
 
 
+# Which columns must be present, unique, and from a list.
+REQUIRED = {
+    "raw_transactions": ("transaction_hash", "block_number", "from_address", "transaction_timestamp", "ingested_at"),
+    "raw_wallets": ("wallet_address", "ingested_at"),
+    "stg_transactions": ("transaction_id", "transaction_hash", "block_number", "from_address"),
+    "stg_wallets": ("wallet_id", "wallet_address"),
+    "dim_time": ("time_key", "full_date"),
+    "dim_wallet": ("wallet_key", "wallet_address"),
+    "fact_transactions": ("transaction_key", "transaction_hash", "time_key", "from_wallet_key"),
+}
+UNIQUE = {
+    "raw_wallets": ("wallet_address",),
+    "stg_transactions": ("transaction_id",),
+    "stg_wallets": ("wallet_id",),
+    "dim_time": ("time_key", "full_date"),
+    "dim_wallet": ("wallet_key",),
+    "fact_transactions": ("transaction_key",),
+}
+ACCEPTED = {
+    ("stg_transactions", "transaction_type"): TRANSACTION_TYPES,
+    ("stg_wallets", "wallet_type"): WALLET_TYPES,
+    ("dim_wallet", "balance_tier"): BALANCE_TIERS,
+    ("fact_transactions", "value_tier"): VALUE_TIERS,
+}
+
+
+@dataclass(frozen=True)
+class ColumnTest:
+    """One test of a column: not_null, unique, accepted_values (of `values`) or relationship (to `parent`)."""
+
+    table: str
+    column: str
+    kind: str
+    values: tuple[str, ...] = ()
+    parent: tuple[str, str] | None = None
+
+    @property
+    def name(self) -> str:
+        return f"{self.table}.{self.column}.{self.kind}"
+
+
+COLUMN_TESTS = (
+    *(ColumnTest(table, c, "not_null") for table, columns in REQUIRED.items() for c in columns),
+    *(ColumnTest(table, c, "unique") for table, columns in UNIQUE.items() for c in columns),
+    *(ColumnTest(table, c, "accepted_values", tuple(values)) for (table, c), values in ACCEPTED.items()),
+    ColumnTest("fact_transactions", "time_key", "relationship", parent=("dim_time", "time_key")),
+)
+
+
 def table_checks(
     *,
     raw_transactions: DataFrame,
@@ -100,7 +150,7 @@ def table_checks(
     dim_time: DataFrame,
     dim_wallet: DataFrame,
 ) -> dict[str, DataFrame]:
-    """All 33 column tests of the tables, by layer."""
+    """The violations of all 33 column tests, a frame for each; `column_tests` counts them in one scan per table."""
     tables = {
         "raw_transactions": raw_transactions,
         "raw_wallets": raw_wallets,
@@ -110,41 +160,71 @@ def table_checks(
         "dim_wallet": dim_wallet,
         "fact_transactions": fact,
     }
-    # Which columns must be present, unique, and from a list.
-    required = {
-        "raw_transactions": ("transaction_hash", "block_number", "from_address", "transaction_timestamp", "ingested_at"),
-        "raw_wallets": ("wallet_address", "ingested_at"),
-        "stg_transactions": ("transaction_id", "transaction_hash", "block_number", "from_address"),
-        "stg_wallets": ("wallet_id", "wallet_address"),
-        "dim_time": ("time_key", "full_date"),
-        "dim_wallet": ("wallet_key", "wallet_address"),
-        "fact_transactions": ("transaction_key", "transaction_hash", "time_key", "from_wallet_key"),
-    }
-    unique = {
-        "raw_wallets": ("wallet_address",),
-        "stg_transactions": ("transaction_id",),
-        "stg_wallets": ("wallet_id",),
-        "dim_time": ("time_key", "full_date"),
-        "dim_wallet": ("wallet_key",),
-        "fact_transactions": ("transaction_key",),
-    }
-    accepted = {
-        ("stg_transactions", "transaction_type"): TRANSACTION_TYPES,
-        ("stg_wallets", "wallet_type"): WALLET_TYPES,
-        ("dim_wallet", "balance_tier"): BALANCE_TIERS,
-        ("fact_transactions", "value_tier"): VALUE_TIERS,
-    }
-    checks: dict[str, DataFrame] = {}
-    for table, columns in required.items():
-        for column in columns:
-            checks[f"{table}.{column}.not_null"] = check_not_null(tables[table], column)
-    for table, columns in unique.items():
-        for column in columns:
-            checks[f"{table}.{column}.unique"] = check_unique(tables[table], column)
-    for (table, column), values in accepted.items():
-        checks[f"{table}.{column}.accepted_values"] = check_accepted_values(tables[table], column, values)
-    checks["fact_transactions.time_key.relationship"] = check_relationship(fact, "time_key", dim_time, "time_key")
-    return checks
+
+    def violations(test: ColumnTest) -> DataFrame:
+        df = tables[test.table]
+        if test.kind == "not_null":
+            return check_not_null(df, test.column)
+        if test.kind == "unique":
+            return check_unique(df, test.column)
+        if test.kind == "accepted_values":
+            return check_accepted_values(df, test.column, test.values)
+        parent, key = test.parent
+        return check_relationship(df, test.column, tables[parent], key)
+
+    return {test.name: violations(test) for test in COLUMN_TESTS}
+
+
+def _evidence(test: ColumnTest, table: str) -> Column:
+    """What a row of a table adds to a test: a key to group by, or nothing (NULL)."""
+    column = F.col(test.column if test.table == table else test.parent[1])
+    hit = {
+        "not_null": column.isNull(),
+        "unique": column.isNotNull(),
+        "accepted_values": column.isNotNull() & ~column.isin(*test.values),
+        "relationship": column.isNotNull(),
+    }[test.kind]
+    return F.when(
+        hit,
+        F.struct(
+            F.lit(test.name).alias("check_name"),
+            column.cast("string").alias("key"),
+            F.lit(test.table == table).alias("child"),
+        ),
+    )
+
+
+def column_tests(tables: Mapping[str, DataFrame], tests: Sequence[ColumnTest] = COLUMN_TESTS) -> DataFrame:
+    """(check_name, violations, passed) of all tests; each table is scanned once, and one shuffle serves all tests.
+
+    Rows become (test, key) pairs: the missing value, the value outside the list, or the key that must be unique or have
+    a parent row. They are counted by pair, in the map tasks first, so that a frequent value does not meet in one task.
+    Violations are rows for not_null, repeated keys for unique, distinct values for the other two; tests without any
+    have 0. A NULL key needs no parent row.
+    """
+    pairs = None
+    for table, df in tables.items():
+        told = [t for t in tests if t.table == table or (t.parent and t.parent[0] == table)]
+        if not told:
+            continue
+        found = F.explode(F.array_compact(F.array(*[_evidence(t, table) for t in told]))).alias("found")
+        rows = df.select(found).select("found.*")
+        pairs = rows if pairs is None else pairs.unionByName(rows)
+    counted = pairs.groupBy("check_name", "key").agg(
+        F.count_if("child").alias("n"), F.count_if(~F.col("child")).alias("parents")
+    )
+    kind = F.substring_index("check_name", ".", -1)
+    found = (
+        F.when(kind == "not_null", F.col("n"))
+        .when(kind == "unique", (F.col("n") > 1).cast("bigint"))
+        .otherwise(((F.col("n") > 0) & (F.col("parents") == 0)).cast("bigint"))
+    )
+    violations = counted.groupBy("check_name").agg(F.sum(found).alias("violations"))
+    names = pairs.sparkSession.createDataFrame([(t.name,) for t in tests], "check_name string")
+    report = names.join(violations, "check_name", "left").select(
+        "check_name", F.coalesce("violations", F.lit(0)).alias("violations")
+    )
+    return report.withColumn("passed", F.col("violations") == 0)
 
 
 def column_report(df: DataFrame, table: str, required: Sequence[str], accepted: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

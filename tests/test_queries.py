@@ -18,7 +18,8 @@ agg_daily_metrics incremental_daily_metrics dash_totals dash_weekly_volume risk_
 metric_with_change risk_wallet_page_filtered connected_to_suspicious score_percentiles wallet_stats
 wallet_counterparties wallet_week_sparkline all_features impute_median scale_robust remove_outliers_iqr
 describe_numeric knn_join lof dbscan cluster_quality score_distribution high_risk_comparison top_wallets eda_summary
-log_value_histogram quality_report check_relationship stream_daily_metrics
+log_value_histogram quality_report quality_report_faults check_relationship stream_daily_metrics
+wallet_store_refresh
 """.split()
 CHOSEN = sorted(ORACLES) if os.environ.get("LEDGERLENS_ALL") else CORE
 
