@@ -64,6 +64,33 @@ def run_wallets(spark: SparkSession, raw_wallets: DataFrame, paths: Paths, *, no
     write_table(dim, paths.table("dim_wallet"), "dim_wallet")
 
 
+def update_wallets(spark: SparkSession, raw_wallets: DataFrame, paths: Paths, *, now: Column | None = None) -> None:
+    """Bring new states of wallets into the staged table and the dimension, which keeps the versions they replace.
+
+    Of a wallet that comes more than once the latest state counts. The dimension takes up all wallets staged since its
+    last change, so an update that was cut off after staging is made up for by the next one; `now` must not go back.
+    Both tables have a row a wallet or version and are written anew beside the old ones; only wallets of this update
+    reach the comparison of versions. Without a stored dimension this is `run_wallets`.
+    """
+    stg_path, dim_path = paths.table("stg_wallets"), paths.table("dim_wallet")
+    upserts.finish_replacement(spark, stg_path)
+    upserts.finish_replacement(spark, dim_path)
+    if not upserts.exists(spark, f"{dim_path}/_SUCCESS"):
+        run_wallets(spark, raw_wallets, paths, now=now)
+        return
+    moment = F.current_timestamp() if now is None else now
+    stored = spark.read.parquet(stg_path)
+    fresh = staging.stage_wallets(raw_wallets, staged_at=moment).select(*stored.columns)
+    upserts.replace_table(upserts.upsert_if_newer(stored, fresh, ["wallet_id"]), stg_path)
+
+    dim = spark.read.parquet(dim_path)
+    # versions are written at the time of staging, so anything staged later has not been compared yet
+    changed = upserts.incremental_since_watermark(spark.read.parquet(stg_path), dim, "staged_at", "updated_at")
+    closed = upserts.scd2_expire(dim, changed, now=moment)
+    opened = marts.dim_wallet(changed, today=F.to_date(moment), now=moment)
+    upserts.replace_table(upserts.scd2_insert(closed, opened), dim_path)
+
+
 def run_incremental(
     spark: SparkSession,
     new_raw: DataFrame,

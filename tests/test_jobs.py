@@ -141,3 +141,53 @@ def test_incremental_job_equals_a_full_load(spark, views):
     assert not upserts.exists(spark, paths.table("changed_days"))
     facts, keys = (spark.read.parquet(paths.table(n)) for n in ("fact_transactions", "fact_transactions_keys"))
     assert rows(keys.select("transaction_key", "transaction_date")) == rows(facts.select("transaction_key", "transaction_date"))
+
+
+def wallet_states(spark, body):
+    """Raw rows (wallet, day of the state, balance in wei, transfers out)."""
+    rows = spark.createDataFrame(body, "wallet_address string, day int, wei bigint, sent bigint")
+    day = F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_dt_interval(day)")
+    return rows.select(
+        "wallet_address", day.alias("first_seen_timestamp"), day.alias("last_seen_timestamp"),
+        F.lit(1).cast("bigint").alias("total_transactions_in"), F.col("sent").alias("total_transactions_out"),
+        F.col("wei").cast("decimal(38,0)").alias("total_value_in_wei"),
+        F.lit(0).cast("decimal(38,0)").alias("total_value_out_wei"), F.lit(1).cast("bigint").alias("unique_counterparties"),
+        F.col("wei").cast("decimal(38,0)").alias("balance_wei"), (F.col("wei") / 1e18).alias("balance_eth"),
+        F.lit(False).alias("is_contract"), F.lit("test").alias("source"), day.alias("ingested_at"),
+    )
+
+
+def versions(spark, paths):
+    dim = spark.read.parquet(paths.table("dim_wallet"))
+    return sorted(
+        (r.wallet_address, r.total_sent, r.is_current, r.valid_from.day, r.valid_to.day if r.valid_to else None)
+        for r in dim.select("wallet_address", "total_sent", "is_current", "valid_from", "valid_to").collect()
+    )
+
+
+def at(day):
+    return F.lit(f"2020-02-0{day}").cast("timestamp_ntz")
+
+
+@pytest.mark.parametrize("stop_at", [None, "before the dimension", "staged table moved"])
+def test_wallet_updates_keep_versions_also_when_cut_off(spark, monkeypatch, stop_at):
+    paths = Paths(new_path(spark, "warehouse"))
+    # without a dimension the update is a first load
+    job.update_wallets(spark, wallet_states(spark, [("0xa", 1, 5, 1), ("0xb", 1, 5, 1)]), paths, now=at(1))
+    second = wallet_states(spark, [("0xa", 2, 5, 2), ("0xa", 3, 5, 3), ("0xc", 2, 5, 1), ("0xb", 2, 5, 1)])
+    if stop_at is None:
+        job.update_wallets(spark, second, paths, now=at(2))
+    else:
+        broken = {"before the dimension": "scd2_expire", "staged table moved": "move"}[stop_at]
+        with monkeypatch.context() as m:
+            m.setattr(upserts, broken, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("cut off")))
+            with pytest.raises(RuntimeError):
+                job.update_wallets(spark, second, paths, now=at(2))
+    # nothing new: only what was left undone is made up for, at the time of this update
+    job.update_wallets(spark, second.limit(0), paths, now=at(3))
+    day = 2 if stop_at is None else 3
+    assert versions(spark, paths) == [
+        ("0xa", 1, False, 1, day), ("0xa", 3, True, day, None), ("0xb", 1, True, 1, None), ("0xc", 1, True, day, None),
+    ]
+    job.update_wallets(spark, wallet_states(spark, [("0xa", 4, 6, 3)]), paths, now=at(4))
+    assert ("0xa", 3, False, day, 4) in versions(spark, paths) and len(versions(spark, paths)) == 5
