@@ -21,7 +21,7 @@ BAND = """CASE WHEN fraud_score >= 0.9 THEN 'critical' WHEN fraud_score >= 0.7 T
 # --- dashboard ---------------------------------------------------------------------------------------------------
 register(
     "dash_totals",
-    lambda v: dashboard.dash_totals(v.served.fact),
+    lambda v: dashboard.dash_totals(v.served_fact),
     f"""
     SELECT count(*) AS total_transactions, coalesce({eth('sum(value_wei)')}, 0) AS total_volume,
       {eth('sum(value_wei)')} / count(value_wei) AS avg_transaction_value,
@@ -30,7 +30,7 @@ register(
 )
 register(
     "dash_wallet_count",
-    lambda v: dashboard.dash_wallet_count(v.summary),
+    lambda v: dashboard.dash_wallet_count(v.served_summary),
     "SELECT count(DISTINCT wallet_address) AS total_wallets FROM edges",
 )
 register(
@@ -42,7 +42,7 @@ register(
 )
 register(
     "dash_daily_volume",
-    lambda v: dashboard.dash_daily_volume(v.served.fact, days=DAYS, as_of=v.served.moment),
+    lambda v: dashboard.dash_daily_volume(v.served_fact, days=DAYS, as_of=v.served_moment),
     f"""
     SELECT transaction_date AS date, count(*) AS transaction_count, {eth('sum(value_wei)')} AS total_volume,
       count(DISTINCT from_address) AS unique_senders, count(DISTINCT to_address) AS unique_receivers
@@ -50,7 +50,7 @@ register(
 )
 register(
     "dash_hourly_volume",
-    lambda v: dashboard.dash_hourly_volume(v.served.fact, as_of=v.served.moment),
+    lambda v: dashboard.dash_hourly_volume(v.served_fact, as_of=v.served_moment),
     f"""
     SELECT date_trunc('hour', transaction_timestamp) AS hour, count(*) AS transaction_count,
       {eth('sum(value_wei)')} AS total_volume
@@ -58,7 +58,7 @@ register(
 )
 register(
     "dash_weekly_volume",
-    lambda v: dashboard.dash_weekly_volume(v.served.fact, as_of=v.served.moment),
+    lambda v: dashboard.dash_weekly_volume(v.served_fact, as_of=v.served_moment),
     f"""
     SELECT transaction_date - CAST(dayofweek(transaction_date) AS INTEGER) AS week_start,
       count(*) AS transaction_count, {eth('sum(value_wei)')} AS total_volume,
@@ -82,7 +82,7 @@ register(
 )
 register(
     "dashboard_summary",
-    lambda v: dashboard.dashboard_summary(v.served.fact, v.scores),
+    lambda v: dashboard.dashboard_summary(v.served_fact, v.scores),
     f"""
     SELECT count(*) AS total_transactions, coalesce({eth('sum(value_wei)')}, 0) AS total_volume,
       (SELECT count(DISTINCT wallet_address) FROM edges) AS total_wallets,
@@ -91,7 +91,7 @@ register(
 )
 register(
     "suspicious_fallback",
-    lambda v: dashboard.suspicious_fallback(v.served.fact),
+    lambda v: dashboard.suspicious_fallback(v.served_fact),
     "SELECT count(DISTINCT from_address) AS suspicious_count FROM fact WHERE value_eth > 100",
 )
 register(
@@ -116,13 +116,13 @@ PAGE = """
     FROM scores s LEFT JOIN basic f ON s.wallet_address = f.wallet_address"""
 register(
     "risk_wallet_page",
-    lambda v: risk.risk_wallet_page(v.scores, v.features),
+    lambda v: risk.risk_wallet_page(v.scores, v.served_features),
     f"{PAGE} ORDER BY fraud_score DESC, s.wallet_address LIMIT 50",
 )
 register(
     "risk_wallet_page_filtered",
     lambda v: risk.risk_wallet_page(
-        v.scores, v.features, min_score=0.2, max_score=0.95, is_suspicious=True, min_tx_count=2,
+        v.scores, v.served_features, min_score=0.2, max_score=0.95, is_suspicious=True, min_tx_count=2,
         sort_by="total_value", descending=False, page=2, page_size=20,
     ),
     f"""{PAGE} WHERE fraud_score >= 0.2 AND fraud_score <= 0.95 AND fraud_score >= 0.7 AND f.tx_count >= 2
@@ -130,12 +130,12 @@ register(
 )
 register(
     "risk_wallet_page_alerts",
-    lambda v: risk.risk_wallet_page(v.scores, v.features, preset="top-alerts"),
+    lambda v: risk.risk_wallet_page(v.scores, v.served_features, preset="top-alerts"),
     f"{PAGE} ORDER BY fraud_score DESC, s.wallet_address LIMIT 5",
 )
 register(
     "risk_wallet_counts",
-    lambda v: risk.risk_wallet_counts(v.scores, v.features, min_score=0.3, min_tx_count=100),
+    lambda v: risk.risk_wallet_counts(v.scores, v.served_features, min_score=0.3, min_tx_count=100),
     """
     SELECT count(*) AS total_count, count(*) FILTER (WHERE fraud_score >= 0.7) AS suspicious_count,
       CAST(ceil(count(*) / 50.0) AS BIGINT) AS page_count
@@ -233,7 +233,7 @@ register(
 )
 register(
     "high_risk_investigation",
-    lambda v: plain(risk.high_risk_investigation(v.scores, v.features)),
+    lambda v: plain(risk.high_risk_investigation(v.scores, v.served_features)),
     """
     SELECT s.wallet_address, fraud_score, risk_category, f.tx_count, f.total_value, unique_counterparties, in_out_ratio,
       net_flow, counterparty_concentration, self_transactions, high_value_tx_ratio
@@ -266,7 +266,7 @@ register(
 TOUCH = f"(from_address = '{WALLET}' OR to_address = '{WALLET}')"
 register(
     "wallet_profile",
-    lambda v: wallets.wallet_profile(v.summary, v.scores, WALLET),
+    lambda v: wallets.wallet_profile(v.served_summary, v.scores, WALLET),
     f"""
     SELECT w.wallet_address, total_transactions, total_volume, first_transaction_date, last_transaction_date,
       unique_counterparties, avg_transaction_value, coalesce(fraud_score, 0) AS fraud_score,
@@ -275,7 +275,7 @@ register(
 )
 register(
     "wallet_stats",
-    lambda v: wallets.wallet_stats(wallet_transfers(v.served.wallet_store, WALLET), WALLET),
+    lambda v: wallets.wallet_stats(wallet_transfers(v.wallet_store, WALLET), WALLET),
     f"""
     SELECT '{WALLET}' AS wallet_address, n AS total_transactions, vol AS total_volume, first_transaction_date,
       last_transaction_date, unique_counterparties, round(vol / n, 2) AS average_transaction_value,
@@ -296,18 +296,18 @@ WALLET_DAILY = {
 
 
 def _last_year(v: Views) -> DataFrame:
-    return wallet_transfers(v.served.wallet_store, WALLET, since=F.date_sub(F.to_date(v.served.moment.scalar()), 365))
+    return wallet_transfers(v.wallet_store, WALLET, since=F.date_sub(F.to_date(v.served_moment.scalar()), 365))
 
 
 register(
     "wallet_daily",
-    lambda v: wallets.wallet_daily(_last_year(v), WALLET, days=365, as_of=v.served.moment),
+    lambda v: wallets.wallet_daily(_last_year(v), WALLET, days=365, as_of=v.served_moment),
     "SELECT * FROM wallet_days",
     WALLET_DAILY,
 )
 register(
     "wallet_transactions",
-    lambda v: wallets.wallet_transactions(wallet_transfers(v.served.wallet_store, WALLET), WALLET, limit=100),
+    lambda v: wallets.wallet_transactions(wallet_transfers(v.wallet_store, WALLET), WALLET, limit=100),
     f"""
     SELECT transaction_hash, block_number, transaction_timestamp, from_address, to_address, value_eth, gas_used,
       gas_fee_eth AS transaction_fee, CASE WHEN from_address = '{WALLET}' THEN 'outgoing' ELSE 'incoming' END AS direction
@@ -315,7 +315,7 @@ register(
 )
 register(
     "wallet_counterparties",
-    lambda v: wallets.wallet_counterparties(wallet_transfers(v.served.wallet_store, WALLET), WALLET),
+    lambda v: wallets.wallet_counterparties(wallet_transfers(v.wallet_store, WALLET), WALLET),
     f"""
     SELECT CASE WHEN outgoing THEN to_address ELSE from_address END AS counterparty, count(*) AS transaction_count,
       {eth('sum(value_wei)')} AS total_value, max(transaction_timestamp) AS last_interaction
@@ -325,28 +325,28 @@ register(
 )
 register(
     "wallet_search",
-    lambda v: wallets.wallet_search(v.summary, PREFIX.upper()),
+    lambda v: wallets.wallet_search(v.served_summary, PREFIX.upper()),
     f"""
     SELECT wallet_address, total_transactions, total_volume, last_transaction_date FROM summary
     WHERE wallet_address LIKE '{PREFIX}%' ORDER BY total_volume DESC, wallet_address LIMIT 10""",
 )
 register(
     "most_active_wallets",
-    lambda v: wallets.most_active_wallets(v.summary),
+    lambda v: wallets.most_active_wallets(v.served_summary),
     """
     SELECT wallet_address, total_transactions, total_volume, unique_counterparties, first_transaction_date,
       last_transaction_date FROM summary ORDER BY total_transactions DESC, wallet_address LIMIT 100""",
 )
 register(
     "highest_volume_wallets",
-    lambda v: wallets.highest_volume_wallets(v.summary),
+    lambda v: wallets.highest_volume_wallets(v.served_summary),
     """
     SELECT wallet_address, total_transactions, total_volume, avg_transaction_value, max_transaction_value
     FROM summary ORDER BY total_volume DESC, wallet_address LIMIT 100""",
 )
 register(
     "wallet_week_sparkline",
-    lambda v: wallets.wallet_week_sparkline(_last_year(v), WALLET, days=365, as_of=v.served.moment),
+    lambda v: wallets.wallet_week_sparkline(_last_year(v), WALLET, days=365, as_of=v.served_moment),
     """
     SELECT date, strftime(date, '%a') AS name, CAST(floor(total_value + 0.5) AS BIGINT) AS total_value,
       CAST(floor(inflow + 0.5) AS BIGINT) AS inflow, CAST(floor(outflow + 0.5) AS BIGINT) AS outflow
@@ -358,7 +358,7 @@ register(
 def _refreshed_store(v: Views) -> DataFrame:
     """The store of the transfers before a day, brought up to date by the days from there on."""
     path, first = new_path(v.spark, "wallet-transfers"), "1998-02-10"
-    fact = v.served.fact
+    fact = v.served_fact
     build_store(fact.filter(F.col("transaction_date") < first), path, unit="quarter", rows_per_bucket=2_500)
     # one value a day
     days = fact.select("transaction_date").filter(F.col("transaction_date") >= first).distinct().collect()

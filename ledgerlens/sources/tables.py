@@ -17,6 +17,7 @@ LAYOUT: Mapping[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "stg_wallets": ((), ("wallet_address",)),
     "fact_transactions": (("transaction_date",), ("from_address", "to_address", "transaction_type")),
     "dim_wallet": ((), ("wallet_address", "wallet_type")),
+    "dim_wallet_summary": ((), ("wallet_address",)),
     "agg_daily_metrics": (("metric_date",), ()),
     "wallet_fraud_scores": ((), ("wallet_address", "is_suspicious")),
 }
