@@ -111,10 +111,15 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, one for each different text, with all their columns."""
-    stay = exact_duplicates(docs, id_column=id_column, text=text, **options).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")
+    """The rows of `docs` that stay, one for each different text, with all their columns, whatever their names.
+
+    Null texts are empty ones. Rows equal in id and text are one row; an empty table gives an empty result.
+    """
+    stay = exact_duplicates(docs, id_column=id_column, text=text, **options).where("kept").select("doc_id", "text_sha256")
+    # the user's columns in one, apart from the digest
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept_row"),
+        F.col(id_column).cast("long").alias("id"), F.sha2(joined(text), 256).alias("digest"),
     )
-    marked = docs.withColumn("_digest", F.sha2(joined(text), 256))
-    match = marked[id_column].cast("long").eqNullSafe(stay["_id"]) & (marked["_digest"] == stay["_digest"])
-    return marked.join(stay, match, "left_semi").dropDuplicates(["_digest"]).drop("_digest")
+    match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("text_sha256"))
+    return rows.join(stay, match, "left_semi").dropDuplicates(["digest"]).select("kept_row.*")

@@ -125,24 +125,25 @@ def mixed_documents(
 ) -> DataFrame:
     """The documents of the mix with the columns of `docs`: a row for each copy, in the order in which they are due.
 
-    A copy that is cut keeps its first words, joined by single spaces; documents of which nothing is taken go.
+    Documents come whole: one of which `mix` takes a part is taken or left, whichever is nearer (half of it is taken), so
+    a source differs from its target by half a document at most. Columns may have any names. Null texts and texts without
+    words are not taken; rows equal in id, source and text each get the copies of their plan's first row. An empty table
+    gives an empty result.
     """
     plan = mix(docs, curriculum=curriculum, id_column=id_column, text=text, source=source, **options)
-    plan = plan.where("taken > 0").dropDuplicates(["doc_id", "source", "place"])
-    copies = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
+    numbers = F.struct("size", "source_size", "taken", "goal", "rank", "start")
+    first = F.min_by(numbers, "start").alias("first")
+    plan = plan.where("taken > 0").groupBy("doc_id", "source", "place").agg(first).select("doc_id", "source", "place", "first.*")
+    # 0 to times - 1; without any there is no row
+    times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
+    copies = F.when(times > 0, F.sequence(F.lit(0), times - 1))
     plan = plan.withColumn("copy", F.explode(copies)).withColumn("due", _position(F.col("copy"), curriculum))
-    plan = plan.select(
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_source"),
-        F.col("place").alias("_place"),
-        F.col("due").alias("_due"),
-        F.col("copy").alias("_copy"),
-        F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).alias("_words"),
-        F.col("size").alias("_size"),
-    )
+    plan = plan.select("doc_id", "source", "place", "due", "copy")
     key = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
-    marked = docs.withColumn("_key", key)
-    match = (marked["_key"] == plan["_place"]) & marked[id_column].eqNullSafe(plan["_id"]) & marked[source].eqNullSafe(plan["_source"])
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})")), F.lit(1), F.col("_words").cast("int")), " ")
-    out = marked.join(plan, match).orderBy("_due", "_place", "_copy")
-    return out.select(*[(F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    # the user's columns in one, apart from those of the plan
+    kept = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"),
+        F.col(id_column).alias("id"), F.col(source).alias("origin"), key.alias("key"),
+    )
+    match = (F.col("key") == F.col("place")) & F.col("id").eqNullSafe(F.col("doc_id")) & F.col("origin").eqNullSafe(F.col("source"))
+    return kept.join(plan, match).orderBy("due", "place", "copy").select("kept.*")

@@ -208,12 +208,13 @@ def score_documents(
     sample_bytes: int = 12_000_000,
     id_column: str = "doc_id",
     text: str = "text",
+    score_column: str = "toxic_score",
 ) -> DataFrame:
-    """All columns of `docs` and `toxic_score` (0 to 1), from every window of the whole text.
+    """All columns of `docs` and `score_column` (0 to 1), from every window of the whole text.
 
     Only the text enters a score. Null and empty texts have no window and get the score of zero differences. Rows whose
     id is in no label row, null or repeated are scored like all others; an empty table gives an empty result. A column
-    named toxic_score is replaced. Training reads at most `toxic_rows` + `ordinary_rows` labelled rows and
+    of that name is replaced. Training reads at most `toxic_rows` + `ordinary_rows` labelled rows and
     `sample_bytes` characters for each class; scoring reads everything.
     """
     model = fit(*training_texts(docs, labels, toxic_rows, ordinary_rows, sample_bytes, id_column, text))
@@ -224,7 +225,7 @@ def score_documents(
         for batch in batches:
             yield pd.Series(scorer.scores([t or "" for t in batch]))
 
-    return docs.drop("toxic_score").withColumn("toxic_score", score(F.col(text)))
+    return docs.drop(score_column).withColumn(score_column, score(F.col(text)))
 
 
 def held_out(id_column: str = "doc_id"):
@@ -233,5 +234,12 @@ def held_out(id_column: str = "doc_id"):
 
 
 def ordinary_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of `docs` scored below `threshold`, with their columns."""
-    return score_documents(docs, labels, **options).where(F.col("toxic_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` scored below `threshold`, with their columns, whatever their names.
+
+    Null and empty texts are scored like all others, scores equal to the threshold go, an empty table gives an empty result.
+    """
+    score = "toxic_score"
+    while score in [c.lower() for c in docs.columns]:
+        score += "_"
+    scored = score_documents(docs, labels, score_column=score, **options)
+    return scored.where(F.col(score) < threshold).drop(score)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import chunk_dedup, jaccard_join, mixing, packing, secret_scan, substring_dedup, suffix_dedup, toxicity
 from ledgerlens.llm.queries import tokenizer_path
@@ -166,15 +167,31 @@ def test_mix_reaches_targets(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
 
 
-def test_mixed_documents_hold_the_words_taken(docs_of):
+def test_mixed_documents_are_whole_and_as_many_as_taken(docs_of):
     rows = [r for r in ROWS if r[0] is not None][:-2]
-    want = {r["doc_id"]: r["taken"] for r in mixing.mix(docs_of(rows)).collect() if r["taken"]}
-    got = Counter()
+    plan = [r for r in mixing.mix(docs_of(rows)).collect() if r["taken"]]
+    copies = {r["doc_id"]: (2 * r["taken"] + r["size"]) // (2 * r["size"]) for r in plan}
     out = mixing.mixed_documents(docs_of(rows))
     assert out.columns == docs_of(rows).columns
-    for r in out.collect():
-        got[r["doc_id"]] += len(WORD.findall(r["text"]))
-    assert got == want
+    texts = {i: t for i, t, _ in rows}
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter({(i, texts[i]): n for i, n in copies.items() if n})
+    # only the last document of a source can be taken in part
+    assert sum(r["taken"] % r["size"] > 0 for r in plan) <= len({r["source"] for r in plan})
+    assert mixing.mixed_documents(docs_of([])).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, docs_of):
+    rows = [r for r in ROWS if r[0] is not None][:-2]
+    plain = docs_of(rows)
+    names = "_key _due _words _size _copy _place _id _source _digest digest id kept kept_row key due copy place toxic_score".split()
+    more = plain.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names], F.lit(1).alias("with.dot"))
+    labels = spark.createDataFrame([(i, 0) for i, _, _ in rows], "doc_id long, toxic int")
+    for stage in (mixing.mixed_documents, chunk_dedup.without_duplicates, lambda d: toxicity.ordinary_documents(d, labels)):
+        out = stage(more)
+        assert out.columns == more.columns
+        found = out.collect()
+        assert found and Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in stage(plain).collect())
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in found for n in names)
 
 
 @pytest.mark.parametrize("most", [1000, 2])
