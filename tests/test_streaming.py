@@ -1,9 +1,13 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
+from ledgerlens.catalog import Views, streams
+from ledgerlens.catalog import views as views_module
 from ledgerlens.catalog.ingest import pages
-from ledgerlens.session import new_path
+from ledgerlens.session import new_path, shared_folder
 from ledgerlens.sources import tables
 from ledgerlens.streaming import ingest
 from ledgerlens.streaming.daily import stored_days, stream_daily_metrics
@@ -111,3 +115,28 @@ def test_daily_metrics_count_rows_of_any_lateness(spark, views):
     load(fact.filter((part == 2) | (part == 0) & (F.col("transaction_timestamp") < "1998-07-01")))
     assert days() == whole(fact)
     assert days() == whole(fact)
+
+
+def test_a_micro_batch_leaves_only_its_tables(spark, views):
+    """Rows are many times larger in memory than stored: no copy of them stays behind."""
+    shared = shared_folder(spark)
+
+    def copies():
+        folders = (shared, spark.sparkContext.getCheckpointDir())
+        found = [os.path.join(at, d) for f in folders for at, dirs, _ in os.walk(f.removeprefix("file:")) for d in dirs]
+        return {d for d in found if os.path.basename(d).startswith(("arrived", "rdd-"))}
+
+    landing, table, state = (new_path(spark, n) for n in ("pages", "raw", "state"))
+    few = pages(views).filter("cast(blockNumber as int) % 40 = 0").drop("ingested_at")
+    few.repartition(2).write.json(landing)
+    before = copies()
+    assert run(spark, landing, table, state, files_per_batch=1).count() > 0
+    assert copies() == before
+
+
+def test_derived_transfers_are_spread_by_their_number(spark, views, monkeypatch):
+    fresh = Views(spark, views.sf_dir)
+    monkeypatch.setattr(views_module, "ROWS_PER_TASK", 100)
+    assert fresh.table("lineitem").rdd.getNumPartitions() == -(-fresh.lines // 100)
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 100)
+    assert streams._files_per_batch(fresh) == -(-fresh.lines // 300)
