@@ -120,3 +120,15 @@ def test_clusters_over_many_cells(spark):
 def test_smallest_linked():
     a, b = np.array([5, 4, 3, 8]), np.array([4, 3, 2, 9])
     assert neighbors.smallest_linked(10, a, b).tolist() == [0, 1, 2, 2, 2, 2, 6, 7, 8, 8]
+
+
+def test_within_decides_as_differences_do():
+    from ledgerlens.operators.metric_tree import within
+
+    draw = np.random.default_rng(3)
+    x = np.round(draw.normal(size=(1500, 2)), 1)
+    x[3], x[5], x[7] = np.nan, np.inf, 1e200
+    steps = np.arange(60.0)[:, None]
+    for a, b, radius in ((x, x[:400], 0.5), (steps, steps, 5.0), (x[10:30], x[10:30] + 1e-12, 0.0)):
+        with np.errstate(all="ignore"):
+            assert (within(a, b, radius) == (neighbors.distances(a, b) <= radius)).all()
