@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import ledger as L
 from ledgerlens.operators import upserts
 from ledgerlens.operators.staging import wallet_edges
-from ledgerlens.sources.tables import ROWS_PER_FILE, in_ranges
+from ledgerlens.sources.tables import ROWS_PER_FILE
 
 UNITS = ("month", "quarter", "year")
 ROWS_PER_BUCKET = 4_000_000
+MOST_BUCKETS = 32
 CARRIED = (
     "transaction_hash", "block_number", "transaction_timestamp", "transaction_date", "value_wei", "value_eth", "gas_used",
     "gas_fee_eth",
@@ -37,7 +38,8 @@ def _placed(fact: DataFrame, unit: str, rows_per_bucket: int) -> DataFrame:
     """Both sides of every transfer with their folder."""
     sides = wallet_edges(fact, *CARRIED).withColumn("unit", F.lit(unit)).withColumn("period", F.trunc("transaction_date", unit))
     # one row per period; an unknown date is a period of its own
-    sizes = sides.groupBy("period").agg(F.ceil(F.count("*") / rows_per_bucket).cast("int").alias("buckets"))
+    needed = F.ceil(F.count("*") / rows_per_bucket)
+    sizes = sides.groupBy("period").agg(F.least(needed, F.lit(MOST_BUCKETS)).cast("int").alias("buckets"))
     by_period = [(row.period, row.buckets) for row in sizes.collect()]
     buckets = F.lit(1)
     for period, number in by_period:
@@ -48,11 +50,12 @@ def _placed(fact: DataFrame, unit: str, rows_per_bucket: int) -> DataFrame:
 
 def _write(placed: DataFrame, path: str) -> None:
     (
-        in_ranges(placed, *ORDER)
+        placed.hint("rebalance", *[F.col(c) for c in PLACE])
         .sortWithinPartitions(*ORDER)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .option("compression", "zstd")
         .partitionBy(*PLACE)
         .parquet(path)
     )
