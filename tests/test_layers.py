@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.catalog import Views
+from ledgerlens.catalog import views as views_module
 from ledgerlens.catalog.ingest import pages
 from ledgerlens.operators import daily, features, marts, staging, upserts
 from ledgerlens.plans.daily import Paths, run_daily, run_incremental, run_wallets
@@ -130,3 +132,28 @@ def test_amounts_over_38_digits_are_flagged_and_stay_null(spark, views):
     assert all((r["value_eth"] is None) == (k in "abf") for k, r in fact.items())
     assert all(r["is_value_transfer"] == r["is_high_value"] == (k in "abcf") or k == "h" for k, r in fact.items())
     assert {k for k, r in fact.items() if r["value_tier"] == "whale"} == set("abcf") and not fact["a"]["is_micro_transaction"]
+
+
+def test_columns_that_follow_from_a_row_are_made_after_the_newest_copy_is_picked(views):
+    """The shuffle of staged transfers carries no identifier, fee or type, and no input data that nobody reads."""
+    spark = views.spark
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = views.staged.drop("input_data")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    above, below = plan.split("Window [row_number", 1)
+    assert "AS transaction_id" in above and "AS gas_fee_eth" in above and "AS transaction_type" in above
+    assert not any(f"AS {name}#" in below for name in ("transaction_id", "gas_fee_eth", "gas_fee_wei", "transaction_type"))
+    assert "left(input_data" not in below and ", 1000)" not in below
+
+
+def test_the_served_fact_is_made_once(spark, views, monkeypatch):
+    """No range sampling, which would run the join and the choice of newest copies a second time."""
+    fresh, seen = Views(spark, views.sf_dir), []
+    monkeypatch.setattr("ledgerlens.sources.tables.in_ranges", lambda df, *by: seen.append(by) or df)
+    monkeypatch.setattr(views_module, "_SERVED", {})
+    assert rows(fresh.served_transfers) == rows(fresh.fact.select(*fresh.served_transfers.columns))
+    assert not fresh._is_served("fact_transactions")
+    assert fresh.served_fact.count() == fresh.fact.count() and not seen
+    assert Views(spark, views.sf_dir).served_transfers.columns == fresh.served_fact.columns

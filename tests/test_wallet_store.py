@@ -163,3 +163,30 @@ def test_fact_by_month_prunes_and_equals_the_fact_by_date(spark, path):
         assert rows(found) == rows(query(fact, as_of="2020-08-28 12:00:00"))
         plan = found._jdf.queryExecution().toString()
         assert "transaction_month" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_folders_of_a_period_are_bounded(spark, path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_BUCKETS", 2)
+    fact = ledger(spark)
+    store.build_store(fact, path, rows_per_bucket=1)
+    opened = store.open_store(spark, path)
+    assert opened.select("unit", "period", "buckets", "bucket").distinct().groupBy("period").count().agg(F.max("count")).first()[0] == 2
+    for wallet in ("hot", "w5"):
+        found = store.wallet_transfers(opened, wallet)
+        assert rows(found) == rows(touching(fact, wallet).select(*found.columns))
+
+
+def test_a_folder_of_many_rows_is_dealt_to_many_tasks(spark, path):
+    """One wallet, one month: by rows alone, and made only once (no sampling of ranges)."""
+    fact = ledger(spark).filter("from_address = 'hot'")
+    placed = store._placed(fact, "month", 4)
+    plan = placed.hint("rebalance", *[F.col(c) for c in store.PLACE])._jdf.queryExecution().sparkPlan().toString()
+    assert "REBALANCE" in plan and "rangepartitioning" not in plan
+    seen = []
+    original = type(fact).repartitionByRange
+    try:
+        type(fact).repartitionByRange = lambda self, *a: seen.append(a) or original(self, *a)
+        store.build_store(fact, path, rows_per_bucket=4)
+    finally:
+        type(fact).repartitionByRange = original
+    assert not seen and store.open_store(spark, path).count() == 2 * fact.count()
