@@ -140,3 +140,16 @@ def test_derived_transfers_are_spread_by_their_number(spark, views, monkeypatch)
     assert fresh.table("lineitem").rdd.getNumPartitions() == -(-fresh.lines // 100)
     monkeypatch.setattr(streams, "ROWS_PER_FILE", 100)
     assert streams._files_per_batch(fresh) == -(-fresh.lines // 300)
+
+
+def test_streamed_transfers_are_dealt_to_more_files_as_they_grow(spark, views, monkeypatch):
+    """All rows once; a month stays within the files of one micro-batch's number."""
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 800)
+    fresh = Views(spark, views.sf_dir)
+    files = streams._files_per_batch(fresh)
+    fact = fresh.fact.select("transaction_timestamp", "value_wei", "from_address")
+    dealt = streams.dealt_by_month(fact, files)
+    assert files > 1 and dealt.rdd.getNumPartitions() == streams.BATCHES * files
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, fact.collect()))
+    most = dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < fact.count() / 3
