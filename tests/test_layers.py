@@ -157,3 +157,30 @@ def test_the_served_fact_is_made_once(spark, views, monkeypatch):
     assert not fresh._is_served("fact_transactions")
     assert fresh.served_fact.count() == fresh.fact.count() and not seen
     assert Views(spark, views.sf_dir).served_transfers.columns == fresh.served_fact.columns
+
+
+def test_dashboards_store_only_the_columns_they_read(spark, views, monkeypatch):
+    """Not the whole fact; its rows are made once, and lie in folders by month."""
+    fresh, seen = Views(spark, views.sf_dir), []
+    monkeypatch.setattr(views_module, "_SERVED", {})
+    monkeypatch.setattr("ledgerlens.sources.tables.in_ranges", lambda df, *by: seen.append(by) or df)
+    stored = fresh.served_dashboard
+    assert stored.columns == [*views_module.DASHBOARD_COLUMNS, "transaction_month"]
+    assert rows(stored.drop("transaction_month")) == rows(fresh.fact.select(*views_module.DASHBOARD_COLUMNS))
+    assert not fresh._is_served("fact_transactions") and not seen
+    assert fresh.served_fact.count() and Views(spark, views.sf_dir).served_dashboard.columns == fresh.served_fact.columns
+
+
+def test_the_last_moment_is_found_by_order_before_the_join(spark, tmp_path):
+    """Lines without an order do not count, and order lines meet the orders already grouped, not one by one."""
+    line = "l_orderkey long, l_partkey long, l_quantity double, l_shipdate timestamp_ntz"
+    day = "2001-02-03 00:00:00"
+    lines = [(1, 5, 7.0, day), (1, None, 7.0, "2009-01-01 00:00:00"), (2, 1, 1.0, day), (2, 5, 9.0, day)]
+    lines += [(3, 23, 50.0, "2008-01-01 00:00:00"), (None, 23, 50.0, "2008-01-01 00:00:00")]
+    given = spark.createDataFrame(lines, line.replace("timestamp_ntz", "string"))
+    given.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (2,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = Views(spark, str(tmp_path)).moment
+    assert [str(r.as_of) for r in found.collect()] == ["2001-02-03 05:09:00"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "Aggregate [l_orderkey" in plan.split("Join")[1] and "Repartition" not in plan
