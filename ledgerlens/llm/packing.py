@@ -10,6 +10,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,10 @@ END_ID = 1
 FAR = np.int64(1) << 60
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", bin long, offset long"
-MARKS = ".,;:!?"
+#: The tokenizer parts a run of these from letters before it, whatever the run.
+MARKS = ".,;:!?*#$%&"
+#: Up to here a capital and its small letter are one character each, in every Unicode version.
+LATIN = "\xff"
 #: Python splits words at these too, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -35,11 +40,16 @@ class WordIds(dict):
     New words are encoded many at a time, as one text, and its tokens are dealt to words by where they begin.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, together: int = 2000):
+    def __init__(self, path: str, limit: int = 600_000, together: int = 100):
         from tokenizers import Tokenizer
 
+        # "" stands for the missing tail of a word; short texts stay in the processor's cache while they are encoded
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.together = limit, together
+        vocab, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(1 + max(vocab.values(), default=0), bool)
+        self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,25 +58,38 @@ class WordIds(dict):
         new = [w for w in found if w not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
+            self[""] = b""
             new = list(found)
         # letters are lower-cased and end where punctuation begins: most new words are known ones, written otherwise
-        parts = {}
+        cores, tails, latin = [], [], []
         for w in new:
             core = w.rstrip(MARKS)
-            if core.isalpha() and core.lower().isalpha():
-                parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
+            if core.isalpha() and (small := core.lower()).isalpha():
+                if core.isascii() or max(core) <= LATIN:
+                    latin.append(core := small)
+                cores.append(core)
+                tails.append(w[len(core) :])
             else:
-                parts[w] = (w, "")
-        plain = list(dict.fromkeys(p for pair in parts.values() for p in pair if p and p not in self))
-        for i in range(0, len(plain), self.together):
-            part = plain[i : i + self.together]
+                cores.append(w)
+                tails.append("")
+        self.encode_words([p for p in dict.fromkeys(latin) if p not in self], True)
+        self.encode_words([p for p in dict.fromkeys(chain(cores, tails)) if p not in self], False)
+        self.update(zip(new, map(add, map(self.__getitem__, cores), map(self.__getitem__, tails))))
+
+    def encode_words(self, words: list[str], one_each: bool) -> None:
+        """`one_each`: the tokenizer takes each as one word, so that the only token that can end a word is its last."""
+        for i in range(0, len(words), self.together):
+            part = words[i : i + self.together]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            data = np.asarray(encoded.ids, "<u4").tobytes()
-            begins = np.r_[0, np.cumsum([len(w) + 1 for w in part])]
-            edges = (4 * np.searchsorted([o[0] for o in encoded.offsets], begins)).tolist()
+            ids = np.asarray(encoded.ids, "<u4")
+            edges = np.flatnonzero(self.ends[ids]) + 1 if one_each else ()
+            if len(edges) == len(part):
+                edges = np.r_[0, edges]
+            else:
+                begins = np.r_[0, np.cumsum([len(w) + 1 for w in part])]
+                edges = np.searchsorted([o[0] for o in encoded.offsets], begins)
+            data, edges = ids.tobytes(), (4 * edges).tolist()
             self.update((w, data[a:b]) for w, a, b in zip(part, edges, edges[1:]))
-        for w, (core, tail) in parts.items():
-            self[w] = self[core] + (self[tail] if tail else b"")
 
     def of(self, texts: list[str]) -> list[bytes]:
         """White space ends a word for this tokenizer, so a text's ids are its words' ids one after another."""

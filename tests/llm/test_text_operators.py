@@ -451,3 +451,28 @@ def test_recipes_do_not_depend_on_portions(docs_of):
     docs = docs_of(ROWS).coalesce(1)
     whole, cut = (sorted(map(repr, chunk_dedup.recipes(docs, bits=5, longest=64, portion_bytes=b).collect())) for b in (1 << 30, 100))
     assert whole == cut
+
+
+def test_words_differ_from_known_ones_by_case_and_trailing_marks_only():
+    """Ids equal the tokenizer's; a known word in capitals, with or without accents, or before a run of marks costs no new
+    encoding."""
+    ids, texts = packing.WordIds(tokenizer_path(), together=3), []
+    words = "étéa thinge ßu a's x'll l'' ŸÝ ıİ Σς 'µª º´ no̶n ½²3 <|a|> b_c--d 中a. .;*# e*f $% ǅa".split()
+    for text in (" ".join(words), *words, "".join(words)):
+        assert ids.of([text]) == [ids.encode(text)]
+
+    class Recorded:
+        def encode(self, text, **options):
+            texts.append(text)
+            return tokenizer.encode(text, **options)
+
+    tokenizer, ids.tokenizer = ids.tokenizer, Recorded()
+    ids.of(["$$$ ***"])
+    texts.clear()
+    again = "Étéa THINGE$$$ étéA*** thinge***"
+    found = ids.of([again])
+    assert not texts and found == [tokenizer_ids(tokenizer, again)]
+
+
+def tokenizer_ids(tokenizer, text):
+    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
