@@ -191,3 +191,18 @@ def test_wallet_updates_keep_versions_also_when_cut_off(spark, monkeypatch, stop
     ]
     job.update_wallets(spark, wallet_states(spark, [("0xa", 4, 6, 3)]), paths, now=at(4))
     assert ("0xa", 3, False, day, 4) in versions(spark, paths) and len(versions(spark, paths)) == 5
+
+
+def test_the_full_load_moves_rows_to_their_days_once(spark, views, monkeypatch):
+    """Facts are written as the staged files lie: ranges of days are found for staged transfers only."""
+    seen = []
+    original = job.write_table.__globals__["in_ranges"]
+    monkeypatch.setitem(job.write_table.__globals__, "in_ranges", lambda df, *by: seen.append(by) or original(df, *by))
+    paths = Paths(new_path(spark, "warehouse"))
+    month = views.raw_transactions.filter("ingested_at BETWEEN '1997-12-01' AND '1997-12-20'")
+    job.run_daily(spark, month, paths, now=F.lit("2001-01-01").cast("timestamp_ntz"), key_buckets=4)
+    assert seen == [("transaction_date", "from_address", "to_address")]
+    staged, fact = (spark.read.parquet(paths.table(t)) for t in ("stg_transactions", "fact_transactions"))
+    keys = [df.groupBy("transaction_date").count() for df in (staged.filter("data_quality_score >= 0.5"), fact)]
+    assert rows(keys[0]) == rows(keys[1]) and fact.count() > 0
+    assert all(".zstd." in name for name in spark.read.parquet(paths.table("fact_transactions_keys")).inputFiles())
