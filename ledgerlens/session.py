@@ -34,6 +34,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(spark: SparkSession, tasks: int) -> None:
+    """At least `tasks` tasks where a large table is read or shuffled; adaptive execution joins those with few rows.
+
+    Both settings are counts of the session's, raised for tables of many rows and lowered again for small ones.
+    """
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", max(shuffled, tasks))
+    spark.conf.set("spark.sql.files.minPartitionNum", tasks)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster in spark.checkpoint.dir.
 
