@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.anchors import BYTE_HASH, FACTOR, PrefixHash, scramble
-from ledgerlens.llm.common import portions, stored
+from ledgerlens.llm.common import MOST_BITS, PLACES, Filter, filter_bits, filter_from, portions, put_in, stored
 
 LONGEST = 4
 LEAST = 30
 COVERED = 80
 BEST = 2000
 SCALE = 2_000_000
-MOST_BITS = 1 << 28
 SALTS = 64
 UNKNOWN = "und"
 SPACE, BREAK = 32, 10
@@ -76,28 +75,10 @@ def seed_of(lang: str) -> np.uint64:
     return np.uint64(zlib.crc32(lang.encode()) << 20)
 
 
-class Filter:
-    """A Bloom filter with two bits for each phrase; says yes to every phrase put in."""
-
-    def __init__(self, bits: bytes):
-        self.bits = np.frombuffer(bits, np.uint64)
-
-    @staticmethod
-    def places(h: np.ndarray, size: int) -> list[np.ndarray]:
-        return [h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)]
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for p in self.places(h, 64 * len(self.bits)):
-            found &= (self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-        return found
-
-
 def filter_of(frequent: DataFrame, most_bits: int) -> Broadcast:
     """A filter of (lang, phrase, size) rows: about 16 bits for each row, never more than `most_bits`, so what is sent to
     the driver and the tasks is bounded. A full filter lets more phrases through to be counted; results stay the same."""
-    rows = frequent.count()
-    bits = min(most_bits, max(1 << 12, 1 << (16 * rows).bit_length()))
+    bits = filter_bits(frequent.count(), most_bits)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +87,9 @@ def filter_of(frequent: DataFrame, most_bits: int) -> Broadcast:
                 for n in np.unique(size[lang == name]).tolist():
                     mine = batch.filter(pa.array((lang == name) & (size == n))).column(1).to_pylist()
                     words = Layout.of(mine)
-                    h = words.hashes(n, seed_of(name))[::n]
-                    place = np.concatenate(Filter.places(h, bits))
-                    yield pa.record_batch([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["slot", "mask"])
-
-    slots = frequent.select("lang", "phrase", "size").mapInArrow(put, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[slots["slot"].to_numpy(np.int64)] = slots["mask"].to_numpy(np.int64).view(np.uint64)
-    return frequent.sparkSession.sparkContext.broadcast(out.tobytes())
+                    yield put_in(words.hashes(n, seed_of(name))[::n], bits)
+
+    return filter_from(frequent.select("lang", "phrase", "size").mapInArrow(put, PLACES), bits)
 
 
 def counted(docs: DataFrame, sizes: tuple[int, ...], known: Broadcast | None, known_size: int) -> DataFrame:

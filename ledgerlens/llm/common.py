@@ -6,12 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.anchors import scramble
 from ledgerlens.session import write_and_read
 
 WORD = r"[^\x20\x09-\x0D]+"
+MOST_BITS = 1 << 28
+#: Bits of a filter that one task makes at a time.
+PART_BITS = 1 << 19
+PLACES = "part int, place int"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,3 +151,63 @@ def join_checked(df: DataFrame, ids: DataFrame, on: list[str], how: str, most: i
     """Join with a stored table of ids: sent to every task only when a count shows at most `most` rows, shuffled else."""
     few = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if few else ids, on, how)
+
+
+class Filter:
+    """A Bloom filter with two bits for each 64-bit hash; says yes to every hash put in."""
+
+    def __init__(self, bits: bytes):
+        self.bits = np.frombuffer(bits, np.uint64)
+
+    @staticmethod
+    def places(h: np.ndarray, size: int) -> list[np.ndarray]:
+        return [h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = np.ones(len(h), bool)
+        for p in self.places(h, 64 * len(self.bits)):
+            found &= (self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+def filter_bits(rows: int, most_bits: int) -> int:
+    """About 16 bits for each row, never more than `most_bits`, so what is sent to the driver and the tasks is bounded."""
+    return min(most_bits, max(1 << 12, 1 << (16 * rows).bit_length()))
+
+
+def put_in(h: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Parts and places of the bits of some hashes, for `filter_from`."""
+    place = np.concatenate(Filter.places(h, bits)).astype(np.int64)
+    return pa.record_batch([pa.array((place // PART_BITS).astype(np.int32)), pa.array((place % PART_BITS).astype(np.int32))], ["part", "place"])
+
+
+def filter_from(places: DataFrame, bits: int) -> Broadcast:
+    """A filter from the rows that `put_in` made; tasks make its parts, and the driver lays these one after another."""
+
+    def part_of(key: tuple, rows: pa.Table) -> pa.RecordBatch:
+        out = np.zeros(min(bits, PART_BITS), bool)
+        out[rows.column("place").to_numpy()] = True
+        return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    found = bytearray(bits // 8)
+    for part, data in map_runs(places, ["part"], part_of, "part int, bits binary").collect():
+        begin = part * (PART_BITS // 8)
+        found[begin : begin + len(data)] = data
+    return places.sparkSession.sparkContext.broadcast(bytes(found))
+
+
+def hash_filter(ids: DataFrame, column: str, most_bits: int = MOST_BITS) -> Broadcast:
+    """A filter of a stored table's 64-bit hashes, for `may_hold`. Rows it turns away need not be shuffled to be joined with
+    that table; a full filter lets more of them through, and the join drops those."""
+    bits = filter_bits(ids.count(), most_bits)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield put_in(scramble(batch.column(0).to_numpy().view(np.uint64)), bits)
+
+    return filter_from(ids.select(column).mapInArrow(put, PLACES), bits)
+
+
+def may_hold(known: Filter, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the table of a `hash_filter`; smallest hashes are alike in their high bits, so they are mixed."""
+    return known.has(scramble(hashes))

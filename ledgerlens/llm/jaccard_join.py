@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.anchors import word_values
-from ledgerlens.llm.common import in_blocks, join_checked, map_runs, portions, stored
+from ledgerlens.llm.common import Filter, hash_filter, in_blocks, join_checked, map_runs, may_hold, portions, stored
 from ledgerlens.operators.neighbors import connected_components
 
 SKETCH_BITS = 1024
@@ -242,7 +243,21 @@ def similarity_groups(
     leaders = join_checked(usable, stored(copies, "copies"), ["doc_id"], "left_anti")
     entries = leaders.select(F.col("doc_id").alias("doc"), F.explode("prefix").alias("key"))
     shared = entries.groupBy("key").agg(F.min("doc").alias("region"), F.max("doc").alias("other")).where("region < other").drop("other")
-    regions = stored(entries.join(shared, "key").where("doc <> region").select("region", "doc").distinct(), "regions")
+    shared = stored(shared, "shared")
+    known = hash_filter(shared, "key")
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries whose key may be shared, so that few others are shuffled to the join."""
+        allowed = Filter(known.value)
+        for b in batches:
+            sizes = pc.list_value_length(b.column("prefix")).to_numpy(zero_copy_only=False)
+            key = b.column("prefix").flatten().to_numpy(zero_copy_only=False)
+            kept = may_hold(allowed, key.view(np.uint64))
+            doc = np.repeat(b.column("doc").to_numpy(), sizes)
+            yield pa.record_batch([pa.array(doc[kept], pa.int64()), pa.array(key[kept], pa.int64())], ["doc", "key"])
+
+    met = leaders.select(F.col("doc_id").alias("doc"), "prefix").mapInArrow(meeting, "doc long, key long")
+    regions = stored(met.join(shared, "key").where("doc <> region").select("region", "doc").distinct(), "regions")
 
     brief = leaders.select(F.col("doc_id").alias("doc"), "n", "sketch")
     pivot = brief.select(F.col("doc").alias("region"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
