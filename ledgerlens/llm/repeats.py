@@ -1,6 +1,7 @@
 """Which windows of a corpus recur, as a Spark job around a resolver for groups of similar contexts.
 
-1. Anchors are sampled from every text; those that recur are found by counting.
+1. Anchors are sampled from every text; those that recur are found by counting. A filter of these turns most others away
+   where they are made.
 2. Rows (gram, context) of recurring anchors form classes. Equal contexts decide all their windows at once, without
    moving text; in documents that are copies of one another this settles all but the surroundings of changes.
 3. One context of each class of a gram with several classes is cut from the texts, and the resolver tells which windows
@@ -14,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.anchors import PrefixHash, anchors
-from ledgerlens.llm.common import join_checked, map_runs, portions, stored
+from ledgerlens.llm.common import MOST_BITS, Filter, hash_filter, join_checked, map_runs, may_hold, portions, stored
 
 ROWS = "gram long, context long, doc long, mark int, first int, last int, lead int"
 CONTEXTS = "gram long, context long, lowest long, owned int, lead int, units binary, at int, window long"
@@ -42,10 +44,11 @@ def numbered(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("doc"), F.hash(body).alias("mark"), body.alias("text"))
 
 
-def anchor_rows(texts: DataFrame, units: Units, narrow: bool) -> DataFrame:
-    """Anchors of all texts: gram and doc, or all of ROWS."""
+def anchor_rows(texts: DataFrame, units: Units, narrow: bool, known: Broadcast | None = None) -> DataFrame:
+    """Anchors of all texts: gram and doc, or all of ROWS; with `known` those whose gram that filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = None if known is None else Filter(known.value)
         for batch in batches:
             doc, mark = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             texts = batch.column(2).to_pylist()
@@ -57,6 +60,9 @@ def anchor_rows(texts: DataFrame, units: Units, narrow: bool) -> DataFrame:
                     if not narrow:
                         small = [x.astype(np.int32) for x in (mark[row], a.first, a.last, a.lead)]
                         columns = [columns[0], a.context.view(np.int64), columns[1], *small]
+                    if allowed is not None:
+                        kept = may_hold(allowed, a.gram)
+                        columns = [x[kept] for x in columns]
                     yield pa.record_batch([pa.array(c) for c in columns], names)
 
     schema = "gram long, doc long" if narrow else ROWS
@@ -108,6 +114,7 @@ def recurring_spans(
     most: int = 1000,
     id_column: str = "doc_id",
     text: str = "text",
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """doc, mark, spans: unit ranges of each text that are covered by recurring windows.
 
@@ -120,7 +127,8 @@ def recurring_spans(
     else:
         counted = anchor_rows(texts, units, True).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     grams = stored(counted.select("gram"), "grams")
-    rows = stored(join_checked(anchor_rows(texts, units, False), grams, ["gram"], "inner"), "anchors")
+    rows = anchor_rows(texts, units, False, hash_filter(grams, "gram", most_bits))
+    rows = stored(join_checked(rows, grams, ["gram"], "inner"), "anchors")
     classes = stored(rows.groupBy("gram", "context").agg(F.count("*").alias("count"), F.min("doc").alias("lowest")), "classes")
     several = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
     open_classes = classes.join(several, "gram")
