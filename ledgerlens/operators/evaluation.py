@@ -11,8 +11,17 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import stats as S
 from ledgerlens.functions.tiers import HIGH_RISK, SUSPICIOUS_FROM
+from ledgerlens.operators.metric_tree import pair_distances
 from ledgerlens.operators.neighbors import BLOCK_ROWS, _stack, compare_blocks, distances
 
+#: Rows of a block in the silhouette, fewer where their sums for each cluster would be more than BLOCK_SUMS.
+SIDE_ROWS = 1 << 14
+FEW_ROWS = 1 << 10
+BLOCK_SUMS = 1 << 22
+#: Small tables still make so many blocks, of so many rows.
+LEAST_BLOCKS = 8
+LEAST_ROWS = 512
+TILE = 256
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 THRESHOLDS = (0.5, 0.7, 0.9)
 RATE_PERCENTILES = ((90, "at_10_percent"), (95, "at_5_percent"), (99, "at_1_percent"))
@@ -146,34 +155,89 @@ def _pair_up(points: DataFrame) -> DataFrame:
     return points.withColumn("cell", F.lit(0))
 
 
-def silhouette(points: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row (silhouette_score): mean Euclidean silhouette of (id, vec, cluster) points.
+def _blocks_in_pairs(points: DataFrame, rows: int, n: int) -> DataFrame:
+    """Deal the rows by the hash of their id into blocks of about `rows`, some at least, and copy each to every pair of
+    blocks it belongs to: adds block (the row's own), low and high (the pair)."""
+    blocks = max(-(-n // rows), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)), 1)
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+
 
-    The measure is defined by all distances; blocks compare at most `block_rows` with `block_rows` points and return
-    only sums per point and cluster.
+def distance_sums(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From each row of `a` the summed distances to the groups of `b`, and from each row of `b` those to the groups of `a`.
+
+    Groups are columns of 0 and 1. Squares come from matrix products of tiles that fit a processor's cache; pairs so close
+    that rounding could show in a distance (beyond 1e-8 of it) are taken from differences.
     """
-    def sums(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        d = distances(_stack(l["vec"]), _stack(r["vec"]))
-        codes, names = pd.factorize(r["cluster"])
-        onehot = np.zeros((len(r), len(names)))
-        onehot[np.arange(len(r)), codes] = 1.0
-        total = d @ onehot
-        rows = np.repeat(np.arange(len(l)), len(names))
-        return pd.DataFrame(
-            {
-                "id": l["id"].to_numpy()[rows],
-                "own": l["cluster"].to_numpy()[rows],
-                "other": np.tile(np.asarray(names), len(l)),
-                "total": total.ravel(),
-                "n": np.tile(onehot.sum(axis=0).astype(int), len(l)),
-            }
-        )
+    from_a, from_b = np.zeros((len(a), of_b.shape[1])), np.zeros((of_a.shape[1], len(b)))
+    with np.errstate(all="ignore"):
+        middle = b.mean(axis=0)
+        x, y = a - middle, b - middle
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        error = 8 * (a.shape[1] + 4) * np.finfo(float).eps * (xx.max() + yy.max() + (middle * middle).sum())
+        # one product gives xx - 2 xy + yy
+        x = np.c_[-2 * x, xx, np.ones(len(x))]
+        y = np.ascontiguousarray(np.c_[y, np.ones(len(y)), yy].T)
+        for i in range(0, len(a), TILE):
+            for j in range(0, len(b), TILE):
+                rows, cols = slice(i, i + TILE), slice(j, j + TILE)
+                d = x[rows] @ y[:, cols]
+                close = None if d.min() > 1e8 * error else np.nonzero(~(d > 1e8 * error))
+                np.sqrt(d, out=d)
+                if close is not None:
+                    d[close] = pair_distances(a[i + close[0]], b[j + close[1]])
+                from_a[rows] += d @ of_b[cols]
+                from_b[:, cols] += of_a[rows].T @ d
+    return from_a, from_b.T
+
+
+def silhouette(points: DataFrame, *, block_rows: int = SIDE_ROWS) -> DataFrame:
+    """One row (silhouette_score): mean Euclidean silhouette of (id, vec, cluster) points.
 
+    The measure is defined by all distances. Each pair of blocks of about `block_rows` points meets once, for the sums of
+    both, and only sums per point and cluster come back. With many clusters blocks are smaller, as are then the sums.
+    """
+    side = points.select("id", "vec", "cluster")
+    found = side.agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("k")).first()
+    block_rows = min(block_rows, max(FEW_ROWS, BLOCK_SUMS // max(1, found.k)))
     kinds = {c: points.schema[c].dataType.simpleString() for c in ("id", "cluster")}
     schema = f"id {kinds['id']}, own {kinds['cluster']}, other {kinds['cluster']}, total double, n bigint"
-    side = _pair_up(points.select("id", "vec", "cluster"))
+
+    def sums(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        codes, names = pd.factorize(both["cluster"])
+        names = np.asarray(names)
+        member = np.zeros((len(both), len(names)))
+        member[np.arange(len(both)), codes] = 1.0
+        x, first = _stack(both["vec"]), both["block"].to_numpy() == key[0]
+        if key[0] == key[1]:
+            parts = [(np.arange(len(both)), distance_sums(x, x, member, member)[0], member.sum(axis=0))]
+        elif first.all() or not first.any():
+            return pd.DataFrame()
+        else:
+            low, high = np.flatnonzero(first), np.flatnonzero(~first)
+            from_low, from_high = distance_sums(x[low], x[high], member[low], member[high])
+            parts = [(low, from_low, member[high].sum(axis=0)), (high, from_high, member[low].sum(axis=0))]
+        out = []
+        for rows, total, n in parts:
+            met = np.flatnonzero(n)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "id": np.repeat(both["id"].to_numpy()[rows], len(met)),
+                        "own": np.repeat(both["cluster"].to_numpy()[rows], len(met)),
+                        "other": np.tile(names[met], len(rows)),
+                        "total": total[:, met].ravel(),
+                        "n": np.tile(n[met].astype(int), len(rows)),
+                    }
+                )
+            )
+        return pd.concat(out)
+
     per_cluster = (
-        compare_blocks(side, side, sums, schema, block_rows)
+        _blocks_in_pairs(side, block_rows, found.n)
+        .groupBy("low", "high")
+        .applyInPandas(sums, schema)
         .groupBy("id", "own", "other")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     )
@@ -187,7 +251,7 @@ def silhouette(points: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return per_point.agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("silhouette_score"))
 
 
-def cluster_quality(points: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cluster_quality(points: DataFrame, *, block_rows: int = SIDE_ROWS) -> DataFrame:
     """One row: clusters, noise, silhouette, Calinski-Harabasz and Davies-Bouldin of (id, vec, cluster) points.
 
     Points without a cluster are noise and only counted. The three measures are NULL for fewer than two clusters.
@@ -225,7 +289,7 @@ def cluster_quality(points: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataF
     side = _pair_up(spread.select(F.col("cluster").alias("id"), F.col("center").alias("vec"), "scatter"))
     kind = points.schema["cluster"].dataType.simpleString()
     similarity = (
-        compare_blocks(side, side, worst, f"id {kind}, ratio double", block_rows)
+        compare_blocks(side, side, worst, f"id {kind}, ratio double", min(block_rows, BLOCK_ROWS))
         .groupBy("id")
         .agg(F.max("ratio").alias("ratio"))
         .agg(F.avg("ratio").alias("davies_bouldin"))

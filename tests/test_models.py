@@ -184,6 +184,45 @@ def test_silhouette_and_indices_on_separated_groups(spark):
     assert single.silhouette_score is None and single.davies_bouldin_score is None
 
 
+def test_silhouette_equals_all_distances(spark):
+    draw = np.random.default_rng(5)
+    x = np.r_[draw.normal(size=(500, 3)), 1e3 + 1e-4 * draw.normal(size=(400, 3))]
+    x[450:480] = x[0]
+    cluster = draw.integers(0, 4, len(x))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    sums = np.stack([d[:, cluster == c].sum(1) for c in range(4)], 1)
+    sizes, rows = np.bincount(cluster), np.arange(len(x))
+    own = sums[rows, cluster] / (sizes[cluster] - 1)
+    means = sums / sizes
+    means[rows, cluster] = np.inf
+    other = means.min(1)
+    frame = spark.createDataFrame([(int(i), x[i].tolist(), int(cluster[i])) for i in rows], "id bigint, vec array<double>, cluster int")
+    for block_rows in (evaluation.SIDE_ROWS, 100):
+        got = evaluation.silhouette(frame, block_rows=block_rows).first().silhouette_score
+        assert got == pytest.approx(np.mean((other - own) / np.maximum(own, other)), rel=1e-7)
+
+
+def test_each_pair_of_silhouette_blocks_meets_once(spark):
+    points = spark.range(10_000).select("id")
+    dealt = evaluation._blocks_in_pairs(points, 1_000, 10_000).groupBy("low", "high").count().collect()
+    assert {(r.low, r.high) for r in dealt} == {(i, j) for i in range(10) for j in range(i, 10)}
+    assert sum(r["count"] for r in dealt) == 10 * 10_000
+
+
+def test_distance_sums_of_odd_rows():
+    draw = np.random.default_rng(6)
+    a, b = draw.normal(size=(300, 4)), draw.normal(size=(290, 4))
+    b[7], b[8] = a[3], a[3] + 1e-9
+    odd = a.copy()
+    odd[5] = np.nan
+    of_a, of_b = np.eye(3)[np.arange(300) % 3], np.eye(2)[np.arange(290) % 2]
+    for x in (a, odd):
+        d = neighbors.distances(x, b)
+        from_a, from_b = evaluation.distance_sums(x, b, of_a, of_b)
+        np.testing.assert_allclose(from_a, d @ of_b, rtol=1e-9)
+        np.testing.assert_allclose(from_b, d.T @ of_a, rtol=1e-9)
+
+
 def test_impute_and_scale(spark):
     frame = spark.createDataFrame([(1.0, 5.0), (None, 5.0), (3.0, 5.0), (float("nan"), 5.0)], "a double, b double")
     assert [r.a for r in preparation.impute(frame, ["a", "b"]).collect()] == [1.0, 2.0, 3.0, 2.0]
