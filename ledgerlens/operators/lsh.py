@@ -56,7 +56,7 @@ def approximate_neighbors(
     members = vectors.join(blocks, "id")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return nearest_of(left.assign(reach=np.inf), right, k) if len(left) and len(right) else pd.DataFrame()
+        return nearest_of(left.assign(reach=np.inf, leaf=0), right.assign(leaf=0), k)[0] if len(left) and len(right) else pd.DataFrame()
 
     beside = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
     right = members.select("id", "vec", "weight", "bucket", beside)

@@ -2,18 +2,20 @@
 
 A node with more than `leaf_rows` points is split around points sampled from it, as often as needed, so the tree is as
 deep as the data asks for and no number of cells is fixed. Centres, radii and sizes are tables; nothing of them passes
-through the driver. Every leaf is first searched in itself. The k-distances found there, and the triangle inequality,
-tell on the way down the tree which other leaves can matter. These are visited nearest first in waves; each wave shrinks
-the k-distances, and what they no longer reach is not visited.
+through the driver. Leaves travel in bundles, subtrees of a bounded size, so that a point is sent once for many leaves. Every
+bundle is first searched in itself. The k-distances found there, and the triangle inequality, tell on the way down the tree
+which other leaves can matter. Their bundles are visited nearest first in waves, and in a task their leaves; each visit
+shrinks the k-distances, and what they no longer reach is not visited.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize, write_and_read
@@ -21,6 +23,9 @@ from ledgerlens.session import materialize, write_and_read
 LEAF_ROWS = 2048
 FANOUT = 32
 SPLIT_ROWS = 1 << 15
+#: Bytes of vectors in a bundle, up to twice as many; small tables still make about so many bundles.
+BUNDLE_BYTES = 1 << 24
+LEAST_BUNDLES = 8
 WAVES = (4, 16, 64)
 SLACK = 1e-9
 
@@ -78,6 +83,7 @@ class Tree:
     points: DataFrame
     nodes: DataFrame | None
     leaf_rows: int
+    fanout: int = FANOUT
 
 
 def build_tree(points: DataFrame, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT) -> Tree:
@@ -90,7 +96,7 @@ def build_tree(points: DataFrame, leaf_rows: int = LEAF_ROWS, fanout: int = FANO
         big = materialize(sizes.filter(F.col("points_in") > leaf_rows))
         if big.isEmpty():
             leaves = rows if leaves is None else leaves.unionByName(rows)
-            return Tree(leaves.withColumnRenamed("node", "leaf"), nodes, leaf_rows)
+            return Tree(leaves.withColumnRenamed("node", "leaf"), nodes, leaf_rows, fanout)
         small = rows.join(big, "node", "left_anti")
         if nodes is not None:
             leaves = small if leaves is None else leaves.unionByName(small)
@@ -128,27 +134,68 @@ def build_tree(points: DataFrame, leaf_rows: int = LEAF_ROWS, fanout: int = FANO
         rows = split.drop("to_center")
 
 
-def nearest_of(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Of each left row the k nearest right rows with another id that are no farther than its `reach`; ties by id."""
-    a, b = stack(left["vec"]), stack(right["vec"])
-    a_ids, b_ids = left["id"].to_numpy(), right["id"].to_numpy()
-    reach = left["reach"].to_numpy(float)
+def first_of_each(row: np.ndarray, place: np.ndarray, exact: np.ndarray, k: int) -> np.ndarray:
+    """Which candidates are the k nearest of their row, in the order of rows; ties go to the smaller place."""
+    order = np.lexsort((place, exact, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row, "left") < k]
+
+
+def candidates(a: np.ndarray, b: np.ndarray, same: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of pairs no farther than the row's `reach`, all that can be among its k nearest."""
     near, error = squared_estimates(a, b)
-    near[a_ids[:, None] == b_ids[None, :]] = np.inf
+    near[same] = np.inf
     limit = reach * reach * (1 + SLACK)
-    if len(b_ids) > k:
+    close = near <= (limit + 2 * error)[:, None]
+    if b.shape[0] > k and np.count_nonzero(close) > 4 * k * len(a):
         limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
-    row, col = np.nonzero(near <= (limit + 2 * error)[:, None])
+        close = near <= (limit + 2 * error)[:, None]
+    row, col = np.nonzero(close)
     exact = pair_distances(a[row], b[col])
     fits = np.isfinite(near[row, col]) & (exact <= reach[row] * (1 + SLACK))
-    row, col, exact = row[fits], col[fits], exact[fits]
-    _, place = np.unique(b_ids, return_inverse=True)
-    order = np.lexsort((place[col], exact, row))
-    row, col, exact = row[order], col[order], exact[order]
-    first = np.searchsorted(row, row, "left")
-    keep = np.arange(len(row)) - first < k
-    row, col = row[keep], col[keep]
-    return pd.DataFrame({"id": a_ids[row], "neighbor": b_ids[col], "neighbor_weight": right["weight"].to_numpy()[col], "distance": exact[keep]})
+    return row[fits], col[fits], exact[fits]
+
+
+def by_leaf(leaves: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(leaves, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(leaves[order])) + 1)
+
+
+def nearest_of(left: pd.DataFrame, right: pd.DataFrame, k: int) -> tuple[pd.DataFrame, int]:
+    """Of each left row the k nearest right rows with another id that are no farther than its `reach`; ties by id. Also the
+    number of pairs that were compared: each leaf visits the others nearest first, with the points that reach them."""
+    a, b = stack(left["vec"]), stack(right["vec"])
+    a_ids, b_ids, weight = left["id"].to_numpy(), right["id"].to_numpy(), right["weight"].to_numpy()
+    _, code = np.unique(np.concatenate([a_ids, b_ids]), return_inverse=True)
+    code, place = code[: len(a)], code[len(a) :]
+    code[a_ids != a_ids] = -1
+    others = by_leaf(right["leaf"].to_numpy())
+    centers = np.stack([b[o].mean(axis=0) for o in others])
+    radii = np.array([pair_distances(b[o], c).max() for o, c in zip(others, centers)])
+    reach, compared, out = left["reach"].to_numpy(float).copy(), 0, []
+    for mine in by_leaf(left["leaf"].to_numpy()):
+        middle = a[mine].mean(axis=0)
+        row, col, exact = np.empty(0, int), np.empty(0, int), np.empty(0)
+        for at in np.argsort(pair_distances(centers, middle) - radii, kind="stable"):
+            far = reach[mine] * (1 + SLACK) + SLACK
+            # what rounding may add to a distance from a centre, or an odd value makes of it, is let through
+            met = np.flatnonzero(~(pair_distances(a[mine], centers[at]) - radii[at] > far))
+            if not len(met):
+                continue
+            other = others[at]
+            compared += len(met) * len(other)
+            rows = mine[met]
+            r, c, d = candidates(a[rows], b[other], code[rows][:, None] == place[other][None, :], reach[rows], k)
+            if len(r):
+                row, col, exact = np.r_[row, met[r]], np.r_[col, other[c]], np.r_[exact, d]
+                keep = first_of_each(row, place[col], exact, k)
+                row, col, exact = row[keep], col[keep], exact[keep]
+                # the last of k that were found is the new reach
+                full = np.flatnonzero(np.r_[row[k - 1 :], np.full(min(k - 1, len(row)), -1)][: len(row)] == row)
+                reach[mine[row[full]]] = np.minimum(reach[mine[row[full]]], exact[full + k - 1])
+        out.append((mine[row], col, exact))
+    row, col, exact = (np.concatenate(x) for x in zip(*out))
+    return pd.DataFrame({"id": a_ids[row], "neighbor": b_ids[col], "neighbor_weight": weight[col], "distance": exact}), compared
 
 
 @dataclass(frozen=True)
@@ -159,20 +206,45 @@ class Search:
     compared: int
 
 
-def search_tree(tree: Tree, k: int, waves: tuple[int, ...] = WAVES) -> Search:
+def bundles(tree: Tree, tips: DataFrame, rows: int) -> DataFrame:
+    """(leaf, bundle): a bundle is one of the largest subtrees of at most `rows` points, or some siblings of that kind."""
+    sizes = tree.nodes.select("node", "parent", "points_in")
+    ways, up = [F.col("node")], F.col("node")
+    for _ in range(math.ceil(62 / math.log2(tree.fanout))):
+        # 0 is the root, the children of x are fanout * x + 1 and on
+        up = F.call_function("div", F.greatest(up - 1, F.lit(0)), F.lit(tree.fanout)).cast("long")
+        ways.append(up)
+    above = tips.select(F.col("node").alias("leaf"), F.explode(F.array_distinct(F.array(*ways))).alias("node"))
+    fitting = above.join(sizes, "node").filter((F.col("points_in") <= rows) | (F.col("node") == F.col("leaf")))
+    # an ancestor's number is smaller
+    tops = fitting.groupBy("leaf").agg(F.min(F.struct("node", "parent", "points_in")).alias("top")).select("leaf", "top.*")
+    order = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("points_in").over(order), F.lit(0))
+    dealt = tops.select("node", "parent", "points_in").distinct().withColumn("part", F.floor(before / F.lit(rows)))
+    dealt = dealt.withColumn("bundle", F.min("node").over(Window.partitionBy("parent", "part")))
+    return tops.select("leaf", "node").join(dealt.select("node", "bundle"), "node").select("leaf", "bundle")
+
+
+def search_tree(tree: Tree, k: int, waves: tuple[int, ...] = WAVES, bundle_bytes: int = BUNDLE_BYTES) -> Search:
     """The k nearest other points of every point; ties go to the smaller id.
 
-    `waves` are the numbers of leaves visited by each leaf in the first rounds; later rounds visit as many as the last.
+    `waves` are the numbers of bundles visited by each bundle in the first rounds; later rounds visit as many as the last.
     """
     points = tree.points
     kind = points.schema["id"].dataType.simpleString()
     schema = f"id {kind}, neighbor {kind}, neighbor_weight bigint, distance double"
+    # only a measure of the work: a task that runs again counts again
+    compared = points.sparkSession.sparkContext.accumulator(0)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return nearest_of(left, right, k) if len(left) and len(right) else pd.DataFrame()
+        if not len(left) or not len(right):
+            return pd.DataFrame()
+        found, pairs = nearest_of(left, right, k)
+        compared.add(pairs)
+        return found
 
-    def in_itself(leaf: pd.DataFrame) -> pd.DataFrame:
-        return nearest_of(leaf.assign(reach=np.inf), leaf, k)
+    def in_itself(bundle: pd.DataFrame) -> pd.DataFrame:
+        return compare(bundle.assign(reach=np.inf), bundle)
 
     def best(found: DataFrame) -> DataFrame:
         """(id, near): the k nearest of all that was found, from bounded lists."""
@@ -182,24 +254,26 @@ def search_tree(tree: Tree, k: int, waves: tuple[int, ...] = WAVES) -> Search:
     def rows_of(state: DataFrame) -> DataFrame:
         return state.select("id", F.explode("near").alias("n")).select("id", "n.neighbor", "n.neighbor_weight", "n.distance")
 
-    sizes = points.groupBy("leaf").agg(F.count("*").alias("points_in"))
-    found = points.select("id", "vec", "weight", "leaf").groupBy("leaf").applyInPandas(in_itself, schema)
-    compared = sizes.agg(F.coalesce(F.sum(F.col("points_in") * F.col("points_in")), F.lit(0)).alias("n")).first().n
     if tree.nodes is None:
-        return Search(materialize(found), compared)
-    state = write_and_read(best(found), "nearest")
+        found = materialize(points.select("id", "vec", "weight", "leaf").groupBy("leaf").applyInPandas(in_itself, schema))
+        return Search(found, compared.value)
     nodes = tree.nodes
     inner = nodes.select(F.col("parent").alias("node")).distinct()
     tips = materialize(nodes.join(inner, "node", "left_anti"))
     # a leaf with too few points to know k others: its parent has more than that many
     about = nodes.select(F.col("node").alias("parent"), (2 * F.col("radius")).alias("around"))
     tips = materialize(tips.join(about, "parent", "left").withColumn("around", F.coalesce("around", F.lit(float("inf")))))
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    rows = max(tree.leaf_rows, min(bundle_bytes // (8 * max(1, size.dims or 1)), -(-size.n // LEAST_BUNDLES)))
+    bundle_of = materialize(bundles(tree, tips, rows))
+    points = write_and_read(points.join(bundle_of, "leaf").select("id", "vec", "weight", "leaf", "bundle"), "bundles")
+    state = write_and_read(best(points.groupBy("bundle").applyInPandas(in_itself, schema)), "nearest")
 
     def reach(near: DataFrame) -> DataFrame:
-        """id, vec, weight, leaf and the distance within which k others are known to be."""
+        """id, vec, leaf, bundle and the distance within which k others are known to be."""
         known = points.join(near, "id", "left").join(tips.select(F.col("node").alias("leaf"), "around"), "leaf")
         far = F.when(F.size("near") >= k, F.col("near")[k - 1]["distance"]).otherwise(F.col("around"))
-        return known.select("id", "vec", "weight", "leaf", F.coalesce(far, F.col("around")).alias("reach"))
+        return known.select("id", "vec", "leaf", "bundle", F.coalesce(far, F.col("around")).alias("reach"))
 
     def leaf_reach(reached: DataFrame) -> DataFrame:
         return reached.groupBy("leaf").agg(F.max("reach").alias("reach"))
@@ -212,34 +286,33 @@ def search_tree(tree: Tree, k: int, waves: tuple[int, ...] = WAVES) -> Search:
         step = walk.withColumnRenamed("node", "parent").join(nodes.join(inner.withColumn("inner", F.lit(True)), "node", "left"), "parent")
         gap = distance("own_center", "center") - F.col("own_radius") - F.col("radius")
         step = materialize(step.withColumn("gap", gap).filter(F.col("gap") <= F.col("reach") * (1 + SLACK) + SLACK))
-        ends = step.filter("inner IS NULL AND node <> leaf").select("leaf", F.col("node").alias("other"), "gap", "points_in")
+        ends = step.filter("inner IS NULL AND node <> leaf").select("leaf", F.col("node").alias("other"), "gap")
         pairs = ends if pairs is None else pairs.unionByName(ends)
         walk = step.filter("inner").select("leaf", "own_center", "own_radius", "reach", "node")
-    order = Window.partitionBy("leaf").orderBy("gap", "other")
-    pairs = write_and_read(pairs.withColumn("turn", F.row_number().over(order)), "leaf-pairs")
+    pairs = pairs.join(bundle_of, "leaf").join(bundle_of.select(F.col("leaf").alias("other"), F.col("bundle").alias("visited")), "other")
+    pairs = pairs.filter("bundle <> visited")
+    order = Window.partitionBy("bundle").orderBy("gap", "visited")
+    turns = pairs.groupBy("bundle", "visited").agg(F.min("gap").alias("gap")).withColumn("turn", F.row_number().over(order)).drop("gap")
+    pairs = write_and_read(pairs.join(turns, ["bundle", "visited"]), "leaf-pairs")
     done = 0
     for wave in _sizes(waves):
         todo = materialize(
             pairs.filter((F.col("turn") > done) & (F.col("turn") <= done + wave))
             .join(leaf_reach(reached), "leaf")
             .filter(F.col("gap") <= F.col("reach") * (1 + SLACK) + SLACK)
-            .select("leaf", "other", "points_in")
+            .select("bundle", "visited", "leaf", "other")
         )
         if not todo.isEmpty():
-            # of a leaf only the points that reach the other one go there
-            target = todo.join(tips.select(F.col("node").alias("other"), "center", "radius"), "other")
-            gap = distance("vec", "center") - F.col("radius")
-            left = reached.join(target, "leaf").filter(gap <= F.col("reach") * (1 + SLACK) + SLACK)
-            seen = Observation()
-            left = left.observe(seen, F.coalesce(F.sum("points_in"), F.lit(0)).alias("n")).select("leaf", "other", "id", "vec", "reach")
-            right = points.withColumnRenamed("leaf", "other").join(todo.select("leaf", "other"), "other").select("leaf", "other", "id", "vec", "weight")
-            more = left.groupBy("leaf", "other").cogroup(fresh(right).groupBy("leaf", "other")).applyInPandas(compare, schema)
+            left = reached.join(todo.select("leaf", "visited").distinct(), "leaf").select("bundle", "visited", "id", "vec", "leaf", "reach")
+            guests = points.withColumnsRenamed({"leaf": "other", "bundle": "visited"})
+            right = guests.join(todo.select("bundle", "other").distinct(), "other")
+            right = right.select("bundle", "visited", "id", "vec", "weight", F.col("other").alias("leaf"))
+            more = left.groupBy("bundle", "visited").cogroup(fresh(right).groupBy("bundle", "visited")).applyInPandas(compare, schema)
             state = write_and_read(best(rows_of(state).unionByName(more)), "nearest")
-            compared += seen.get["n"]
             reached = write_and_read(reach(state), "reach")
         done += wave
         if pairs.filter(F.col("turn") > done).join(leaf_reach(reached), "leaf").filter(F.col("gap") <= F.col("reach") * (1 + SLACK) + SLACK).isEmpty():
-            return Search(rows_of(state), compared)
+            return Search(rows_of(state), compared.value)
 
 
 def _sizes(waves: tuple[int, ...]):

@@ -56,6 +56,25 @@ def test_leaves_are_bounded_however_points_lie(spark):
     assert [got[i] for i in range(len(x))] == want.tolist()
 
 
+def test_leaves_travel_in_bundles_of_bounded_size(spark):
+    # directions in which nothing can be left out, and copies far away that make the tree uneven
+    x = np.random.default_rng(4).normal(size=(3_000, 16))
+    x[2_900:] = 1e3 + 1e-3 * x[2_900:]
+    tree = metric_tree.build_tree(frame(spark, x), 30)
+    tips = tree.nodes.join(tree.nodes.select(F.col("parent").alias("node")), "node", "left_anti")
+    of = metric_tree.bundles(tree, tips, 300)
+    sizes = [r.n for r in tree.points.join(of, "leaf").groupBy("bundle").agg(F.count("*").alias("n")).collect()]
+    leaves = tips.count()
+    assert sum(sizes) == len(x) and max(sizes) < 600
+    assert of.count() == leaves and 3 * len(sizes) < leaves
+    asked = np.arange(0, 3_000, 29)
+    want, _ = nearest(x, asked, 4)
+    # bundles of 300 points, then of one leaf
+    for size, waves in ((300 * 8 * 16, (1, 3)), (1, (64,))):
+        got = as_lists(metric_tree.search_tree(tree, 4, waves, size).neighbors)
+        assert len(got) == len(x) and [got[i] for i in asked.tolist()] == want.tolist()
+
+
 def test_ties_on_a_lattice_go_to_the_smaller_id(spark):
     x = np.array([[i, j] for i in range(12) for j in range(12)], float)
     points = frame(spark, x)
