@@ -159,7 +159,8 @@ def _token_transfers(v: Views) -> DataFrame:
         F.lit("18").alias("tokenDecimal"),
     )
     path = new_path(v.spark, "token-transfers")
-    transfers.write.json(path)
+    # text of 256-bit amounts takes many times the order lines' size; files follow the rows, so none is large
+    transfers.write.option("compression", "gzip").json(path)
     return landing.read_landed(v.spark, path, schemas.API_TOKEN_TRANSFER)
 
 

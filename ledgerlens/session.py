@@ -74,5 +74,5 @@ def materialize(df: DataFrame) -> DataFrame:
 def write_and_read(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """As `materialize`, but columnar: later steps prune columns and push filters into the written table."""
     path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
