@@ -10,6 +10,7 @@ from ledgerlens.catalog.registry import plain, register, rounded
 from ledgerlens.catalog.views import Views, eth
 from ledgerlens.functions import ledger as L
 from ledgerlens.operators import profiling, quality
+from ledgerlens.session import write_and_read
 
 GWEI = "CAST(gas_price AS DOUBLE) / 1e9"
 
@@ -257,15 +258,44 @@ FAULTS = {
 }
 
 
+# what the tests read of staged transfers and, through the fact's expressions, of facts
+TESTED_STAGED = (
+    "transaction_id", "transaction_hash", "block_number", "from_address", "transaction_type", "transaction_date", "value_eth",
+    "data_quality_issues", "data_quality_score",
+)
+TESTED_FACT = (
+    "transaction_key", "transaction_hash", "block_number", "time_key", "from_wallet_key", "transaction_date", "value_tier",
+)
+# the same of raw wallets, and through them of staged wallets and of the dimension
+TESTED_RAW_WALLETS = (
+    "wallet_address", "wallet_no", "ingested_at", "total_transactions_in", "total_transactions_out", "is_contract", "balance_eth",
+)
+TESTED_STAGED_WALLETS = ("wallet_id", "wallet_address", "wallet_type", "total_transactions")
+TESTED_DIM = ("wallet_key", "wallet_address", "balance_tier", "total_transactions")
+
+
+def _stored_columns(df: DataFrame, columns: tuple[str, ...], name: str) -> tuple[DataFrame, DataFrame]:
+    """The columns as a written table, and the same rows in the shape of `df`, for expressions over them: its other columns
+    are NULL there, so only what is made from stored columns may be read of the results."""
+    stored = write_and_read(df.select(*columns), name)
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in columns]
+    return stored, stored.select("*", *others)
+
+
 def _ledger_tables(v: Views) -> dict[str, DataFrame]:
+    """The columns that are tested. The newest copies are picked once and wallets are made once; both are stored."""
+    staged, shaped = _stored_columns(v.staged, TESTED_STAGED, "tested-transfers")
+    fact = v.fact_of(shaped).select(*TESTED_FACT)
+    raw_wallets, shaped_wallets = _stored_columns(v.raw_wallets, TESTED_RAW_WALLETS, "tested-wallets")
+    staged_wallets = v.staged_wallets_of(shaped_wallets)
     return {
         "raw_transactions": v.raw_transactions,
-        "raw_wallets": v.raw_wallets,
-        "stg_transactions": v.staged,
-        "stg_wallets": v.staged_wallets,
-        "dim_time": _dim_time(v),
-        "dim_wallet": v.dim,
-        "fact_transactions": v.fact,
+        "raw_wallets": raw_wallets,
+        "stg_transactions": staged,
+        "stg_wallets": staged_wallets.select(*TESTED_STAGED_WALLETS),
+        "dim_time": _dim_time(v, fact),
+        "dim_wallet": v.dim_of(staged_wallets).select(*TESTED_DIM),
+        "fact_transactions": fact,
     }
 
 

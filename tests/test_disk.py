@@ -67,3 +67,23 @@ def test_wallet_job_makes_raw_wallets_once(spark, given, kept):
     wallets = dim.select("wallet_address").distinct().count()
     assert dim.filter("is_current").count() == wallets
     assert spark.read.parquet(*stored(kept, "raw-wallets")).count() == views.raw_wallets.count() == wallets
+
+
+def test_tested_tables_are_made_once_and_as_in_the_views(spark, given, kept):
+    from ledgerlens.catalog import profiles
+
+    views = Views(spark, given)
+    tables = profiles._ledger_tables(views)
+    wholes = {
+        "stg_transactions": views.staged, "fact_transactions": views.fact, "raw_wallets": views.raw_wallets,
+        "stg_wallets": views.staged_wallets, "dim_wallet": views.dim, "dim_time": profiles._dim_time(views),
+    }
+    for name, whole in wholes.items():
+        found = tables[name].drop("created_at", "updated_at")
+        expected = whole.select(*found.columns)
+        assert found.count() > 0 and found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+    for test in profiles.quality.COLUMN_TESTS:
+        assert test.column in tables[test.table].columns
+    # nothing but raw transfers and the last moment goes back to the order lines
+    for name in ("stg_transactions", "fact_transactions", "raw_wallets", "stg_wallets"):
+        assert all(kept in f for f in tables[name].inputFiles())
