@@ -52,6 +52,20 @@ def zero_wei() -> Column:
     return F.lit(0).cast(WEI)
 
 
+def pack_text(c: Column) -> Column:
+    """Text as bytes for a shuffle: hashes and addresses (0x and pairs of lower-case digits) take half, any other text a
+    byte more. `unpack_text` gives the same text back."""
+    digits = F.unhex(F.substr(c, F.lit(3)))
+    packed = F.concat(F.unhex(F.lit("01")), digits)
+    return F.when(unpack_text(packed) == c, packed).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(c, "UTF-8")))
+
+
+def unpack_text(c: Column) -> Column:
+    rest = F.substr(c, F.lit(2))
+    plain = F.decode(rest, "UTF-8")
+    return F.when(F.substr(c, F.lit(1), F.lit(1)) == F.unhex(F.lit("01")), F.concat(F.lit("0x"), F.lower(F.hex(rest)))).otherwise(plain)
+
+
 def record_hash(*fields: Column) -> Column:
     """SHA-256 over '|'-joined fields; a missing field counts as the text None."""
     texts = [F.coalesce(f.cast("string"), F.lit("None")) for f in fields]

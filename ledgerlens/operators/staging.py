@@ -25,6 +25,7 @@ WALLET_TYPES = (
 )
 ACTIVITY_TYPES = ((1001, "high_activity"), (101, "medium_activity"), (11, "low_activity"))
 STORED_INPUT_LENGTH = 1000
+PACKED = ("transaction_hash", "block_hash", "from_address", "to_address", "contract_address")
 
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -97,15 +98,17 @@ def stage_transactions(
     """Newest copy of each transaction, cleaned, dated, priced and classified.
 
     Input data is shortened before the newest copy is picked; everything else that follows from a row alone is derived
-    after it. So the shuffle carries no column twice and no long text, and only what a later step reads: a query that
-    needs no input data never moves it.
+    after it. So the shuffle carries no column twice and no long text, hashes and addresses as bytes, and only what a later
+    step reads: a query that needs no input data never moves it.
     """
     source = raw if lookback_days is None else ingested_within(raw, lookback_days, as_of)
     keyed = source.withColumn("transaction_hash", L.clean_text(F.col("transaction_hash"))).filter(
         "transaction_hash IS NOT NULL"
     )
     shortened = _shorten_input(keyed)
-    latest = dedup_latest(shortened, ["transaction_hash"], newest_first(shortened))
+    packed = shortened.withColumns({name: L.pack_text(F.col(name)) for name in PACKED if name in shortened.columns})
+    newest = dedup_latest(packed, ["transaction_hash"], newest_first(packed))
+    latest = newest.withColumns({name: L.unpack_text(F.col(name)) for name in PACKED if name in newest.columns})
     known = latest.filter(F.col("block_number").cast("bigint").isNotNull())
     return _clean_transactions(known, F.current_timestamp() if staged_at is None else staged_at)
 

@@ -87,3 +87,35 @@ def test_tested_tables_are_made_once_and_as_in_the_views(spark, given, kept):
     # nothing but raw transfers and the last moment goes back to the order lines
     for name in ("stg_transactions", "fact_transactions", "raw_wallets", "stg_wallets"):
         assert all(kept in f for f in tables[name].inputFiles())
+
+
+def test_texts_are_packed_without_loss(spark):
+    from ledgerlens.functions import ledger as L
+
+    texts = ["0x00ab", "0x", "", "0xabc", "0xAB", "0X00", "0xzz", "plain", "ünï", "0x" + "0f" * 32, " 0x12", "01", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", L.pack_text(F.col("t")))
+    assert rows.filter(~L.unpack_text(F.col("p")).eqNullSafe(F.col("t"))).isEmpty()
+    assert rows.filter("length(t) = 66").select(F.length("p")).first()[0] == 33
+
+
+def test_wallet_store_shuffles_a_transfer_once_for_both_sides(spark, given, kept, monkeypatch):
+    from ledgerlens.sources import wallet_store as store
+
+    odd = {
+        "transaction_hash": F.when(F.col("block_number") % 5 == 0, F.upper("transaction_hash")).otherwise(F.col("transaction_hash")),
+        "value_eth": F.when(F.col("block_number") % 3 == 0, F.col("value_eth") + 1).when(F.col("block_number") % 3 == 1, F.col("value_eth")),
+    }
+    fact = Views(spark, given).fact.withColumns(odd)
+    monkeypatch.setattr(store, "SIDES_PER_TASK", 60)
+    dealt = []
+    slim = store._slim
+    monkeypatch.setattr(store, "_slim", lambda *a: dealt.append(slim(*a)) or dealt[-1])
+    store.build_store(fact, f"{kept}/store", rows_per_bucket=20)
+    assert [d.count() for d in dealt] == [fact.count()]
+    sizes = store._sizes(fact, "month")
+    tasks = [r.n for r in dealt[0].groupBy("_task").agg(F.count("*").alias("n")).collect()]
+    # a transfer has at most two sides; hashes deal a large month unevenly
+    assert len(tasks) == store._tasks(sizes)[1] > len(sizes) and 2 * max(tasks) < 2 * 60
+    found = store.open_store(spark, f"{kept}/store")
+    expected = store._placed(fact, "month", 20).select(*found.columns)
+    assert found.count() > fact.count() and found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
