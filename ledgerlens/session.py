@@ -14,6 +14,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # what a step has shuffled goes when the step ends, not when the driver collects garbage; a frame that is run again
+    # makes it again
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
