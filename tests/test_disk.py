@@ -119,3 +119,19 @@ def test_wallet_store_shuffles_a_transfer_once_for_both_sides(spark, given, kept
     found = store.open_store(spark, f"{kept}/store")
     expected = store._placed(fact, "month", 20).select(*found.columns)
     assert found.count() > fact.count() and found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+
+
+def test_ingest_moves_whole_rows_only_where_hashes_recur(spark, tmp_path):
+    from ledgerlens.streaming import ingest
+
+    rows = spark.range(50).select(F.concat(F.lit("0x"), F.col("id").cast("string")).alias("transaction_hash"), F.col("id").alias("x"))
+    known = rows.filter("x % 10 = 0 OR x > 60").select("transaction_hash")
+    none = ingest.without_known(rows, known.filter("false"), f"{tmp_path}/none")
+    assert none.count() == 50 and "Join" not in none._jdf.queryExecution().optimizedPlan().toString()
+    left = ingest.without_known(rows, known.unionByName(known), f"{tmp_path}/some")
+    assert sorted(r.x for r in left.collect()) == [x for x in range(50) if x % 10]
+    assert "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
+    # no hash is no key: such rows are not known
+    odd = rows.withColumn("transaction_hash", F.when(F.col("x") > 5, F.col("transaction_hash")))
+    kept = ingest.without_known(odd, odd.select("transaction_hash"), f"{tmp_path}/odd")
+    assert kept.count() == 6 == ingest.landing.new_rows_only(odd, odd.select("transaction_hash")).count()
