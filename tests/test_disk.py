@@ -135,3 +135,22 @@ def test_ingest_moves_whole_rows_only_where_hashes_recur(spark, tmp_path):
     odd = rows.withColumn("transaction_hash", F.when(F.col("x") > 5, F.col("transaction_hash")))
     kept = ingest.without_known(odd, odd.select("transaction_hash"), f"{tmp_path}/odd")
     assert kept.count() == 6 == ingest.landing.new_rows_only(odd, odd.select("transaction_hash")).count()
+
+
+def test_the_full_load_moves_transfers_before_columns_are_derived(spark, given, kept, monkeypatch):
+    from ledgerlens.operators import staging
+    from ledgerlens.plans import daily as job
+    from ledgerlens.sources import tables
+
+    moved = []
+    in_ranges = tables.in_ranges
+    monkeypatch.setattr(tables, "in_ranges", lambda df, *by: moved.append(df) or in_ranges(df, *by))
+    views, now = Views(spark, given), F.lit("1998-01-01").cast("timestamp_ntz")
+    upper = {c: F.concat(F.lit(" "), F.upper(c)) for c in ("from_address", "block_hash")}
+    raw = views.raw_transactions.withColumns(upper)
+    job.run_daily(spark, raw, job.Paths(f"{kept}/warehouse"), now=now, key_buckets=2)
+    assert len(moved) == 1 and not {"transaction_id", "gas_fee_wei", "transaction_type"} & set(moved[0].columns)
+    found = spark.read.parquet(f"{kept}/warehouse/stg_transactions")
+    for expected in (staging.stage_transactions(raw, staged_at=now), views.staged.withColumn("staged_at", now)):
+        expected = expected.select(*found.columns)
+        assert found.count() > 0 and found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
